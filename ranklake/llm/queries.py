@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ranklake.llm import bpe
+from ranklake.llm import bpe, exact_dedup, langid, quality
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +18,33 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_t(spark, sf_dir, "documents"))
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, and whether it is rejected."""
+    docs = _t(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents without exact copies."""
+    return exact_dedup.dedup(_t(spark, sf_dir, "documents"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The content share of every document, and whether it is kept."""
+    docs = _t(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.train(docs, _t(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_langid": op2_langid,
+    "op3_exact_dedup": op3_exact_dedup,
+    "op4_quality": op4_quality,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_exact_dedup": """
+        SELECT doc_id, text, lang, source, n_chars
+        FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS nth FROM documents)
+        WHERE nth = 1""",
+}
