@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ranklake.llm import bpe, exact_dedup, langid, quality
+from ranklake.llm import bpe, exact_dedup, langid, licenses, quality, warc
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,11 +36,24 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.train(docs, _t(spark, sf_dir, "labels")))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All captures in order. The table has no capture time, so a second for each page_id since 2024 stands for it."""
+    time = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("page_id"))
+    return warc.histories(_t(spark, sf_dir, "pages"), time)
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence detections in every document."""
+    return licenses.scan(_t(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_langid": op2_langid,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_quality": op4_quality,
+    "op5_warc": op5_warc,
+    "op6_licenses": op6_licenses,
 }
 
 SQL: dict[str, str] = {
@@ -47,4 +61,20 @@ SQL: dict[str, str] = {
         SELECT doc_id, text, lang, source, n_chars
         FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS nth FROM documents)
         WHERE nth = 1""",
+    "op5_warc": r"""
+        WITH a AS (SELECT *, regexp_replace(lower(trim(url)), '#.*$', '') AS u FROM pages),
+        b AS (SELECT *, regexp_replace(u, '^[a-z][a-z0-9+.-]*://', '') AS rest FROM a),
+        c AS (SELECT *, regexp_extract(rest, '^([^/?]*)', 1) AS place, regexp_replace(rest, '^[^/?]*', '') AS tail FROM b),
+        d AS (SELECT *,
+            regexp_replace(regexp_replace(regexp_replace(place, '^.*@', ''), ':(80|443)$', ''), '^www[0-9]*[.]', '') AS host,
+            regexp_replace(regexp_extract(tail, '^([^?]*)', 1), '/+$', '') AS path,
+            array_to_string(list_sort(string_split(regexp_replace(tail, '^[^?]*[?]?', ''), '&')), '&') AS query FROM c),
+        e AS (SELECT page_id, md5(html) AS digest, strlen(html) AS length,
+            array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE path WHEN '' THEN '/' ELSE path END
+                || CASE query WHEN '' THEN '' ELSE '?' || query END AS urlkey,
+            make_timestamp((1704067200 + page_id) * 1000000) AS captured_at FROM d)
+        SELECT row_number() OVER (ORDER BY urlkey NULLS FIRST, captured_at NULLS FIRST, page_id NULLS FIRST) - 1 AS seq,
+            urlkey, captured_at, page_id, digest, length,
+            row_number() OVER w AS capture_no, coalesce(lag(digest) OVER w IS DISTINCT FROM digest, true) AS changed
+        FROM e WINDOW w AS (PARTITION BY urlkey ORDER BY captured_at NULLS FIRST, page_id NULLS FIRST)""",
 }
