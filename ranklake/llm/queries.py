@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ranklake.llm import bpe, exact_dedup, langid, licenses, quality, warc
+from ranklake.llm import bpe, exact_dedup, langid, licenses, packing, quality, sharding, warc
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,16 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_t(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bin of every piece of every document."""
+    return packing.best_fit(_t(spark, sf_dir, "documents"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents by source and id over shards of even bytes."""
+    return sharding.histogram_sort(_t(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_langid": op2_langid,
@@ -54,6 +64,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_warc": op5_warc,
     "op6_licenses": op6_licenses,
+    "op7_packing": op7_packing,
+    "op8_sharding": op8_sharding,
 }
 
 SQL: dict[str, str] = {
