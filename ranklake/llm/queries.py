@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ranklake.llm import bpe, exact_dedup, langid, licenses, packing, quality, sharding, warc
+from ranklake.llm import bpe, exact_dedup, langid, licenses, packing, quality, sharding, simhash, warc
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,11 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.histogram_sort(_t(spark, sf_dir, "documents"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that have near duplicates, and which one of each group stays."""
+    return simhash.groups(_t(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_langid": op2_langid,
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_licenses": op6_licenses,
     "op7_packing": op7_packing,
     "op8_sharding": op8_sharding,
+    "op9_simhash": op9_simhash,
 }
 
 SQL: dict[str, str] = {
