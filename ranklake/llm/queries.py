@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ranklake.llm import bpe, exact_dedup, langid, licenses, packing, quality, sharding, simhash, warc
+from ranklake.llm import bpe, exact_dedup, langid, licenses, lm, packing, quality, sharding, simhash, warc
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(_t(spark, sf_dir, "documents"))
 
 
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pseudo-likelihood of every document."""
+    docs = _t(spark, sf_dir, "documents")
+    return lm.score(docs, lm.train(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_langid": op2_langid,
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_packing": op7_packing,
     "op8_sharding": op8_sharding,
     "op9_simhash": op9_simhash,
+    "op10_lm": op10_lm,
 }
 
 SQL: dict[str, str] = {
