@@ -100,14 +100,26 @@ def encode(docs: DataFrame, ranks: str = RANKS, chunk_chars: int = 16_384, overl
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), _lists(ids), pa.array([None if x is None else len(x) for x in ids], pa.int32()), pa.array(ok, pa.bool_())], ["doc_id", "token_ids", "n_tokens", "lossless"])
 
     long = rows.filter(is_long).withColumn("key", F.md5(F.encode("text", "UTF-8")))
-    keyed = _encode_long(long.select("key", "text"), ranks, chunk_chars, overlap)
-    stitched = long.select("doc_id", "key").join(keyed.filter("not odd").drop("odd"), "key").select("doc_id", "token_ids", "n_tokens", "lossless")
-    odd = long.join(keyed.filter("odd").select("key"), "key", "left_semi").select("doc_id", "text")
-    return rows.filter(~is_long).mapInArrow(whole, schema).unionByName(stitched).unionByName(odd.mapInArrow(whole, schema))
+    stitched = _encode_long(long, ranks, chunk_chars, overlap).select("doc_id", "token_ids", "n_tokens", "lossless")
+    return rows.filter(~is_long).mapInArrow(whole, schema).unionByName(stitched)
+
+
+def _pack(lengths: np.ndarray) -> bytes:
+    """Positive lengths as bytes: 255 as often as it fits, then the rest."""
+    full = lengths // 255
+    out = np.full(int((full + 1).sum()), 255, np.uint8)
+    out[np.cumsum(full + 1) - 1] = lengths % 255
+    return out.tobytes()
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    """Where each piece ends, counted from the start of the first."""
+    steps = np.frombuffer(packed, np.uint8)
+    return np.cumsum(steps, dtype=np.int64)[steps < 255]
 
 
 def _encode_long(long: DataFrame, ranks: str, size: int, overlap: int) -> DataFrame:
-    """(key, token_ids, n_tokens, lossless, odd) of each distinct key; odd: some chunks could not be joined."""
+    """(doc_id, token_ids, n_tokens, lossless) of each row of long; a text is encoded once, however often it is there."""
 
     def chunks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -128,10 +140,10 @@ def _encode_long(long: DataFrame, ranks: str, size: int, overlap: int) -> DataFr
                 end = at + len(chunk)
                 head = starts[starts < at + overlap]
                 tail = starts[(starts >= at + size) & (starts <= end - MARGIN)]
-                yield pa.RecordBatch.from_arrays([*row.columns, *(pa.array([x], pa.list_(pa.int32())) for x in (starts, head, tail))], ["key", "at", "size", "chunk", "starts", "head", "tail"])
+                yield pa.RecordBatch.from_arrays([*row.columns, *(pa.array([x], pa.list_(pa.int32())) for x in (head, tail)), pa.array([_pack(np.diff(np.append(starts, end)))], pa.binary())], ["key", "at", "size", "chunk", "head", "tail", "pieces"])
 
     schema = "key string, at int, size int, chunk string"
-    found = long.mapInArrow(chunks, schema).repartition("key", "at").mapInArrow(boundaries, schema + ", starts array<int>, head array<int>, tail array<int>")
+    found = long.select("key", "text").mapInArrow(chunks, schema).repartition("key", "at").mapInArrow(boundaries, schema + ", head array<int>, tail array<int>, pieces binary")
     by = Window.partitionBy("key").orderBy("at")
     cut = F.array_min(F.array_intersect("tail", F.lead("head").over(by)))
     last = F.col("at") + F.length("chunk") >= F.col("size")
@@ -141,19 +153,38 @@ def _encode_long(long: DataFrame, ranks: str, size: int, overlap: int) -> DataFr
         e = Encoder(ranks)
         for b in it:
             for i in range(b.num_rows):
-                key, at, size_, chunk, lo, hi = (b.column(c)[i].as_py() for c in ("key", "at", "size", "chunk", "lo", "hi"))
-                odd = lo is None or hi is None
-                ids, ok = [], True
+                key, at, chunk, lo, hi, odd, packed = (b.column(c)[i].as_py() for c in ("key", "at", "chunk", "lo", "hi", "odd", "pieces"))
+                ids, ok = None, None
                 if not odd:
-                    starts = b.column("starts")[i].values.to_numpy() - at
-                    starts = [*starts[(starts >= lo - at) & (starts < hi - at)].tolist(), hi - at]
+                    ends = _unpack(packed)
+                    starts = [lo - at, *ends[(ends > lo - at) & (ends <= hi - at)].tolist()]
                     ids = e.pieces([chunk[a:z] for a, z in zip(starts, starts[1:])])
                     ok = e.decode(ids) == chunk[lo - at : hi - at].encode()
-                yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([at], pa.int32()), pa.array([ids], pa.list_(pa.int32())), pa.array([ok]), pa.array([odd])], ["key", "at", "ids", "ok", "odd"])
+                yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([at], pa.int32()), pa.array([ids], pa.list_(pa.int32())), pa.array([ok], pa.bool_()), pa.array([chunk if odd else None], pa.string())], ["key", "at", "ids", "ok", "chunk"])
 
-    parts = cuts.select("key", "at", "size", "chunk", "starts", "lo", "hi").mapInArrow(encode_part, "key string, at int, ids array<int>, ok boolean, odd boolean")
-    ids = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"]))
-    return parts.groupBy("key").agg(ids.alias("token_ids"), F.bool_and("ok").alias("lossless"), F.bool_or("odd").alias("odd")).withColumn("n_tokens", F.size("token_ids"))
+    def finish(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = Encoder(ranks)
+        for b in it:
+            for i in range(b.num_rows):
+                ids, ok, chunks = (b.column(c)[i] for c in ("ids", "ok", "chunks"))
+                if len(chunks):  # not joined everywhere: one scan of the whole text
+                    chunks = chunks.as_py()
+                    text = "".join([c[:size] for c in chunks[:-1]] + chunks[-1:])
+                    ids = pa.scalar(e.text(text), pa.list_(pa.int32()))
+                    ok = pa.scalar(e.decode(ids.as_py()) == text.encode())
+                yield pa.RecordBatch.from_arrays([b.column("rows").slice(i, 1), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids.values), pa.array([len(ids)], pa.int32()), pa.array([ok.as_py()], pa.bool_())], ["rows", "token_ids", "n_tokens", "lossless"])
+
+    odd = F.max(F.col("hi").isNull()).over(Window.partitionBy("key"))
+    parts = cuts.withColumn("odd", odd).select("key", "at", "chunk", "lo", "hi", "odd", "pieces").mapInArrow(encode_part, "key string, at int, ids array<int>, ok boolean, chunk string")
+    # the rows' ids go along, so that one exchange does for the parts and for whose they are
+    of_rows = long.select("key", F.lit(None).cast("struct<at:int,ids:array<int>,chunk:string>").alias("part"), F.lit(None).cast("boolean").alias("ok"), F.struct("doc_id").alias("row"))
+    with_rows = parts.select("key", F.struct("at", "ids", "chunk").alias("part"), "ok", F.lit(None).cast(of_rows.schema["row"].dataType).alias("row")).unionByName(of_rows)
+    sorted_parts = with_rows.groupBy("key").agg(F.array_sort(F.collect_list("part")).alias("parts"), F.bool_and("ok").alias("ok"), F.collect_list("row").alias("rows"))
+    some = F.filter(F.transform("parts", lambda x: x["chunk"]), lambda x: x.isNotNull())
+    each = F.flatten(F.transform("parts", lambda x: F.coalesce(x["ids"], F.array().cast("array<int>"))))
+    kind = dict(long.dtypes)["doc_id"]
+    done = sorted_parts.select("rows", each.alias("ids"), "ok", some.alias("chunks")).mapInArrow(finish, f"rows array<struct<doc_id:{kind}>>, token_ids array<int>, n_tokens int, lossless boolean")
+    return done.select(F.explode("rows").alias("row"), "token_ids", "n_tokens", "lossless").select("row.doc_id", "token_ids", "n_tokens", "lossless")
 
 
 def decode(rows: DataFrame, ranks: str = RANKS, ids_col: str = "token_ids") -> DataFrame:
