@@ -1,4 +1,4 @@
-"""SimHash near-deduplication: fingerprints that differ in few bits agree in two of their blocks, and meet there."""
+"""SimHash near-deduplication: fingerprints that differ in few bits agree in two of their blocks, meet there, and are compared."""
 
 from __future__ import annotations
 
@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from ranklake.llm.common import need, unused, written
 from ranklake.llm.exact_dedup import _ordered
 
-#: A fingerprint has 128 bits in 16 blocks of a byte. If two differ in BITS at most, two blocks at least are alike.
-BLOCKS, BITS = 16, 14
+#: A fingerprint has 128 bits in 16 blocks of a byte, and two that differ in BITS at most are near. Two blocks at least are
+#: alike for sure up to SURE bits, and for 97 in 100 pairs that differ in all of BITS, where the bits fall by chance.
+BLOCKS, SURE, BITS = 16, 14, 20
 PAIRS = list(combinations(range(BLOCKS), 2))
 #: Words that a task remembers before it starts over.
 MEMORY = 100_000
@@ -171,8 +172,9 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, rows_a_part: int) ->
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_a_part: int = 500_000) -> DataFrame:
     """(doc_id, keep_doc_id, kept) of the rows of docs that have near duplicates; keep_doc_id is the least id of the group.
 
-    Two texts are near if their fingerprints differ in BITS bits at most, and groups are what is so connected. Such a pair
-    is never missed: of 16 blocks 14 bits can spoil 14. Copies, and rows repeated as they are, share a fingerprint. Empty
+    Two texts are near if their fingerprints differ in BITS bits at most, and groups are what is so connected. A pair within
+    SURE bits is never missed: of 16 blocks 14 bits can spoil 14. Beyond, up to BITS, a pair is missed if fewer than two
+    blocks are alike (at most 3 in 100), unless another row connects it. Copies, and rows repeated as they are, share a fingerprint. Empty
     texts are near each other; a null text is near nothing. Null ids come last; if all of a group are null, so is
     keep_doc_id. kept marks the rows with that id, all of them if it is repeated. Other columns are ignored.
     """
