@@ -273,12 +273,12 @@ def callable_filter(records: DataFrame, predicate: Callable[..., bool], metadata
 
     two = len([p for p in inspect.signature(predicate).parameters.values() if p.kind in (p.POSITIONAL_ONLY, p.POSITIONAL_OR_KEYWORD) and p.default is p.empty]) == 2
 
-    @F.pandas_udf("boolean")
-    def test(document: pd.Series, metadata: pd.Series) -> pd.Series:
+    def test(document, metadata):
         parsed = [json.loads(m) if m else {} for m in metadata]
         return pd.Series([bool(predicate(d, m) if two else predicate(m)) for d, m in zip(document, parsed)])
 
-    return records.filter(test(F.col(document_col), F.col(metadata_col)))
+    test.__annotations__ = {"document": pd.Series, "metadata": pd.Series, "return": pd.Series}
+    return records.filter(F.pandas_udf(test, "boolean")(F.col(document_col), F.col(metadata_col)))
 
 
 def unknown_keys(records: DataFrame, keys: Iterable[str], column: str = "metadata") -> DataFrame:

@@ -14,7 +14,7 @@ from ranklake.operators.dense import Index, add
 def check_new(index: Index, ids: DataFrame, id_col: str = "row_id") -> None:
     """Raise for ids that are null, negative, repeated among themselves or in the index already."""
     own = ids.select(F.col(id_col).cast("long").alias("row_id"))
-    bad = own.agg(F.count_if("row_id is null or row_id < 0").alias("n")).first()
+    bad = own.agg(F.count_if(F.expr("row_id is null or row_id < 0")).alias("n")).first()
     if bad.n:
         raise OptionError("ids must be from 0 to 2^63 - 1")
     twice = own.groupBy("row_id").count().filter("count > 1").select("row_id")
