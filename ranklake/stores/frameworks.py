@@ -68,7 +68,10 @@ class TextStore(_Kept):
 
     kind = "texts"
     save_local = dump = persist = _Kept.save
-    load_local = _Kept.load
+
+    @classmethod
+    def load_local(cls, spark: SparkSession, path: str, **options: Any) -> TextStore:
+        return cls.load(spark, path, **options)
 
     @classmethod
     def from_texts(cls, spark: SparkSession, texts: Iterable[str], embedder: Embedder, metadatas: Iterable[dict] | None = None, ids: Iterable[str] | None = None, **options: Any) -> TextStore:
@@ -172,7 +175,9 @@ class NodeStore(_Kept):
     def from_persist_path(cls, spark: SparkSession, path: str) -> NodeStore:
         return cls.load(spark, os.path.dirname(path) if path.endswith(".json") else path)
 
-    from_persist_dir = _Kept.load
+    @classmethod
+    def from_persist_dir(cls, spark: SparkSession, path: str) -> NodeStore:
+        return cls.load(spark, path)
 
 
 class DocumentStore(_Kept):
