@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ranklake.config import SignLoad, SignPolicy, check_shape, sign_compatible
 from ranklake.errors import DuplicateIdError, MissingSignError, StoreError
+from ranklake.operators import ltr
 from ranklake.operators.dense import Index
 from ranklake.operators.sparse import TextIndex
 from ranklake.operators.sparse import checks as sparse_checks
@@ -227,6 +228,34 @@ def open_hybrid(spark: SparkSession, path: str, folder: str = "sparse") -> tuple
         raise StoreError(f"sparse: {e}") from e
 
 
+def load_model(spark: SparkSession, path: str, name: str = "model", limits: ltr.Limits = ltr.Limits()) -> ltr.Model:
+    """The ranking model of a bundle, once the bundle verifies."""
+    _raise_problems(problems(Files(spark, path)))
+    at = auxiliary(spark, path, name)
+    folder, file = at.rsplit("/", 1)
+    return ltr.parse(Files(spark, folder).read(file), limits)
+
+
+def structure(spark: SparkSession, path: str) -> list[str]:
+    """What is wrong within the auxiliaries that are known by name: text indexes, feature tables and ranking models."""
+    files, out = Files(spark, path), []
+    names = {a["name"]: a["path"] for a in files.read_json(MANIFEST)["auxiliaries"] if files.exists(a["path"])}
+    for name, at in names.items():
+        try:
+            if name.endswith(".postings"):
+                load_text(spark, path, name.removesuffix(".postings"))
+            elif name.endswith(".rows"):
+                rows = spark.read.parquet(files.full(at))
+                first = rows.first()
+                if first is not None:
+                    ltr.check_features(rows, [f"f{i}" for i in range(len(first.features))])
+            elif name.endswith("model"):
+                ltr.parse(files.read(at))
+        except ValueError as e:
+            out.append(f"{name}: {e}")
+    return out
+
+
 def inspect(spark: SparkSession, path: str) -> DataFrame:
     """One row (path, kind, dim, bits, vector_count, bytes_per_vector, has_sign, auxiliaries)."""
     m = Files(spark, path).read_json(MANIFEST)
@@ -236,7 +265,8 @@ def inspect(spark: SparkSession, path: str) -> DataFrame:
 
 def verify(spark: SparkSession, path: str, most_auxiliary_bytes: int | None = None) -> DataFrame:
     """(problem) of a bundle; no row if it verifies."""
-    return spark.createDataFrame([(p,) for p in problems(Files(spark, path), "", most_auxiliary_bytes)], "problem string")
+    found = problems(Files(spark, path), "", most_auxiliary_bytes)
+    return spark.createDataFrame([(p,) for p in found or structure(spark, path)], "problem string")
 
 
 def stats(spark: SparkSession, path: str) -> DataFrame:

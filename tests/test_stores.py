@@ -197,6 +197,37 @@ def test_bundles(spark, tmp_path):
     assert not (tmp_path / "twice").exists() and relative("a/b") == "a/b"
 
 
+def test_models_and_tables_in_bundles(spark, tmp_path):
+    import json
+
+    from ranklake.plans.text import MODEL
+
+    rows = spark.createDataFrame([(0, 1, 1.0, [3.0, 1.0])], "qid long, row_id long, label float, features array<float>")
+    more = ltr_cache.auxiliaries(rows, spark.createDataFrame([(0, "q")], "qid long, query string"))
+    good, bad = str(tmp_path / "good"), str(tmp_path / "bad")
+    bundle.write(dense.build(vectors(spark)), good, auxiliaries=more | {bundle.Auxiliary("model", "model.json"): json.dumps(MODEL).encode()})
+    assert bundle.load_model(spark, good).model_id == "stumps" and generations.verify(spark, good).count() == 0
+    bundle.write(dense.build(vectors(spark)), bad, auxiliaries={bundle.Auxiliary("model", "model.json"): b"{}"})
+    assert "missing fields" in generations.verify(spark, bad).first().problem
+    with pytest.raises(StoreError):
+        bundle.auxiliary(spark, bad, "nope")
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from ranklake.__main__ import main
+
+    store, b = str(tmp_path / "s"), str(tmp_path / "b")
+    generations.save(filled(spark), store)
+    bundle.write(dense.build(vectors(spark)), b)
+    for args in (["verify", b], ["inspect", store], ["stats", store], ["gc", store, "--dry-run"], ["audit", store], ["export", store, str(tmp_path / "out")], ["import", str(tmp_path / "out"), str(tmp_path / "again")]):
+        assert main(args, spark) == 0
+    assert '"generation": "generations/g-00000001"' in capsys.readouterr().out
+    commit = tmp_path / "s/commits/00000001.json"
+    commit.write_text("{}")
+    (tmp_path / "s/commits/.00000001.json.crc").unlink()
+    assert main(["verify", store], spark) == 1
+
+
 def test_feature_cache(spark, tmp_path):
     rows = spark.createDataFrame([("q", 10, 1.0, [3.0, 1.0]), ("q", 20, 0.0, [2.0, 2.0])], "qid string, row_id long, label float, features array<float>")
     q = spark.createDataFrame([("q", "text"), ("r", "none")], "qid string, query string")
