@@ -18,8 +18,10 @@ from ranklake.llm.common import batches, need
 
 #: Tokens to each side that a prediction sees.
 SIDE = 2
-#: Words that a task remembers before it starts over; predictions in a step.
-MEMORY, STEP = 400_000, 4096
+#: Words that a task remembers before it starts over; predictions in a step (of a size that stays in the cache).
+MEMORY, STEP = 400_000, 1024
+#: Characters of the texts that training shuffles together.
+TRAIN_CHARS = 2_000_000
 TOKEN = re.compile(r"\w+|[^\w\s]")
 
 
@@ -95,17 +97,19 @@ class Network:
             np.zeros(v, np.float32),
         ]
 
-    def windows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Contexts and targets of all tokens, and the number of each text's tokens."""
+    def windows(self, texts: list[str], share: float = 1.0, rng: np.random.Generator | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Contexts and targets of all tokens, or of a share of them drawn by rng, and the number of each text's tokens."""
         none = self.vocabulary.size
         ids = [self.vocabulary.ids(t) for t in texts]
         counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat, real = [none] * SIDE, []
+        flat, gap = [none] * SIDE, [none] * SIDE
         for own in ids:
-            real.append(np.arange(len(flat), len(flat) + len(own)))
             flat += own
-            flat += [none] * SIDE
-        flat_, at = np.array(flat, np.int32), np.concatenate(real or [np.zeros(0, np.int64)]).astype(np.int64)
+            flat += gap
+        flat_ = np.array(flat, np.int32)
+        at = np.arange(int(counts.sum())) + np.repeat(SIDE * np.arange(1, len(counts) + 1), counts)
+        if share < 1:
+            at = at[(rng or np.random.default_rng(0)).random(len(at)) < share]
         offsets = [*range(-SIDE, 0), *range(1, SIDE + 1)]
         return np.stack([flat_[at + o] for o in offsets], 1) if len(at) else np.zeros((0, 2 * SIDE), np.int32), flat_[at], counts
 
@@ -117,15 +121,23 @@ class Network:
         return np.tanh(h, out=h)
 
     def log_probs(self, contexts: np.ndarray, targets: np.ndarray) -> np.ndarray:
+        e, bias, o, c = self.params
         out = np.empty(len(targets), np.float64)
-        _, _, o, c = self.params
+        first, last = e[0] + bias, np.concatenate([o, c[None]], 0)  # the biases go along with the look-up and the product
+        h, z, ones = np.ones((STEP, len(last)), np.float32), np.empty((STEP, len(c)), np.float32), np.ones(len(c), np.float32)
+        safe = float((np.abs(o).sum(0) + np.abs(c)).max()) < 80  # no hidden value is above 1, so no exponential overflows
         for i in range(0, len(targets), STEP):
-            h, t = self.hidden(contexts[i : i + STEP]), targets[i : i + STEP]
-            z = h @ o
-            z += c
-            np.minimum(z, 80, out=z)
-            own = z[np.arange(len(t)), t]
-            out[i : i + STEP] = own - np.log(np.exp(z, out=z).sum(1))
+            x, t = contexts[i : i + STEP], targets[i : i + STEP]
+            n = len(t)
+            sums = first.take(x[:, 0], 0)
+            for p in range(1, 2 * SIDE):
+                sums += e[p].take(x[:, p], 0)
+            np.tanh(sums, out=h[:n, :-1])
+            logits = np.matmul(h[:n], last, out=z[:n])
+            if not safe:
+                logits -= logits.max(1, keepdims=True)
+            own = logits[np.arange(n), t]
+            out[i : i + STEP] = own - np.log(np.exp(logits, out=logits) @ ones)
         return out
 
     def gradients(self, contexts: np.ndarray, targets: np.ndarray) -> tuple[float, list[np.ndarray]]:
@@ -141,16 +153,19 @@ class Network:
         p[np.arange(n), targets] -= 1
         p /= n
         dh = (p @ o.T) * (1 - h * h)
-        de = np.zeros_like(e)
-        for k in range(2 * SIDE):
-            np.add.at(de[k], contexts[:, k], dh)
+        de, rows, hot = np.empty_like(e), np.arange(n), np.zeros((n, e.shape[1]), np.float32)
+        for k in range(2 * SIDE):  # sums by context token, as a product
+            hot[rows, contexts[:, k]] = 1
+            de[k] = hot.T @ dh
+            hot[rows, contexts[:, k]] = 0
         return loss, [de, dh.sum(0), h.T @ p, p.sum(0)]
 
-    def fit(self, texts: list[str], rate: float = 0.1, batch: int = 512, seed: int = 0) -> int:
-        """One pass of Adagrad over the tokens of texts, in random order; the number of tokens."""
-        contexts, targets, _ = self.windows(texts)
-        order = np.random.default_rng(seed).permutation(len(targets))
-        squares = [np.full_like(p, 1e-6) for p in self.params]
+    def fit(self, texts: list[str], rate: float = 0.1, batch: int = 512, seed: int = 0, share: float = 1.0, squares: list[np.ndarray] | None = None) -> int:
+        """One pass of Adagrad over a share of the tokens of texts, in random order; how many they were. squares go on."""
+        rng = np.random.default_rng(seed)
+        contexts, targets, _ = self.windows(texts, share, rng)
+        order = rng.permutation(len(targets))
+        squares = squares if squares is not None else self.squares()
         for i in range(0, len(order), batch):
             at = order[i : i + batch]
             for p, s, g in zip(self.params, squares, self.gradients(contexts[at], targets[at])[1]):
@@ -158,6 +173,9 @@ class Network:
                 p -= rate * g / np.sqrt(s)
         return len(targets)
 
+    def squares(self) -> list[np.ndarray]:
+        return [np.full_like(p, 1e-6) for p in self.params]
+
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Summed log-probabilities and numbers of tokens."""
         sums, counts = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
@@ -168,30 +186,45 @@ class Network:
         return sums, counts
 
 
-def train(docs: DataFrame, words: int = 192, buckets: int = 64, hidden: int = 32, share: float = 1 / 16, rounds: int = 2, text_col: str = "text") -> Network:
+def train(docs: DataFrame, words: int = 192, buckets: int = 64, hidden: int = 32, share: float = 1 / 8, rounds: int = 2, text_col: str = "text") -> Network:
     """A network for docs.
 
-    The vocabulary comes from the counts of all tokens of all texts. In each round every task trains on its own texts whose
-    hash is within share, and the tasks' weights are averaged by their tokens: what is learned from grows with
-    docs, and what is sent is one set of weights a task, summed in two steps.
+    The vocabulary comes from the counts of all tokens of all texts. Every text is trained on in one of the rounds, by its
+    hash: a random share of its tokens is masked, and these are to be predicted. In each round every task trains on
+    its own texts and the tasks' weights are averaged by their tokens: what is learned from grows with docs, and what is
+    sent is one set of weights a task, summed in two steps.
     """
     need(docs, text_col)
     texts = docs.select(F.col(text_col).alias("text"))
     top = count_tokens(texts).orderBy(F.desc("n"), "token").limit(words).collect()
     network = Network(Vocabulary([r.token for r in top], buckets), hidden)
-    sample = texts.filter("text <> ''").filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000))
     sc = docs.sparkSession.sparkContext
-    for _ in range(rounds):
+    for k in range(rounds):
+        own_turn = texts.filter("text <> ''").filter(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k)
         shared = sc.broadcast(network)
 
         def local(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = [t for b in it for t in b.column("text").to_pylist()]
-            if own:
-                net = pickle.loads(pickle.dumps(shared.value))
-                n = 0
-                for i, (a, z) in enumerate(batches(own, 2_000_000)):
-                    n += net.fit(own[a:z], seed=i)
-                yield _weights([p.astype(np.float64) * n for p in net.params], n, zlib.crc32(own[0].encode()))
+            net = pickle.loads(pickle.dumps(shared.value))
+            squares, n, held, size, mark = net.squares(), 0, [], 0, 0
+
+            def learn() -> int:
+                nonlocal mark, size
+                mark = zlib.crc32(held[0].encode(), mark)
+                done = net.fit(held, seed=mark, share=share, squares=squares)
+                held.clear()
+                size = 0
+                return done
+
+            for b in it:
+                for t in b.column("text").to_pylist():
+                    held.append(t)
+                    size += len(t)
+                    if size > TRAIN_CHARS:
+                        n += learn()
+            if held:
+                n += learn()
+            if n:
+                yield _weights([p.astype(np.float64) * n for p in net.params], n, mark)
 
         def add(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, tokens = None, 0
@@ -201,7 +234,7 @@ def train(docs: DataFrame, words: int = 192, buckets: int = 64, hidden: int = 32
             if total is not None:
                 yield _weights(total, tokens, 0)
 
-        parts = sample.mapInArrow(local, "part long, n long, weights binary")
+        parts = own_turn.mapInArrow(local, "part long, n long, weights binary")
         width = max(1, int(docs.rdd.getNumPartitions() ** 0.5))
         total, tokens = None, 0
         for r in parts.repartition(width, "part").mapInArrow(add, "part long, n long, weights binary").toLocalIterator():
