@@ -71,7 +71,7 @@ def derived(spark, sf_dir):
 def upserted(spark, sf_dir):
     """Turns after the users' turns of the odd conversations are written anew, in place of all that those had."""
     t = turns(spark, sf_dir).select("id", "content_id", "role", "text")
-    batch = t.filter("role = 'user' and cast(substr(content_id, 2) as bigint) % 2 = 1").withColumn("text", F.upper("text"))
+    batch = t.filter("role = 'user' and cast(substr(content_id, 2) as bigint) % 2 = 1").withColumn("text", F.concat("text", F.lit(" (again)")))
     return records.content_upsert(t, batch, F.col("content_id").isin([r.content_id for r in batch.select("content_id").distinct().collect()])).select("id", "role", F.md5("text").alias("digest"))
 
 
@@ -186,7 +186,7 @@ SQL = {
     "filter_unknown_keys": "SELECT unnest(['nope', 'other']) AS key",
     "write_derived_ids": "SELECT 'c' || conv_id || ':' || turn AS id, conv_id, turn FROM conversations",
     "write_content_upsert": """WITH t AS (SELECT 'c' || conv_id || ':' || turn AS id, conv_id, role, text FROM conversations),
-        b AS (SELECT id, conv_id, role, upper(text) AS text FROM t WHERE role = 'user' AND conv_id % 2 = 1)
+        b AS (SELECT id, conv_id, role, text || ' (again)' AS text FROM t WHERE role = 'user' AND conv_id % 2 = 1)
         SELECT id, role, md5(text) AS digest FROM (SELECT * FROM t WHERE conv_id NOT IN (SELECT conv_id FROM b) UNION ALL SELECT * FROM b)""",
     "write_skip": f"WITH {INCOMING}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS n FROM i) SELECT id, pos, value FROM r WHERE n = 1 AND id NOT IN (SELECT id FROM x)",
     "write_overwrite": f"WITH {INCOMING} SELECT id, min(pos) AS pos, arg_max(value, pos) AS value FROM i GROUP BY id",
