@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ranklake.llm.common import need, unused, written
-from ranklake.llm.exact_dedup import _ordered
+from ranklake.llm.exact_dedup import Bloom, _ordered, probe
 
 #: A fingerprint has 128 bits in 16 blocks of a byte, and two that differ in BITS at most are near. Two blocks at least are
 #: alike for sure up to SURE bits, and for 97 in 100 pairs that differ in all of BITS, where the bits fall by chance.
@@ -184,18 +184,57 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows
     return labelled.join(sizes, "group").select(F.col("id").alias("doc_id"), "keep_doc_id", F.col("id").eqNullSafe(F.col("keep_doc_id")).alias("kept"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_a_part: int = 500_000) -> DataFrame:
+def members(hashes: DataFrame, shards: int, bits_each: int) -> DataFrame:
+    """(shard, words): a Bloom filter, for probe(), of the hashes (column h) of each shard that has any."""
+
+    def f(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, list[np.ndarray]] = {}
+        for b in it:
+            shard, h = (b.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "h"))
+            for k in np.unique(shard):
+                own.setdefault(int(k), []).append(h[shard == k])
+        for k, parts in own.items():
+            h = np.unique(np.concatenate(parts))
+            bloom = Bloom(len(h), bits_each)
+            bloom.add(h)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([bloom.words.view(np.int64)], pa.list_(pa.int64()))], ["shard", "words"])
+
+    return hashes.select(F.expr(_shard("h", shards)).alias("shard"), "h").repartition(shards, "shard").mapInArrow(f, "shard int, words array<long>")
+
+
+def _shard(h: str, shards: int) -> str:
+    return f"cast(shiftrightunsigned({h}, 20) % {shards} as int)"
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_a_part: int = 500_000, bits_each: int = 12, max_filter_mb: int = 64) -> DataFrame:
     """One row of docs, with all its columns, of each group of near duplicates, and all rows that have none.
 
     The row that stays has the least id, nulls last (ties: the other plain columns, in order). See groups() for the rest.
+
+    Texts are shuffled only where a Bloom filter of the groups' hashes has theirs; other rows pass straight through. If the
+    filters took more than max_filter_mb, none is broadcast and every row is shuffled: the result is the same.
     """
     need(docs, id_col, text_col)
-    group, rank, h1, h2 = (unused(docs, x) for x in ("group__", "rank__", "h1__", "h2__"))
+    group, rank, h1, h2, shard, words = (unused(docs, x) for x in ("group__", "rank__", "h1__", "h2__", "shard__", "words__"))
     labelled = _labelled(docs, id_col, text_col, rows_a_part)
     more = labelled.withColumn("n", F.count("*").over(Window.partitionBy("group"))).filter("n > 1").select(F.col("h1").alias(h1), F.col("h2").alias(h2), F.col("group").alias(group)).distinct()
+    more = written(more)
     hashed = docs.withColumns({h1: F.when(F.col(f"`{text_col}`").isNotNull(), _hashes(text_col)[0]), h2: _hashes(text_col)[1]})
-    flagged = hashed.join(written(more), [h1, h2], "left")
-    straight = flagged.filter(F.col(group).isNull()).select(*(f"`{c}`" for c in docs.columns))
+    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    made = written(members(more.select(F.col(h1).alias("h")), shards, bits_each))
+    columns = [f"`{c}`" for c in docs.columns]
+    out = []
+    if (made.agg(F.sum(F.size("words")).alias("n")).first().n or 0) * 8 <= max_filter_mb << 20:
+        probed = hashed.withColumn(shard, F.expr(_shard(h1, shards))).join(F.broadcast(made.select(F.col("shard").alias(shard), F.col("words").alias(words))), shard, "left")
+        hit = F.coalesce(F.expr(probe(h1, words)), F.lit(False))
+        out.append(probed.filter(~hit).select(*columns))
+        hashed = probed.filter(hit).drop(words, shard)
+    flagged = hashed.join(more, [h1, h2], "left")
+    out.append(flagged.filter(F.col(group).isNull()).select(*columns))
     first = F.row_number().over(Window.partitionBy(group).orderBy(*_ordered(docs, id_col)))
     kept = flagged.filter(F.col(group).isNotNull()).withColumn(rank, first).filter(F.col(rank) == 1)
-    return straight.unionByName(kept.select(*(f"`{c}`" for c in docs.columns)))
+    out.append(kept.select(*columns))
+    whole = out[0]
+    for part in out[1:]:
+        whole = whole.unionByName(part)
+    return whole
