@@ -14,10 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ranklake.llm.common import batches, need
+from ranklake.llm.common import batches, need, written
 
 #: Tokens to each side that a prediction sees.
 SIDE = 2
+#: Tokens whose share of their class goes to every task; shares of rarer ones are joined.
+NEAR = 131_072
 #: Words that a task remembers before it starts over; predictions in a step (of a size that stays in the cache).
 MEMORY, STEP = 400_000, 1024
 #: Characters of the texts that training shuffles together.
@@ -41,7 +43,9 @@ class Vocabulary:
         return len(self.words) + self.buckets
 
     def ids(self, text: str) -> list[int]:
-        tokens = TOKEN.findall(text.lower())
+        return self.classes(TOKEN.findall(text.lower()))
+
+    def classes(self, tokens: list[str]) -> list[int]:
         seen = self.seen
         try:
             return [seen[w] for w in tokens]
@@ -99,8 +103,11 @@ class Network:
 
     def windows(self, texts: list[str], share: float = 1.0, rng: np.random.Generator | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Contexts and targets of all tokens, or of a share of them drawn by rng, and the number of each text's tokens."""
+        return self.around([self.vocabulary.ids(t) for t in texts], share, rng)
+
+    def around(self, ids: list[list[int]], share: float = 1.0, rng: np.random.Generator | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """windows() of texts whose classes are known."""
         none = self.vocabulary.size
-        ids = [self.vocabulary.ids(t) for t in texts]
         counts = np.fromiter(map(len, ids), np.int64, len(ids))
         flat, gap = [none] * SIDE, [none] * SIDE
         for own in ids:
@@ -177,26 +184,50 @@ class Network:
         return [np.full_like(p, 1e-6) for p in self.params]
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Summed log-probabilities and numbers of tokens."""
-        sums, counts = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+        """Summed log-probabilities of the tokens' classes and numbers of tokens."""
+        return self.score_tokens(texts)[:2]
+
+    def score_tokens(self, texts: list[str], near: dict[str, float] | None = None) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
+        """Summed log-probabilities, numbers of tokens, and each text's tokens whose share of their class is still to be added.
+
+        Without near, log-shares of their classes by token, probabilities are those of the classes.
+        """
+        sums, counts, rest = np.zeros(len(texts)), np.zeros(len(texts), np.int64), []
         for a, z in batches(texts):
-            contexts, targets, n = self.windows(texts[a:z])
+            tokens = [TOKEN.findall(t.lower()) for t in texts[a:z]]
+            contexts, targets, n = self.around([self.vocabulary.classes(own) for own in tokens])
             counts[a:z] = n
             sums[a:z] = np.bincount(np.repeat(np.arange(z - a), n), self.log_probs(contexts, targets), z - a)
-        return sums, counts
+            for i, own in enumerate(tokens if near is not None else [], a):
+                shares = [near.get(w, 1.0) for w in own]
+                far = [w for w, x in zip(own, shares) if x > 0]
+                sums[i] += sum(shares) - len(far)
+                rest.append(far)
+        return sums, counts, rest
 
 
-def train(docs: DataFrame, words: int = 192, buckets: int = 64, hidden: int = 32, share: float = 1 / 8, rounds: int = 2, text_col: str = "text") -> Network:
+def sizes(distinct: int) -> tuple[int, int]:
+    """Words and buckets for so many different tokens; both grow with them, by their logarithm."""
+    bits = max(1, distinct).bit_length()
+    return 12 * bits, 4 * bits
+
+
+def train(docs: DataFrame, words: int | None = None, buckets: int | None = None, hidden: int = 32, share: float = 1 / 8, rounds: int = 2, text_col: str = "text", counts: DataFrame | None = None) -> Network:
     """A network for docs.
 
-    The vocabulary comes from the counts of all tokens of all texts. Every text is trained on in one of the rounds, by its
+    The vocabulary comes from the counts of all tokens of all texts (counts, if given); words and buckets, the numbers of its
+    classes, follow that of different tokens where they are None. Every text is trained on in one of the rounds, by its
     hash: a random share of its tokens is masked, and these are to be predicted. In each round every task trains on
     its own texts and the tasks' weights are averaged by their tokens: what is learned from grows with docs, and what is
     sent is one set of weights a task, summed in two steps.
     """
     need(docs, text_col)
     texts = docs.select(F.col(text_col).alias("text"))
-    top = count_tokens(texts).orderBy(F.desc("n"), "token").limit(words).collect()
+    counts = written(count_tokens(texts)) if counts is None else counts
+    if words is None or buckets is None:
+        usual = sizes(counts.count())
+        words, buckets = usual[0] if words is None else words, usual[1] if buckets is None else buckets
+    top = counts.orderBy(F.desc("n"), "token").limit(words).collect()
     network = Network(Vocabulary([r.token for r in top], buckets), hidden)
     sc = docs.sparkSession.sparkContext
     for k in range(rounds):
@@ -249,25 +280,62 @@ def _weights(params: list[np.ndarray], n: int, part: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([n], pa.int64()), pa.array([pickle.dumps(params)], pa.binary())], ["part", "n", "weights"])
 
 
-def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shares(counts: DataFrame, vocabulary: Vocabulary) -> tuple[DataFrame, list[float]]:
+    """(token, share) of all counted tokens, the log-probability of each within its class; and that of any other, by bucket.
+
+    A token counts as often as it came up, one that never did for half a time, and a bucket is taken to have one more of
+    these than of the others. A word has its class to itself.
+    """
+    words = counts.sparkSession.createDataFrame([(w,) for w in vocabulary.words], "token string")
+    rest = counts.join(F.broadcast(words), "token", "left_anti").withColumn("bucket", _bucket("token", vocabulary))
+    totals = [0.5] * vocabulary.buckets
+    for r in rest.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect():
+        totals[r.bucket] = r.n + (r.kinds + 1) / 2
+    of = F.element_at(F.array(*map(F.lit, totals)), F.col("bucket") + 1)
+    own = words.withColumn("share", F.lit(0.0)).unionByName(rest.select("token", F.log(F.col("n") / of).alias("share")))
+    return own, [float(np.log(0.5 / x)) for x in totals]
+
+
+def _bucket(col: str, vocabulary: Vocabulary) -> F.Column:
+    """Vocabulary.classes()'s bucket, from 0."""
+    return (F.crc32(F.encode(col, "utf-8")) % vocabulary.buckets).cast("int")
+
+
+def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text", counts: DataFrame | None = None, near: int = NEAR) -> DataFrame:
     """(doc_id, n_tokens, log_prob, log_prob_per_token) of each row of docs.
 
-    Every token counts, at the text's ends with fewer neighbours; tokens are words and marks in lower case, and rare ones
-    are predicted as the class they share. A text without tokens has a log_prob of 0 and none a token; a null text
+    Every token counts, at the text's ends with fewer neighbours; tokens are words and marks in lower case. With counts, of
+    count_tokens(), log_prob is of the tokens: log p(class | context) + log p(token | class), the second by shares(). Without
+    it is of the classes, in which rare tokens are alike. The shares of the near most frequent tokens are sent to all
+    tasks, those of the others joined, with the same result. A text without tokens has a log_prob of 0 and none a token; a null text
     has nulls. Rows are never merged; other columns are ignored.
     """
     need(docs, id_col, text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(network)
+    spark, kind = docs.sparkSession, dict(rows.dtypes)["doc_id"]
+    table: dict[str, float] | None = None
+    if counts is not None:
+        every, unseen = shares(counts, network.vocabulary)
+        often = counts.orderBy(F.desc("n"), "token").limit(near).select("token")
+        table = {r.token: r.share for r in every.join(often, "token").toLocalIterator()} | dict.fromkeys(network.vocabulary.words, 0.0)
+    shared = spark.sparkContext.broadcast((network, table))
 
     def f(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net, known = shared.value
         for b in it:
             texts = b.column("text").to_pylist()
             there = [i for i, t in enumerate(texts) if t is not None]
-            n, total, each = [None] * len(texts), [None] * len(texts), [None] * len(texts)
-            sums, counts = shared.value.score([texts[i] for i in there])
-            for i, s, c in zip(there, sums.tolist(), counts.tolist()):
-                n[i], total[i], each[i] = c, s, s / c if c else None
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int32()), pa.array(total, pa.float64()), pa.array(each, pa.float64())], ["doc_id", "n_tokens", "log_prob", "log_prob_per_token"])
-
-    return rows.mapInArrow(f, f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens int, log_prob double, log_prob_per_token double")
+            n, total, rest = [None] * len(texts), [None] * len(texts), [None] * len(texts)
+            sums, numbers, far = net.score_tokens([texts[i] for i in there], known)
+            for k, (i, s, c) in enumerate(zip(there, sums.tolist(), numbers.tolist())):
+                n[i], total[i], rest[i] = c, s, far[k] if far else None
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int32()), pa.array(total, pa.float64()), pa.array(rest, pa.list_(pa.string()))], ["doc_id", "n_tokens", "log_prob", "rest"])
+
+    out = rows.mapInArrow(f, f"doc_id {kind}, n_tokens int, log_prob double, rest array<string>")
+    if counts is not None:
+        out = written(out.withColumn("row", F.monotonically_increasing_id()))  # rows keep their numbers
+        far = out.select("row", F.explode("rest").alias("token")).groupBy("row", "token").agg(F.count("*").alias("times"))
+        other = F.element_at(F.array(*map(F.lit, unseen)), _bucket("token", network.vocabulary) + 1)
+        added = far.join(every, "token", "left").groupBy("row").agg(F.sum(F.col("times") * F.coalesce("share", other)).alias("added"))
+        out = out.join(added, "row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("added", F.lit(0.0)))
+    return out.select("doc_id", "n_tokens", "log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("log_prob_per_token"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ranklake.llm import bpe, exact_dedup, langid, licenses, lm, packing, quality, sharding, simhash, warc
+from ranklake.llm.common import written
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,7 +66,8 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pseudo-likelihood of every document."""
     docs = _t(spark, sf_dir, "documents")
-    return lm.score(docs, lm.train(docs))
+    counts = written(lm.count_tokens(docs))
+    return lm.score(docs, lm.train(docs, counts=counts), counts=counts)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -71,3 +71,44 @@ def test_counts_and_odd_rows(spark):
     assert {(r.doc_id, r.n_tokens) for r in out} == {(1, 4), (None, 1), (2, None), (3, 0), (4, 200_000)}
     assert [(r.log_prob, r.log_prob_per_token) for r in out if r.doc_id == 3] == [(0.0, None)]
     assert lm.score(docs.limit(0), lm.train(docs.limit(0))).count() == 0
+
+
+def test_log_prob_is_of_tokens(spark):
+    rows = [(1, "the cat the dog the zebra ."), (2, "the the cat cat cat ."), (3, "unheard été the"), (4, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    own = docs.filter("doc_id <> 3")
+    counts = lm.count_tokens(own)
+    n = lm.train(own, words=2, buckets=2, counts=counts)
+    v, seen = n.vocabulary, {r.token: r.n for r in counts.collect()}
+
+    def share(w):
+        if w in v.words:
+            return 0.0
+        mates = [k for k in seen if k not in v.words and v.ids(k) == v.ids(w)]
+        return math.log(seen.get(w, 0.5) / (sum(seen[k] for k in mates) + (len(mates) + 1) / 2))
+
+    for near in (0, 3, 1000):
+        got = {r.doc_id: r for r in lm.score(docs, n, counts=counts, near=near).collect()}
+        for doc, text in rows[:3]:
+            tokens = lm.TOKEN.findall(text)
+            want = slow(n, text)[0] + sum(map(share, tokens))
+            assert got[doc].log_prob == pytest.approx(want, rel=1e-4)
+            assert got[doc].log_prob_per_token == pytest.approx(want / len(tokens), rel=1e-4)
+        assert got[4].log_prob is None and got[5].log_prob == 0 and got[5].log_prob_per_token is None
+    assert share("unheard") < min(share(w) for w in seen if v.ids(w) == v.ids("unheard"))
+
+
+def test_held_out_tokens_beat_unigrams(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    own, held = docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 2 = 1")
+    counts = lm.count_tokens(own)
+    n = lm.train(own, counts=counts)
+    out = lm.score(held, n, counts=counts).collect()
+    seen = {r.token: r.n for r in counts.collect()}
+    total = sum(seen.values()) + (len(seen) + 1) / 2
+    unigram = sum(math.log(seen.get(w, 0.5) / total) for r in held.collect() if r.text for w in lm.TOKEN.findall(r.text.lower()))
+    assert sum(r.log_prob for r in out if r.n_tokens) > unigram
+
+
+def test_classes_follow_the_counts():
+    assert lm.sizes(0) < lm.sizes(1000) < lm.sizes(1_000_000)
