@@ -1,7 +1,7 @@
 """Signatures of licences, in order: priority | licence | keyword | pattern.
 
-Of two detections where one lies within the other, that of the lower priority number stays. Keywords are in lower case, and
-a text without one skips its rule; patterns ignore case, and white space in them stands for any white space.
+Of two detections where one lies within the other, that of the lower priority number stays. Keywords say
+what a rule is about; which texts skip it follows from its pattern. Patterns ignore case, and white space in them stands for any white space.
 Priorities: 1 tags, 2 legal texts, 3 names with a version, 4 links, 5 names, 6 mentions of a family, 7 generic statements.
 """
 

@@ -1,10 +1,12 @@
-"""Licence scans by ordered signatures behind a keyword filter; what overlaps is settled by priority and containment."""
+"""Licence scans by ordered signatures behind a filter of substrings; what overlaps is settled by priority and containment."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from re import _constants as C  # the parse tree of patterns
+from re import _parser
 from typing import NamedTuple
 
 import ahocorasick
@@ -42,22 +44,67 @@ def parse(rules: str) -> list[Rule]:
     return out
 
 
+def required(pattern: re.Pattern) -> set[str]:
+    """Substrings, in lower case, of which every match holds one; empty, if there are none such. The longest that there are."""
+
+    def best(sets: list[set[str]]) -> set[str]:
+        return max((x for x in reversed(sets) if x and min(map(len, x))), key=lambda x: min(map(len, x)), default=set())
+
+    def walk(tree) -> set[str]:
+        sets, run = [], ""
+
+        def end() -> None:
+            nonlocal run
+            sets.append({run})
+            run = ""
+
+        def add(part) -> None:
+            nonlocal run
+            for op, value in part:
+                if op is C.LITERAL:
+                    run += chr(value).lower()
+                elif op is C.SUBPATTERN:
+                    add(value[3])
+                elif op not in (C.AT, C.ASSERT, C.ASSERT_NOT):
+                    end()
+                    if op is C.BRANCH:
+                        own = [walk(x) for x in value[1]]
+                        sets.append(set().union(*own) if all(own) else set())
+                    elif op in (C.MAX_REPEAT, C.MIN_REPEAT, C.POSSESSIVE_REPEAT) and value[0]:
+                        sets.append(walk(value[2]))
+
+        add(tree)
+        end()
+        return best(sets)
+
+    return walk(_parser.parse(pattern.pattern, pattern.flags))
+
+
+def plain(text: str) -> str:
+    """text in lower case, with an i, k or s for all that patterns take for one where case is ignored."""
+    low = text.lower()
+    return low if low.isascii() else low.replace("i\u0307", "i").replace("ı", "i").replace("ſ", "s")
+
+
 class Scanner:
     def __init__(self, rules: str = RULES):
         self.rules = parse(rules)
-        # keywords that differ by white space alone meet any white space through their first word
         self.words = ahocorasick.Automaton()
         gates: dict[str, list[Rule]] = {}
+        self.always: list[Rule] = []
         for r in self.rules:
-            gates.setdefault(max(r.keyword.split(), key=len), []).append(r)
+            for word in (own := required(r.pattern)):
+                gates.setdefault(word, []).append(r)
+            if not own:
+                self.always.append(r)
         for word, own in gates.items():
             self.words.add_word(word, own)
         self.words.make_automaton()
 
     def candidates(self, text: str) -> list[Rule]:
-        """The rules whose keyword's longest word the text has."""
-        met = {id(own): own for _, own in self.words.iter(text.lower())}
-        return sorted(r for own in met.values() for r in own)
+        """The rules that the text may match: it has a substring that their matches require."""
+        met = {id(own): own for _, own in self.words.iter(plain(text))}
+        return sorted({r.rule_id: r for own in [self.always, *met.values()] for r in own}.values())
 
     def scan(self, text: str) -> list[Found]:
         return settle([Found(m.start(), m.end(), r) for r in self.candidates(text) for m in r.pattern.finditer(text)])
@@ -108,8 +155,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """(doc_id, start, end, rule_id, license, priority, matched): a row for each detection that stays.
 
     Positions count characters from 0, the end excluded. Null and empty texts have no detections; repeated rows have theirs
-    each. Other columns are ignored. A letter whose lower case is more than one character may hide a keyword, not move a
-    position: keywords alone are sought in lower case.
+    each. Other columns are ignored. Lower case is for the filter alone, and moves no position.
     """
     need(docs, id_col, text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

@@ -40,3 +40,24 @@ def test_odd_rows(spark):
     got = [(r.doc_id, r.start, r.end, r.license, r.matched) for r in L.scan(df).collect()]
     assert sorted(got, key=str) == sorted([(1, 0, 11, "MIT", "MIT License")] * 2 + [(None, 2, 13, "MIT", "MIT License"), (4, 200_000, 200_011, "MIT", "MIT License")], key=str)
     assert L.scan(df.limit(0)).count() == 0
+
+
+SPELLINGS = ["MIT licence", "MIT-licenced", "mit-licence", "Expat Licence", "X11 licence", "ISC licence", "zlib licence", "zlib/libpng licence", "Ruby's licence", "Vim licence", "curl licence", "ICU Licence", "JSON licence", "Apache Licence", "BSD licence",
+             "BSD-style licence", "see licence", "see the licence file", "Open RAIL", "BigScience Open\nRAIL-M", "open rail++-m licence", "GNU General Public Licence", "PostgreSQL licence", "end user licence agreement", "MİT Lıcenſe", "Apache\u00a0Licence", "three clause BSD licence"]
+
+
+def test_every_spelling_passes_the_filter():
+    s = L.Scanner()
+    for text in SPELLINGS:
+        every = [L.Found(m.start(), m.end(), rule) for rule in s.rules for m in rule.pattern.finditer(text)]
+        assert every and s.scan(text) == L.settle(every), text
+
+
+def test_required():
+    of = lambda p: L.required(L.parse(f"1 | x | x | {p}")[0].pattern)
+    assert of(r"\bmit licen[cs]e\b") == {"licen"}
+    assert of(r"open ?rail(-m)?") == {"rail"}
+    assert of(r"(old bsd|simplified)( licen[cs]e)?") == {"bsd", "simplified"}
+    assert of(r"(ab)?[cd]") == set() and of(r"a(b|)(?!cde)") == {"a"}
+    s = L.Scanner()
+    assert not s.always
