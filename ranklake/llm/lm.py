@@ -132,7 +132,7 @@ class Network:
         out = np.empty(len(targets), np.float64)
         first, last = e[0] + bias, np.concatenate([o, c[None]], 0)  # the biases go along with the look-up and the product
         h, z, ones = np.ones((STEP, len(last)), np.float32), np.empty((STEP, len(c)), np.float32), np.ones(len(c), np.float32)
-        safe = float((np.abs(o).sum(0) + np.abs(c)).max()) < 80  # no hidden value is above 1, so no exponential overflows
+        safe = self.safe()
         for i in range(0, len(targets), STEP):
             x, t = contexts[i : i + STEP], targets[i : i + STEP]
             n = len(t)
@@ -149,23 +149,40 @@ class Network:
 
     def gradients(self, contexts: np.ndarray, targets: np.ndarray) -> tuple[float, list[np.ndarray]]:
         """Mean negative log-probability, and its gradients."""
+        e = self.params[0]
+        loss, at, sums, rest = self.sparse_gradients(contexts, targets, np.empty((len(targets), len(self.params[3])), e.dtype))
+        de = np.zeros_like(e)
+        de.reshape(-1, e.shape[2])[at] = sums
+        return loss, [de, *rest]
+
+    def sparse_gradients(self, contexts: np.ndarray, targets: np.ndarray, work: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """gradients(), where those of the embeddings are rows, by position and token, that aren't 0, and their values. work has a
+        row for each target at least, and is written over."""
         e, _, o, c = self.params
-        n = len(targets)
+        n, rows = len(targets), np.arange(len(targets))
         h = self.hidden(contexts)
-        z = h @ o + c
-        z -= z.max(1, keepdims=True)
-        p = np.exp(z)
-        p /= p.sum(1, keepdims=True)
-        loss = -float(np.log(p[np.arange(n), targets] + 1e-30).mean())
-        p[np.arange(n), targets] -= 1
-        p /= n
+        p = np.matmul(h, o, out=work[:n])
+        p += c
+        if not self.safe():
+            p -= p.max(1, keepdims=True)
+        np.exp(p, out=p)
+        total = p @ np.ones(len(c), p.dtype)
+        loss = -float(np.log(p[rows, targets] / total + 1e-30).mean())
+        p *= (1 / (total * n))[:, None]
+        p[rows, targets] -= p.dtype.type(1 / n)
         dh = (p @ o.T) * (1 - h * h)
-        de, rows, hot = np.empty_like(e), np.arange(n), np.zeros((n, e.shape[1]), np.float32)
-        for k in range(2 * SIDE):  # sums by context token, as a product
-            hot[rows, contexts[:, k]] = 1
-            de[k] = hot.T @ dh
-            hot[rows, contexts[:, k]] = 0
-        return loss, [de, dh.sum(0), h.T @ p, p.sum(0)]
+        width = e.shape[1]
+        tokens = (contexts + np.arange(0, 2 * SIDE * width, width, dtype=np.int32)).astype(np.int16 if 2 * SIDE * width < 1 << 15 else np.int32).ravel()
+        order = np.argsort(tokens, kind="stable")
+        tokens = tokens[order]
+        starts = np.concatenate([[0], np.flatnonzero(tokens[1:] != tokens[:-1]) + 1])
+        sums = np.add.reduceat(dh.take(order // (2 * SIDE), 0), starts)
+        return loss, tokens[starts], sums, [np.ones(n, p.dtype) @ dh, h.T @ p, np.ones(n, p.dtype) @ p]
+
+    def safe(self) -> bool:
+        """Whether no exponential overflows, as no hidden value is above 1."""
+        o, c = self.params[2:]
+        return float((np.abs(o).sum(0) + np.abs(c)).max()) < 80
 
     def fit(self, texts: list[str], rate: float = 0.1, batch: int = 512, seed: int = 0, share: float = 1.0, squares: list[np.ndarray] | None = None) -> int:
         """One pass of Adagrad over a share of the tokens of texts, in random order; how many they were. squares go on."""
@@ -173,9 +190,15 @@ class Network:
         contexts, targets, _ = self.windows(texts, share, rng)
         order = rng.permutation(len(targets))
         squares = squares if squares is not None else self.squares()
+        work = np.empty((batch, len(self.params[3])), np.float32)
+        embeddings, own = (x[0].reshape(-1, x[0].shape[2]) for x in (self.params, squares))
         for i in range(0, len(order), batch):
             at = order[i : i + batch]
-            for p, s, g in zip(self.params, squares, self.gradients(contexts[at], targets[at])[1]):
+            _, hit, sums, rest = self.sparse_gradients(contexts[at], targets[at], work)
+            s = own[hit] + sums * sums
+            own[hit] = s
+            embeddings[hit] -= rate * sums / np.sqrt(s)
+            for p, s, g in zip(self.params[1:], squares[1:], rest):
                 s += g * g
                 p -= rate * g / np.sqrt(s)
         return len(targets)
@@ -212,12 +235,12 @@ def sizes(distinct: int) -> tuple[int, int]:
     return 12 * bits, 4 * bits
 
 
-def train(docs: DataFrame, words: int | None = None, buckets: int | None = None, hidden: int = 32, share: float = 1 / 8, rounds: int = 2, text_col: str = "text", counts: DataFrame | None = None) -> Network:
+def train(docs: DataFrame, words: int | None = None, buckets: int | None = None, hidden: int = 32, share: float = 1.0, rounds: int = 2, text_col: str = "text", counts: DataFrame | None = None) -> Network:
     """A network for docs.
 
     The vocabulary comes from the counts of all tokens of all texts (counts, if given); words and buckets, the numbers of its
     classes, follow that of different tokens where they are None. Every text is trained on in one of the rounds, by its
-    hash: a random share of its tokens is masked, and these are to be predicted. In each round every task trains on
+    hash: each of its tokens, or a random share of them, is to be predicted. In each round every task trains on
     its own texts and the tasks' weights are averaged by their tokens: what is learned from grows with docs, and what is
     sent is one set of weights a task, summed in two steps.
     """

@@ -112,3 +112,21 @@ def test_held_out_tokens_beat_unigrams(spark):
 
 def test_classes_follow_the_counts():
     assert lm.sizes(0) < lm.sizes(1000) < lm.sizes(1_000_000)
+
+
+def test_training_covers_all_tokens_by_default(spark):
+    docs = spark.createDataFrame([(i, f"the cat {i} saw a dog . the {i % 3} end") for i in range(40)], "doc_id long, text string").coalesce(1)
+    counts = lm.count_tokens(docs)
+    a, b = lm.train(docs, counts=counts), lm.train(docs, counts=counts, share=1.0)
+    assert all((p == q).all() for p, q in zip(a.params, b.params))
+
+
+def test_a_step_equals_dense_adagrad():
+    n, texts = net(), ["the a the . x y the cat", "a a . the"]
+    want = [p.copy() for p in n.params]
+    contexts, targets, _ = n.windows(texts)
+    for p, g in zip(want, n.gradients(contexts, targets)[1]):
+        p -= 0.1 * g / np.sqrt(1e-6 + g * g)
+    assert n.fit(texts) == len(targets) == 12
+    for p, q in zip(n.params, want):
+        assert p == pytest.approx(q, rel=1e-3, abs=1e-3)
