@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ranklake.llm.common import need
+from ranklake.llm.common import need, written
+from ranklake.llm.simhash import components, labels
 
 #: Bins in a block of the residual order at most.
 BLOCK = 96
@@ -123,6 +124,19 @@ def pack(pieces: list[tuple[int, int, int]], capacity: int) -> list[tuple[int, i
     return out
 
 
+def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(doc_id, size, source, cluster) of each row of docs, for best_fit(): near duplicates by simhash and texts of the same
+    content_key() are in one cluster, and so are those that a chain of such pairs connects. Null texts are one cluster."""
+    need(docs, id_col, text_col, source_col)
+    text = F.col(text_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), words(text).alias("size"), F.col(source_col).alias("source"), content_key(text).alias("key"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
+    near = rows.join(labels(docs, id_col, text_col), ["h1", "h2"], "left")
+    near = written(near.select("doc_id", "size", "source", "key", F.coalesce("group", "key").alias("near")))
+    least = near.groupBy("key").agg(F.min("near").alias("least"), F.max("near").alias("most")).filter("least <> most").select("key", "least")
+    roots = components(near.join(least, "key").select(F.col("near").alias("a"), F.col("least").alias("b")))
+    return written(near.join(roots.withColumnRenamed("node", "near"), "near", "left").select("doc_id", "size", "source", F.coalesce("root", "near").alias("cluster")))
+
+
 def best_fit(docs: DataFrame, capacity: int = 2048, docs_a_group: int = 20_000, size: Column | None = None, cluster: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, piece, size, start, group, bin, offset): where each piece of each document goes.
 

@@ -50,7 +50,8 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bin of every piece of every document."""
-    return packing.best_fit(_t(spark, sf_dir, "documents"))
+    rows = packing.clustered(_t(spark, sf_dir, "documents"))
+    return packing.best_fit(rows, size=F.col("size"), cluster=F.col("cluster"), text_col="cluster")
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -169,6 +169,11 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, rows_a_part: int) ->
     return made.withColumn("node", _node("")).join(roots, "node", "left").select("id", "h1", "h2", F.coalesce("root", "node").alias("group"))
 
 
+def labels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_a_part: int = 500_000) -> DataFrame:
+    """(h1, h2, group): the group of each different text, by its hashes; the same for those that are near."""
+    return _labelled(docs, id_col, text_col, rows_a_part).select("h1", "h2", "group").dropDuplicates(["h1", "h2"])
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_a_part: int = 500_000) -> DataFrame:
     """(doc_id, keep_doc_id, kept) of the rows of docs that have near duplicates; keep_doc_id is the least id of the group.
 

@@ -59,3 +59,21 @@ def test_odd_rows(spark):
     assert sorted(r.size for r in got if r.doc_id == 4) == [904, 2048, 2048]
     assert len({r.bin for r in got if r.doc_id == 1}) == 2
     assert P.best_fit(docs.limit(0)).count() == 0
+
+
+def test_near_copies_of_other_sources_share_no_bin(spark, tmp_path):
+    from ranklake.llm import queries
+
+    base = [f"word{i}" for i in range(300)]
+    texts = [" ".join(base), " ".join([*base[:-1], "edited"]), " ".join(base).upper() + "!", "foo bar", "foobar", "other text here", None, None, "", "foo bar"]
+    rows = [(i, t, f"s{i}") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    cluster = {r.doc_id: r.cluster for r in P.clustered(docs).collect()}
+    assert len(cluster) == len(rows)
+    assert cluster[0] == cluster[1] == cluster[2] and cluster[3] == cluster[4] == cluster[9] and cluster[6] == cluster[7]
+    assert len({cluster[k] for k in (0, 3, 5, 6, 8)}) == 5
+    got = queries.op7_packing(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    bins = [(r.group, r.bin, cluster[r.doc_id]) for r in got]
+    assert len(set(bins)) == len(bins)
