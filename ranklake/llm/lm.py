@@ -1,364 +1,520 @@
-"""Masked pseudo-likelihood: a window network predicts every token from both sides, and the log-probabilities are summed."""
+"""Masked pseudo-likelihood: a window network predicts every token from both sides, and the log-probabilities are summed.
+
+Texts are tokenised once, to a table of blocks; counting, training and scoring read that.
+"""
 
 from __future__ import annotations
 
 import pickle
 import re
 import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from itertools import count
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ranklake.llm.common import batches, need, written
+from ranklake.llm.common import forget, need, written
 
 #: Tokens to each side that a prediction sees.
 SIDE = 2
+OFFSETS = (*range(-SIDE, 0), *range(1, SIDE + 1))
 #: Tokens whose share of their class goes to every task; shares of rarer ones are joined.
 NEAR = 131_072
-#: Words that a task remembers before it starts over; predictions in a step (of a size that stays in the cache).
-MEMORY, STEP = 400_000, 1024
-#: Characters of the texts that training shuffles together.
-TRAIN_CHARS = 2_000_000
+#: Characters in a block, and in a piece of a longer text.
+BLOCK_CHARS, PIECE_CHARS = 1_000_000, 1_000_000
+#: Tokens that training shuffles together, in one step of it, and in one step of scoring.
+SHUFFLED, BATCH, STEP = 500_000, 2048, 8192
 TOKEN = re.compile(r"\w+|[^\w\s]")
+NOT_WORD = re.compile(r"\W")
+
+
+# Tokens
+
+
+def cut(text: str, size: int = PIECE_CHARS) -> Iterator[list[str]]:
+    """The tokens of a text, in lower case, of about size characters at a time; no token is cut."""
+    text, at = text.lower(), 0
+    while at < len(text):
+        found = NOT_WORD.search(text, at + size)
+        end = found.start() if found else len(text)
+        yield TOKEN.findall(text, at, end)
+        at = end
+
+
+def tokenise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", piece_chars: int = PIECE_CHARS) -> DataFrame:
+    """Blocks of the texts of docs, not yet written: (rows, doc_ids, keys, sizes, lefts, rights, ids, tokens, counts).
+
+    ids are the tokens' places in the block's own list tokens, as 32 bits each, counts how often each is there. A text
+    longer than piece_chars is in several pieces; lefts and rights say how many tokens of the neighbours stand around a piece, so that
+    each token is with what it is predicted from. sizes don't count these; -1 is a null text. rows numbers the rows of
+    docs, keys is the hash of id and text.
+    """
+    need(docs, id_col, text_col)
+    text = F.col(text_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col).cast("string"), text).alias("key"), text.alias("text"))
+
+    def f(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 33
+        block = _Block()
+        for b in it:
+            doc_ids, keys = b.column("doc_id"), b.column("key").to_numpy(zero_copy_only=False)
+            keys = _told_apart(keys)
+            for i, text in enumerate(b.column("text").to_pylist()):
+                if block.chars and block.chars + len(text or "") > BLOCK_CHARS:
+                    yield block.batch()
+                    block = _Block()
+                own = row, doc_ids.slice(i, 1), keys[i]
+                row += 1
+                if not text:
+                    block.add(*own, -1 if text is None else 0, 0, 0, [])
+                    continue
+                before, now = [], []
+                for tokens in cut(text, piece_chars):
+                    if len(now) >= SIDE and len(tokens) >= SIDE:
+                        block.add(*own, len(now), len(before), SIDE, before + now + tokens[:SIDE])
+                        yield block.batch()
+                        block = _Block()
+                        before, now = now[-SIDE:], tokens
+                    else:
+                        now = now + tokens
+                block.add(*own, len(now), len(before), 0, before + now)
+                block.chars += min(len(text), piece_chars)
+        if block.rows:
+            yield block.batch()
+
+    return rows.mapInArrow(f, f"rows array<long>, doc_ids array<{dict(rows.dtypes)['doc_id']}>, keys array<long>, sizes array<int>, lefts array<int>, rights array<int>, ids binary, tokens array<string>, counts array<long>")
+
+
+def _told_apart(keys: np.ndarray) -> np.ndarray:
+    """The keys, of which a repeated one differs from the one before, so that copies of a row are spread."""
+    order = np.argsort(keys, kind="stable")
+    ranked = keys[order]
+    first = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+    nth = np.arange(len(keys)) - np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))
+    out = keys.copy()
+    out[order] += nth * 0x1E3779B97F4A7C15
+    return out
+
+
+class _Block:
+    def __init__(self):
+        self.rows: list[int] = []
+        self.doc_ids, self.keys, self.sizes, self.lefts, self.rights, self.ids = [], [], [], [], [], []
+        self.places: defaultdict[str, int] = defaultdict(count().__next__)
+        self.chars = 0
+
+    def add(self, row: int, doc_id: pa.Array, key: int, size: int, left: int, right: int, tokens: list[str]) -> None:
+        for held, x in zip((self.rows, self.doc_ids, self.keys, self.sizes, self.lefts, self.rights), (row, doc_id, key, size, left, right)):
+            held.append(x)
+        self.ids.append(np.fromiter(map(self.places.__getitem__, tokens), np.int32, len(tokens)))
+
+    def batch(self) -> pa.RecordBatch:
+        ids = np.concatenate(self.ids)
+        left, right = np.array(self.lefts), np.array(self.rights)
+        lengths = np.maximum(self.sizes, 0) + left + right
+        counts = np.bincount(ids, minlength=len(self.places))
+        for own, ends in ((left, np.cumsum(lengths) - lengths + left), (right, np.cumsum(lengths))):  # neighbours count in their own piece
+            for k in np.flatnonzero(own):
+                np.subtract.at(counts, ids[ends[k] - own[k] : ends[k]], 1)
+        one = lambda x, t: pa.array([x], pa.list_(t))
+        doc_ids = pa.concat_arrays(self.doc_ids)
+        columns = [one(self.rows, pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids), one(self.keys, pa.int64()), *(one(x, pa.int32()) for x in (self.sizes, self.lefts, self.rights)), pa.array([ids.tobytes()], pa.binary()), one(list(self.places), pa.string()), one(counts, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["rows", "doc_ids", "keys", "sizes", "lefts", "rights", "ids", "tokens", "counts"])
+
+
+def count_tokens(blocks: DataFrame) -> DataFrame:
+    """(token, n) over all texts."""
+    each = blocks.select(F.explode(F.arrays_zip("tokens", "counts")).alias("e")).select(F.col("e.tokens").alias("token"), F.col("e.counts").alias("n"))
+    return each.groupBy("token").agg(F.sum("n").alias("n")).filter("n > 0")
+
+
+# Classes
+
+
+def sizes(distinct: int) -> tuple[int, int]:
+    """Words and buckets for so many different tokens; both grow with them, by their cube root."""
+    words = ceil(8 * distinct ** (1 / 3))
+    return words, words // 4 + 1
 
 
-@dataclass
 class Vocabulary:
-    """The most frequent tokens are classes of their own; the others share classes by their hash."""
+    """Classes of tokens: the most frequent ones have their own, the others share buckets by their hash.
 
-    words: list[str]
-    buckets: int
-    seen: dict[str, int] = field(default_factory=dict)
+    Classes are numbered by falling frequency and cut to groups, of which each holds about the same sum of the roots of
+    frequencies: p(class) is p(group) p(class | group).
+    """
 
-    def __post_init__(self):
-        self.at = {w: i for i, w in enumerate(self.words)}
+    def __init__(self, words: list[str], bucket_totals: list[float], word_counts: list[int]):
+        self.words, self.buckets = words, len(bucket_totals)
+        totals = np.array([*word_counts, *bucket_totals], np.float64)
+        order = np.argsort(-totals, kind="stable")
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(len(order))
+        self.at = dict(zip(words, number.tolist()))
+        self.bucket_at = number[len(words) :].tolist()
+        self.totals = totals[order]
+        mass = np.sqrt(self.totals)
+        groups = ceil(len(order) ** 0.5 / 2)
+        _, self.group = np.unique(((np.cumsum(mass) - mass / 2) * groups / mass.sum()).astype(np.int64), return_inverse=True)
+        self.starts = np.searchsorted(self.group, np.arange(self.group[-1] + 2)).tolist()
 
     @property
     def size(self) -> int:
-        return len(self.words) + self.buckets
+        return len(self.totals)
+
+    def classes(self, tokens: list[str]) -> np.ndarray:
+        at, buckets = self.at, self.bucket_at
+        return np.fromiter((k if (k := at.get(w)) is not None else buckets[zlib.crc32(w.encode()) % len(buckets)] for w in tokens), np.int32, len(tokens))
 
-    def ids(self, text: str) -> list[int]:
-        return self.classes(TOKEN.findall(text.lower()))
 
-    def classes(self, tokens: list[str]) -> list[int]:
-        seen = self.seen
-        try:
-            return [seen[w] for w in tokens]
-        except KeyError:
-            if len(seen) > MEMORY:
-                seen.clear()
-            for w in tokens:
-                if w not in seen:
-                    i = self.at.get(w)
-                    seen[w] = len(self.words) + zlib.crc32(w.encode()) % self.buckets if i is None else i
-            return [seen[w] for w in tokens]
+def vocabulary(counts: DataFrame, words: int | None = None, buckets: int | None = None) -> Vocabulary:
+    """From the counts of all tokens; where words or buckets are None, they follow the number of different tokens."""
+    usual = sizes(counts.count())
+    words, buckets = usual[0] if words is None else words, usual[1] if buckets is None else buckets
+    top = counts.orderBy(F.desc("n"), "token").limit(words).collect()
+    totals = [0.5] * buckets
+    for r in _rest(counts, [r.token for r in top], buckets).groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect():
+        totals[r.bucket] = r.n + (r.kinds + 1) / 2
+    return Vocabulary([r.token for r in top], totals, [r.n for r in top])
 
-    def __getstate__(self):
-        return self.words, self.buckets
 
-    def __setstate__(self, state):
-        self.__init__(*state)
+def _words(counts: DataFrame, words: list[str]) -> DataFrame:
+    return counts.sparkSession.createDataFrame([(w,) for w in words], "token string")
 
 
-def count_tokens(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(token, n) over all texts."""
+def _rest(counts: DataFrame, words: list[str], buckets: int) -> DataFrame:
+    """(token, n, bucket) of the tokens without a class of their own."""
+    return counts.join(F.broadcast(_words(counts, words)), "token", "left_anti").withColumn("bucket", _bucket("token", buckets))
 
-    def f(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
 
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["token", "n"])
-            counts.clear()
-            return out
+def _bucket(col: str, buckets: int) -> F.Column:
+    return (F.crc32(F.encode(col, "utf-8")) % buckets).cast("int")
 
-        for b in it:
-            for text in b.column(0).to_pylist():
-                if text:
-                    counts.update(TOKEN.findall(text.lower()))
-                if len(counts) > MEMORY:
-                    yield flush()
-        yield flush()
 
-    return docs.select(F.col(text_col)).mapInArrow(f, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+def shares(counts: DataFrame, v: Vocabulary) -> tuple[DataFrame, DataFrame]:
+    """(token, share) of all counted tokens, the log-probability of each within its class; (bucket, unseen), that of any other.
+
+    A token counts as often as it came up, one that never did for half a time, and a bucket is taken to have one more of
+    these than of the others. A word has its class to itself.
+    """
+    totals = counts.sparkSession.createDataFrame([(i, float(v.totals[k])) for i, k in enumerate(v.bucket_at)], "bucket int, total double")
+    rest = _rest(counts, v.words, v.buckets).join(F.broadcast(totals), "bucket").select("token", F.log(F.col("n") / F.col("total")).alias("share"))
+    return _words(counts, v.words).withColumn("share", F.lit(0.0)).unionByName(rest), totals.select("bucket", F.log(0.5 / F.col("total")).alias("unseen"))
+
+
+# The network
 
 
 class Network:
-    """p(token | SIDE tokens before and after): position-wise embeddings are summed, squashed and mapped to all classes."""
+    """p(class | SIDE tokens before and after): position-wise embeddings are summed, squashed and mapped to groups, and to
+    the classes of a group. At the start it gives every class its frequency, whatever the context."""
 
-    def __init__(self, vocabulary: Vocabulary, hidden: int = 32, seed: int = 1):
+    def __init__(self, v: Vocabulary, hidden: int = 32, seed: int = 1):
         r = np.random.default_rng(seed)
-        v = vocabulary.size
-        self.vocabulary = vocabulary
-        self.params = [
-            (r.normal(size=(2 * SIDE, v + 1, hidden)) * 0.3).astype(np.float32),  # the last row stands for no token
-            np.zeros(hidden, np.float32),
-            (r.normal(size=(hidden, v)) * 0.1).astype(np.float32),
-            np.zeros(v, np.float32),
-        ]
-
-    def windows(self, texts: list[str], share: float = 1.0, rng: np.random.Generator | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Contexts and targets of all tokens, or of a share of them drawn by rng, and the number of each text's tokens."""
-        return self.around([self.vocabulary.ids(t) for t in texts], share, rng)
-
-    def around(self, ids: list[list[int]], share: float = 1.0, rng: np.random.Generator | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """windows() of texts whose classes are known."""
-        none = self.vocabulary.size
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat, gap = [none] * SIDE, [none] * SIDE
-        for own in ids:
-            flat += own
-            flat += gap
-        flat_ = np.array(flat, np.int32)
-        at = np.arange(int(counts.sum())) + np.repeat(SIDE * np.arange(1, len(counts) + 1), counts)
-        if share < 1:
-            at = at[(rng or np.random.default_rng(0)).random(len(at)) < share]
-        offsets = [*range(-SIDE, 0), *range(1, SIDE + 1)]
-        return np.stack([flat_[at + o] for o in offsets], 1) if len(at) else np.zeros((0, 2 * SIDE), np.int32), flat_[at], counts
-
-    def hidden(self, contexts: np.ndarray) -> np.ndarray:
+        self.vocabulary, self.width = v, v.size + 1  # the last embedding stands for no token
+        share = v.totals / v.totals.sum()
+        of_group = np.bincount(v.group, share)
+        groups, classes = np.zeros((hidden + 1, len(of_group)), np.float32), np.zeros((v.size, hidden + 1), np.float32)
+        groups[-1], classes[:, -1] = np.log(of_group), np.log(share / of_group[v.group])
+        # embeddings of all positions, hidden biases, groups' weights with biases last, classes' weights with biases last
+        self.params = [(r.normal(size=(len(OFFSETS) * self.width, hidden)) * 0.3).astype(np.float32), np.zeros(hidden, np.float32), groups, classes]
+        #: Sums of squared gradients: an embedding has one, of the mean square, other weights one each.
+        self.squares = [np.full(len(p) if i == 0 else p.shape, 1e-6, np.float32) for i, p in enumerate(self.params)]
+
+    def copy(self) -> Network:
+        return pickle.loads(pickle.dumps(self))
+
+    def pad(self, classes: np.ndarray, sizes: np.ndarray, lefts: np.ndarray, rights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces one after another, each with SIDE places to both sides, filled up by no token; and where each begins."""
+        sizes = np.maximum(sizes, 0)
+        lengths = sizes + lefts + rights
+        begins = np.cumsum(sizes + 2 * SIDE) - sizes - 2 * SIDE
+        out = np.full(int((sizes + 2 * SIDE).sum()), self.width - 1, np.int32)
+        out[np.repeat(begins + SIDE - lefts - (np.cumsum(lengths) - lengths), lengths) + np.arange(len(classes))] = classes
+        return out, begins
+
+    def targets(self, sizes: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Where the tokens to be predicted are in what pad() gives."""
+        sizes = np.maximum(sizes, 0)
+        return np.arange(int(sizes.sum())) + np.repeat(begins + SIDE - (np.cumsum(sizes) - sizes), sizes)
+
+    def _hidden(self, padded: np.ndarray, at: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """Embeddings' rows that are summed; the hidden values go to out."""
+        rows = np.stack([padded[at + o] + k * self.width for k, o in enumerate(OFFSETS)], 1)
         e, bias = self.params[:2]
-        h = e[0][contexts[:, 0]] + bias
-        for p in range(1, 2 * SIDE):
-            h += e[p][contexts[:, p]]
-        return np.tanh(h, out=h)
-
-    def log_probs(self, contexts: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        e, bias, o, c = self.params
-        out = np.empty(len(targets), np.float64)
-        first, last = e[0] + bias, np.concatenate([o, c[None]], 0)  # the biases go along with the look-up and the product
-        h, z, ones = np.ones((STEP, len(last)), np.float32), np.empty((STEP, len(c)), np.float32), np.ones(len(c), np.float32)
-        safe = self.safe()
-        for i in range(0, len(targets), STEP):
-            x, t = contexts[i : i + STEP], targets[i : i + STEP]
-            n = len(t)
-            sums = first.take(x[:, 0], 0)
-            for p in range(1, 2 * SIDE):
-                sums += e[p].take(x[:, p], 0)
-            np.tanh(sums, out=h[:n, :-1])
-            logits = np.matmul(h[:n], last, out=z[:n])
-            if not safe:
-                logits -= logits.max(1, keepdims=True)
-            own = logits[np.arange(n), t]
-            out[i : i + STEP] = own - np.log(np.exp(logits, out=logits) @ ones)
-        return out
-
-    def gradients(self, contexts: np.ndarray, targets: np.ndarray) -> tuple[float, list[np.ndarray]]:
-        """Mean negative log-probability, and its gradients."""
-        e = self.params[0]
-        loss, at, sums, rest = self.sparse_gradients(contexts, targets, np.empty((len(targets), len(self.params[3])), e.dtype))
-        de = np.zeros_like(e)
-        de.reshape(-1, e.shape[2])[at] = sums
-        return loss, [de, *rest]
-
-    def sparse_gradients(self, contexts: np.ndarray, targets: np.ndarray, work: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, list[np.ndarray]]:
-        """gradients(), where those of the embeddings are rows, by position and token, that aren't 0, and their values. work has a
-        row for each target at least, and is written over."""
-        e, _, o, c = self.params
-        n, rows = len(targets), np.arange(len(targets))
-        h = self.hidden(contexts)
-        p = np.matmul(h, o, out=work[:n])
-        p += c
-        if not self.safe():
-            p -= p.max(1, keepdims=True)
-        np.exp(p, out=p)
-        total = p @ np.ones(len(c), p.dtype)
-        loss = -float(np.log(p[rows, targets] / total + 1e-30).mean())
-        p *= (1 / (total * n))[:, None]
-        p[rows, targets] -= p.dtype.type(1 / n)
-        dh = (p @ o.T) * (1 - h * h)
-        width = e.shape[1]
-        tokens = (contexts + np.arange(0, 2 * SIDE * width, width, dtype=np.int32)).astype(np.int16 if 2 * SIDE * width < 1 << 15 else np.int32).ravel()
-        order = np.argsort(tokens, kind="stable")
-        tokens = tokens[order]
-        starts = np.concatenate([[0], np.flatnonzero(tokens[1:] != tokens[:-1]) + 1])
-        sums = np.add.reduceat(dh.take(order // (2 * SIDE), 0), starts)
-        return loss, tokens[starts], sums, [np.ones(n, p.dtype) @ dh, h.T @ p, np.ones(n, p.dtype) @ p]
-
-    def safe(self) -> bool:
+        sums = e.take(rows[:, 0], 0)
+        sums += bias
+        for k in range(1, len(OFFSETS)):
+            sums += e.take(rows[:, k], 0)
+        np.tanh(sums, out=out[:, :-1])
+        return rows
+
+    def _safe(self) -> bool:
         """Whether no exponential overflows, as no hidden value is above 1."""
-        o, c = self.params[2:]
-        return float((np.abs(o).sum(0) + np.abs(c)).max()) < 80
-
-    def fit(self, texts: list[str], rate: float = 0.1, batch: int = 512, seed: int = 0, share: float = 1.0, squares: list[np.ndarray] | None = None) -> int:
-        """One pass of Adagrad over a share of the tokens of texts, in random order; how many they were. squares go on."""
-        rng = np.random.default_rng(seed)
-        contexts, targets, _ = self.windows(texts, share, rng)
-        order = rng.permutation(len(targets))
-        squares = squares if squares is not None else self.squares()
-        work = np.empty((batch, len(self.params[3])), np.float32)
-        embeddings, own = (x[0].reshape(-1, x[0].shape[2]) for x in (self.params, squares))
-        for i in range(0, len(order), batch):
-            at = order[i : i + batch]
-            _, hit, sums, rest = self.sparse_gradients(contexts[at], targets[at], work)
-            s = own[hit] + sums * sums
-            own[hit] = s
-            embeddings[hit] -= rate * sums / np.sqrt(s)
-            for p, s, g in zip(self.params[1:], squares[1:], rest):
-                s += g * g
-                p -= rate * g / np.sqrt(s)
-        return len(targets)
-
-    def squares(self) -> list[np.ndarray]:
-        return [np.full_like(p, 1e-6) for p in self.params]
-
-    def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Summed log-probabilities of the tokens' classes and numbers of tokens."""
-        return self.score_tokens(texts)[:2]
-
-    def score_tokens(self, texts: list[str], near: dict[str, float] | None = None) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
-        """Summed log-probabilities, numbers of tokens, and each text's tokens whose share of their class is still to be added.
-
-        Without near, log-shares of their classes by token, probabilities are those of the classes.
-        """
-        sums, counts, rest = np.zeros(len(texts)), np.zeros(len(texts), np.int64), []
-        for a, z in batches(texts):
-            tokens = [TOKEN.findall(t.lower()) for t in texts[a:z]]
-            contexts, targets, n = self.around([self.vocabulary.classes(own) for own in tokens])
-            counts[a:z] = n
-            sums[a:z] = np.bincount(np.repeat(np.arange(z - a), n), self.log_probs(contexts, targets), z - a)
-            for i, own in enumerate(tokens if near is not None else [], a):
-                shares = [near.get(w, 1.0) for w in own]
-                far = [w for w, x in zip(own, shares) if x > 0]
-                sums[i] += sum(shares) - len(far)
-                rest.append(far)
-        return sums, counts, rest
+        groups, classes = self.params[2:]
+        return max(float(np.abs(groups).sum(0).max()), float(np.abs(classes).sum(1).max())) < 60
 
+    def log_probs(self, padded: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Of each of the tokens at those places."""
+        v, (groups, classes) = self.vocabulary, self.params[2:]
+        safe, edges, group = self._safe(), np.arange(len(v.starts)), v.group.astype(np.int16)
+        out, h = np.empty(len(at), np.float64), np.ones((STEP, groups.shape[0]), groups.dtype)
 
-def sizes(distinct: int) -> tuple[int, int]:
-    """Words and buckets for so many different tokens; both grow with them, by their logarithm."""
-    bits = max(1, distinct).bit_length()
-    return 12 * bits, 4 * bits
+        def normalised(z: np.ndarray, own: np.ndarray) -> np.ndarray:
+            if not safe:
+                z -= z.max(1, keepdims=True)
+            mine = z[np.arange(len(z)), own]
+            return mine - np.log(np.exp(z, out=z).sum(1))
+
+        for i in range(0, len(at), STEP):
+            part = at[i : i + STEP]
+            g = group[padded[part]]
+            order = np.argsort(g, kind="stable")
+            part, g = part[order], g[order]
+            own, hidden = padded[part], h[: len(part)]
+            self._hidden(padded, part, hidden)
+            logs = normalised(hidden @ groups, g).astype(np.float64)
+            bounds = np.searchsorted(g, edges)
+            for a, z, low, high in zip(bounds, bounds[1:], v.starts, v.starts[1:]):
+                if a < z and high - low > 1:
+                    logs[a:z] += normalised(hidden[a:z] @ classes[low:high].T, own[a:z] - low)
+            out[i : i + STEP][order] = logs
+        return out
+
+    def step(self, padded: np.ndarray, at: np.ndarray, rate: float = 0.2) -> None:
+        """One step of Adagrad by the mean negative log-probability of the tokens at those places."""
+        hit, sums, rest = self.gradients(padded, at)
+        e, s = self.params[0], self.squares[0]
+        s[hit] += np.einsum("ij,ij->i", sums, sums) / sums.shape[1]
+        e[hit] -= sums * (rate / np.sqrt(s[hit]))[:, None]
+        for p, s, g in zip(self.params[1:], self.squares[1:], rest):
+            s += g * g
+            p -= rate * g / np.sqrt(s)
+
+    def gradients(self, padded: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Those of the embeddings that aren't 0, by row, and of the other parameters."""
+        v, (groups, classes) = self.vocabulary, self.params[2:]
+        safe, n = self._safe(), len(at)
+        g = v.group.astype(np.int16)[padded[at]]
+        order = np.argsort(g, kind="stable")
+        at, g = at[order], g[order]
+        own, h = padded[at], np.ones((n, groups.shape[0]), groups.dtype)
+        rows = self._hidden(padded, at, h)
+
+        def errors(z: np.ndarray, right: np.ndarray) -> np.ndarray:
+            if not safe:
+                z -= z.max(1, keepdims=True)
+            np.exp(z, out=z)
+            z *= (1 / (z.sum(1) * n))[:, None]
+            z[np.arange(len(z)), right] -= z.dtype.type(1 / n)
+            return z
+
+        z = errors(h @ groups, g)
+        dh, dgroups, dclasses = z @ groups[:-1].T, h.T @ z, np.zeros_like(classes)
+        bounds = np.searchsorted(g, np.arange(len(v.starts)))
+        for a, b, low, high in zip(bounds, bounds[1:], v.starts, v.starts[1:]):
+            if a < b and high - low > 1:
+                z = errors(h[a:b] @ classes[low:high].T, own[a:b] - low)
+                dh[a:b] += z @ classes[low:high, :-1]
+                np.matmul(z.T, h[a:b], out=dclasses[low:high])
+        hidden = h[:, :-1]
+        dh *= 1 - hidden * hidden
+        hit, sums = _summed(rows, dh)
+        return hit, sums, [dh.sum(0), dgroups, dclasses]
+
+    def fit(self, padded: np.ndarray, at: np.ndarray, seed: int) -> None:
+        """One pass over the tokens at those places, in random order."""
+        at = at[np.random.default_rng(seed).permutation(len(at))]
+        for i in range(0, len(at), BATCH):
+            self.step(padded, at[i : i + BATCH])
+
+    def score(self, texts: list[str]) -> np.ndarray:
+        """Summed log-probabilities of the classes of each text's tokens."""
+        found = [[w for part in cut(t) for w in part] for t in texts]
+        n = np.array([len(x) for x in found])
+        none = np.zeros(len(n), np.int64)
+        padded, begins = self.pad(self.vocabulary.classes([w for x in found for w in x]), n, none, none)
+        return np.bincount(np.repeat(np.arange(len(n)), n), self.log_probs(padded, self.targets(n, begins)), len(n))
+
+
+def _summed(rows: np.ndarray, values: np.ndarray, ladder: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """Different numbers in rows and, for each, the sum of the values whose rows have it, once for each time."""
+    flat = rows.ravel()
+    order = np.argsort(flat.astype(np.int16) if flat.max() < 1 << 15 else flat, kind="stable")
+    flat, v = flat[order], values.take(order // rows.shape[1], 0)
+    starts = np.concatenate([[0], np.flatnonzero(flat[1:] != flat[:-1]) + 1])
+    often = np.diff(np.append(starts, len(flat)))
+    sums, live, k = v.take(starts, 0), np.flatnonzero(often > 1), 1
+    while len(live) and k < ladder:  # the k-th of all that have one
+        sums[live] += v.take(starts[live] + k, 0)
+        k += 1
+        live = live[often[live] > k]
+    for i in live.tolist():
+        sums[i] += v[starts[i] + k : starts[i] + often[i]].sum(0)
+    return flat[starts], sums
+
+
+# Over tables
+
+
+def train(blocks: DataFrame, counts: DataFrame, words: int | None = None, buckets: int | None = None, hidden: int = 32, rounds: int = 2, lane_tokens: int = 4_000_000) -> Network:
+    """A network for the texts of blocks, of tokenise(); counts are those of count_tokens().
+
+    Pieces of text are dealt to lanes by their keys, about lane_tokens to each, and to the rounds; every token is
+    predicted in one of them. In a round every lane goes on from the same weights, its pieces in the order of their keys; then
+    weights are averaged over lanes, each as much as the lane has squared gradients for it, and squares by tokens. So neither
+    partitions nor executors change the result; only rows that are equal in id and text (rows without id: in text) are
+    dealt by their order in a partition. A task takes several lanes where there are many, and adds them up, so that what is sent
+    grows with the root of the lanes.
+    """
+    network = Network(vocabulary(counts, words, buckets), hidden)
+    sc = blocks.sparkSession.sparkContext
+    total = counts.agg(F.sum("n").alias("n")).first().n or 0
+    lanes = max(1, -(-total // lane_tokens))
+    tasks = min(lanes, 8 * ceil(lanes**0.5))
+    width = ceil(tasks**0.5)
+    kind = np.uint16 if network.width < 1 << 16 else np.int32
+    shared_vocabulary = sc.broadcast(network)
+
+    def deal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = shared_vocabulary.value
+        for b in it:
+            for i in range(b.num_rows):
+                padded, n, begins, _ = _read(net, b, i)
+                keys = b.column("keys")[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
+                data = padded.astype(kind)
+                size = data.itemsize
+                offsets = np.append(begins, len(padded)).astype(np.int32) * size
+                pieces = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+                lane = (keys // np.uint64(rounds) % np.uint64(lanes)).astype(np.int64)
+                out = pa.RecordBatch.from_arrays([pa.array((keys % np.uint64(rounds)).astype(np.int32)), pa.array((lane % tasks).astype(np.int32)), pa.array(lane), pa.array(keys.view(np.int64)), pa.array(np.arange(len(n), dtype=np.int32)), pieces], ["round", "task", "lane", "key", "nth", "piece"])
+                yield out.filter(pa.array(n > 0))
+
+    def local(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start = shared.value
+        sums, tokens, net, lane, seen = None, 0, None, None, 0
+        held: list[np.ndarray] = []
+        size = 0
+
+        def learn() -> None:
+            nonlocal size, seen
+            n = np.array([len(x) - 2 * SIDE for x in held])
+            padded = np.concatenate(held).astype(np.int32)
+            net.fit(padded, net.targets(n, np.cumsum(n + 2 * SIDE) - n - 2 * SIDE), lane + seen)
+            seen += int(n.sum())
+            held.clear()
+            size = 0
+
+        def close() -> None:
+            nonlocal sums, tokens
+            if held:
+                learn()
+            if net is not None:
+                sums = _added(sums, [w for p, s in zip(net.params, net.squares) for w in _weighed(p, s)] + [s.astype(np.float64) * seen for s in net.squares])
+                tokens += seen
 
+        for b in it:
+            for k, piece in zip(b.column("lane").to_pylist(), b.column("piece")):
+                if k != lane:
+                    close()
+                    net, lane, seen = start.copy(), k, 0
+                held.append(np.frombuffer(piece.as_buffer(), kind))
+                size += len(held[-1])
+                if size > SHUFFLED:
+                    learn()
+        close()
+        if tokens:
+            yield _sent(TaskContext.get().partitionId(), tokens, sums)
 
-def train(docs: DataFrame, words: int | None = None, buckets: int | None = None, hidden: int = 32, share: float = 1.0, rounds: int = 2, text_col: str = "text", counts: DataFrame | None = None) -> Network:
-    """A network for docs.
+    def add(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, tokens = None, 0
+        for b in it:
+            for n, w in zip(b.column("n").to_pylist(), b.column("weights")):
+                sums, tokens = _added(sums, pickle.loads(w.as_py())), tokens + n
+        if tokens:
+            yield _sent(0, tokens, sums)
 
-    The vocabulary comes from the counts of all tokens of all texts (counts, if given); words and buckets, the numbers of its
-    classes, follow that of different tokens where they are None. Every text is trained on in one of the rounds, by its
-    hash: each of its tokens, or a random share of them, is to be predicted. In each round every task trains on
-    its own texts and the tasks' weights are averaged by their tokens: what is learned from grows with docs, and what is
-    sent is one set of weights a task, summed in two steps.
-    """
-    need(docs, text_col)
-    texts = docs.select(F.col(text_col).alias("text"))
-    counts = written(count_tokens(texts)) if counts is None else counts
-    if words is None or buckets is None:
-        usual = sizes(counts.count())
-        words, buckets = usual[0] if words is None else words, usual[1] if buckets is None else buckets
-    top = counts.orderBy(F.desc("n"), "token").limit(words).collect()
-    network = Network(Vocabulary([r.token for r in top], buckets), hidden)
-    sc = docs.sparkSession.sparkContext
+    dealt = written(blocks.select("keys", "sizes", "lefts", "rights", "ids", "tokens").mapInArrow(deal, "round int, task int, lane long, key long, nth int, piece binary"), 8)
     for k in range(rounds):
-        own_turn = texts.filter("text <> ''").filter(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k)
         shared = sc.broadcast(network)
-
-        def local(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            net = pickle.loads(pickle.dumps(shared.value))
-            squares, n, held, size, mark = net.squares(), 0, [], 0, 0
-
-            def learn() -> int:
-                nonlocal mark, size
-                mark = zlib.crc32(held[0].encode(), mark)
-                done = net.fit(held, seed=mark, share=share, squares=squares)
-                held.clear()
-                size = 0
-                return done
-
-            for b in it:
-                for t in b.column("text").to_pylist():
-                    held.append(t)
-                    size += len(t)
-                    if size > TRAIN_CHARS:
-                        n += learn()
-            if held:
-                n += learn()
-            if n:
-                yield _weights([p.astype(np.float64) * n for p in net.params], n, mark)
-
-        def add(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, tokens = None, 0
-            for b in it:
-                for n, w in zip(b.column("n").to_pylist(), b.column("weights").to_pylist()):
-                    total, tokens = (pickle.loads(w) if total is None else [x + y for x, y in zip(total, pickle.loads(w))]), tokens + n
-            if total is not None:
-                yield _weights(total, tokens, 0)
-
-        parts = own_turn.mapInArrow(local, "part long, n long, weights binary")
-        width = max(1, int(docs.rdd.getNumPartitions() ** 0.5))
-        total, tokens = None, 0
-        for r in parts.repartition(width, "part").mapInArrow(add, "part long, n long, weights binary").toLocalIterator():
-            own = pickle.loads(bytes(r.weights))
-            total, tokens = (own if total is None else [x + y for x, y in zip(total, own)]), tokens + r.n
+        own = dealt.filter(F.col("round") == k).repartitionById(tasks, F.col("task")).sortWithinPartitions("lane", "key", "nth", "piece")
+        parts = own.select("lane", "piece").mapInArrow(local, "task int, n long, weights binary")
+        sums, tokens = None, 0
+        for r in parts.repartitionById(width, F.col("task") % width).sortWithinPartitions("task").mapInArrow(add, "task int, n long, weights binary").toLocalIterator():
+            sums, tokens = _added(sums, pickle.loads(bytes(r.weights))), tokens + r.n
         if tokens:
-            network.params = [(x / tokens).astype(np.float32) for x in total]
+            m = len(network.params)
+            network.params = [(sums[2 * i] / sums[2 * i + 1]).astype(np.float32) for i in range(m)]
+            network.squares = [(s / tokens).astype(np.float32) for s in sums[2 * m :]]
+    forget(dealt)
     return network
 
 
-def _weights(params: list[np.ndarray], n: int, part: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([n], pa.int64()), pa.array([pickle.dumps(params)], pa.binary())], ["part", "n", "weights"])
+def _read(net: Network, b: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Padded classes of block i of b, sizes, beginnings, and all ids."""
+    n, left, right = (b.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("sizes", "lefts", "rights"))
+    ids = np.frombuffer(b.column("ids")[i].as_buffer(), np.int32)
+    padded, begins = net.pad(net.vocabulary.classes(b.column("tokens")[i].as_py())[ids], n, left, right)
+    return padded, n, begins, ids
 
 
-def shares(counts: DataFrame, vocabulary: Vocabulary) -> tuple[DataFrame, list[float]]:
-    """(token, share) of all counted tokens, the log-probability of each within its class; and that of any other, by bucket.
+def _weighed(p: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    s = s.astype(np.float64).reshape(s.shape + (1,) * (p.ndim - s.ndim))
+    return p * s, s
 
-    A token counts as often as it came up, one that never did for half a time, and a bucket is taken to have one more of
-    these than of the others. A word has its class to itself.
-    """
-    words = counts.sparkSession.createDataFrame([(w,) for w in vocabulary.words], "token string")
-    rest = counts.join(F.broadcast(words), "token", "left_anti").withColumn("bucket", _bucket("token", vocabulary))
-    totals = [0.5] * vocabulary.buckets
-    for r in rest.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect():
-        totals[r.bucket] = r.n + (r.kinds + 1) / 2
-    of = F.element_at(F.array(*map(F.lit, totals)), F.col("bucket") + 1)
-    own = words.withColumn("share", F.lit(0.0)).unionByName(rest.select("token", F.log(F.col("n") / of).alias("share")))
-    return own, [float(np.log(0.5 / x)) for x in totals]
+
+def _added(sums: list[np.ndarray] | None, more: list[np.ndarray]) -> list[np.ndarray]:
+    return more if sums is None else [x + y for x, y in zip(sums, more)]
 
 
-def _bucket(col: str, vocabulary: Vocabulary) -> F.Column:
-    """Vocabulary.classes()'s bucket, from 0."""
-    return (F.crc32(F.encode(col, "utf-8")) % vocabulary.buckets).cast("int")
+def _sent(task: int, n: int, sums: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([n], pa.int64()), pa.array([pickle.dumps(sums)], pa.binary())], ["task", "n", "weights"])
 
 
-def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text", counts: DataFrame | None = None, near: int = NEAR) -> DataFrame:
-    """(doc_id, n_tokens, log_prob, log_prob_per_token) of each row of docs.
+def score(blocks: DataFrame, network: Network, counts: DataFrame, near: int = NEAR) -> DataFrame:
+    """(doc_id, n_tokens, log_prob, log_prob_per_token) of each row that blocks were made of.
 
-    Every token counts, at the text's ends with fewer neighbours; tokens are words and marks in lower case. With counts, of
-    count_tokens(), log_prob is of the tokens: log p(class | context) + log p(token | class), the second by shares(). Without
-    it is of the classes, in which rare tokens are alike. The shares of the near most frequent tokens are sent to all
-    tasks, those of the others joined, with the same result. A text without tokens has a log_prob of 0 and none a token; a null text
-    has nulls. Rows are never merged; other columns are ignored.
+    Tokens are words and marks in lower case. Every token of the whole text counts, at the text's ends with fewer neighbours:
+    log_prob sums log p(class | context) + log p(token | class), the second by shares() of counts. The shares of the near
+    most frequent tokens are sent to all tasks, those of the others joined, with the same result. A text without tokens has
+    a log_prob of 0 and none a token; a null text has nulls. Rows are never merged; other columns don't matter.
     """
-    need(docs, id_col, text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    spark, kind = docs.sparkSession, dict(rows.dtypes)["doc_id"]
-    table: dict[str, float] | None = None
-    if counts is not None:
-        every, unseen = shares(counts, network.vocabulary)
-        often = counts.orderBy(F.desc("n"), "token").limit(near).select("token")
-        table = {r.token: r.share for r in every.join(often, "token").toLocalIterator()} | dict.fromkeys(network.vocabulary.words, 0.0)
-    shared = spark.sparkContext.broadcast((network, table))
+    v = network.vocabulary
+    every, unseen = shares(counts, v)
+    often = counts.orderBy(F.desc("n"), "token").limit(near).select("token")
+    table = {r.token: r.share for r in every.join(often, "token").toLocalIterator()} | dict.fromkeys(v.words, 0.0)
+    shared = blocks.sparkSession.sparkContext.broadcast((network, table))
 
     def f(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, known = shared.value
         for b in it:
-            texts = b.column("text").to_pylist()
-            there = [i for i, t in enumerate(texts) if t is not None]
-            n, total, rest = [None] * len(texts), [None] * len(texts), [None] * len(texts)
-            sums, numbers, far = net.score_tokens([texts[i] for i in there], known)
-            for k, (i, s, c) in enumerate(zip(there, sums.tolist(), numbers.tolist())):
-                n[i], total[i], rest[i] = c, s, far[k] if far else None
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int32()), pa.array(total, pa.float64()), pa.array(rest, pa.list_(pa.string()))], ["doc_id", "n_tokens", "log_prob", "rest"])
-
-    out = rows.mapInArrow(f, f"doc_id {kind}, n_tokens int, log_prob double, rest array<string>")
-    if counts is not None:
-        out = written(out.withColumn("row", F.monotonically_increasing_id()))  # rows keep their numbers
-        far = out.select("row", F.explode("rest").alias("token")).groupBy("row", "token").agg(F.count("*").alias("times"))
-        other = F.element_at(F.array(*map(F.lit, unseen)), _bucket("token", network.vocabulary) + 1)
-        added = far.join(every, "token", "left").groupBy("row").agg(F.sum(F.col("times") * F.coalesce("share", other)).alias("added"))
-        out = out.join(added, "row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("added", F.lit(0.0)))
-    return out.select("doc_id", "n_tokens", "log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("log_prob_per_token"))
+            for i in range(b.num_rows):
+                padded, n, begins, ids = _read(net, b, i)
+                left, right = (b.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("lefts", "rights"))
+                tokens = b.column("tokens")[i].as_py()
+                share = np.array([known.get(w, np.nan) for w in tokens])
+                at, targets = net.targets(n, begins), np.maximum(n, 0)
+                piece = np.repeat(np.arange(len(n)), targets)
+                lengths = targets + left + right
+                own = ids[np.arange(len(piece)) + np.repeat(np.cumsum(lengths) - lengths + left - (np.cumsum(targets) - targets), targets)]
+                logs, far = net.log_probs(padded, at) + np.nan_to_num(share[own]), np.isnan(share[own]) if len(own) else np.zeros(0, bool)
+                sums = np.bincount(piece, logs, len(n)).tolist()
+                first = np.searchsorted(piece[far], np.arange(len(n) + 1))
+                names = pa.array(tokens, pa.string()).take(pa.array(own[far])) if len(tokens) else pa.array([], pa.string())
+                rest = pa.ListArray.from_arrays(pa.array(first, pa.int32()), names)
+                yield pa.RecordBatch.from_arrays([b.column("rows")[i].values, b.column("doc_ids")[i].values, pa.array([x if x >= 0 else None for x in n.tolist()], pa.int32()), pa.array([s if x >= 0 else None for s, x in zip(sums, n.tolist())], pa.float64()), rest], ["row", "doc_id", "n", "log_prob", "rest"])
+
+    kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
+    made = written(blocks.select("rows", "doc_ids", "sizes", "lefts", "rights", "ids", "tokens").mapInArrow(f, f"row long, doc_id {kind}, n int, log_prob double, rest array<string>"))
+    far = made.select("row", F.explode("rest").alias("token")).groupBy("row", "token").agg(F.count("*").alias("times"))
+    shared_out = far.join(every, "token", "left").withColumn("bucket", _bucket("token", v.buckets)).join(F.broadcast(unseen), "bucket")
+    added = shared_out.groupBy("row").agg(F.sum(F.col("times") * F.coalesce("share", "unseen")).alias("log_prob"))
+    own = made.select("row", F.struct("doc_id").alias("doc"), "n", "log_prob").unionByName(added.select("row", F.lit(None).cast(f"struct<doc_id:{kind}>").alias("doc"), F.lit(None).cast("int").alias("n"), "log_prob"))
+    whole = own.groupBy("row").agg(F.first("doc", ignorenulls=True).alias("doc"), F.sum("n").cast("int").alias("n_tokens"), F.sum("log_prob").alias("log_prob"))
+    return whole.select("doc.doc_id", "n_tokens", "log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("log_prob_per_token"))

@@ -66,9 +66,9 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pseudo-likelihood of every document."""
-    docs = _t(spark, sf_dir, "documents")
-    counts = written(lm.count_tokens(docs))
-    return lm.score(docs, lm.train(docs, counts=counts), counts=counts)
+    blocks = written(lm.tokenise(_t(spark, sf_dir, "documents")), 16)
+    counts = written(lm.count_tokens(blocks))
+    return lm.score(blocks, lm.train(blocks, counts), counts)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
