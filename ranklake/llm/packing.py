@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ranklake.llm.common import need, written
 from ranklake.llm.simhash import components, labels
@@ -140,7 +141,7 @@ def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 def best_fit(docs: DataFrame, capacity: int = 2048, docs_a_group: int = 20_000, size: Column | None = None, cluster: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, piece, size, start, group, bin, offset): where each piece of each document goes.
 
-    A document's size is its number of words, or size. One above capacity is cut to full pieces and a rest; start is where a
+    A document's size is its number of words, or size (op1's n_tokens, say), 0 for null or below. Ids are of any type that isn't nested. One above capacity is cut to full pieces and a rest; start is where a
     piece begins in its document. Pieces are taken from the longest down (ties by id, nulls last, then by source, cluster
     and piece). No bin holds two pieces of one source or of one cluster: copies but for case, white space and punctuation,
     or cluster. A null source is one source like another. Null and empty texts have size 0: one piece, to which a full bin
@@ -152,17 +153,20 @@ def best_fit(docs: DataFrame, capacity: int = 2048, docs_a_group: int = 20_000,
     need(docs, id_col, text_col, source_col)
     if capacity < 1 or docs_a_group < 1:
         raise ValueError("capacity and docs_a_group must be positive")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(size if size is not None else words(text_col), F.lit(0)).cast("int").alias("size"), F.col(source_col).cast("string").alias("source"), (cluster if cluster is not None else content_key(text_col)).alias("cluster"))
+    if isinstance(docs.schema[id_col].dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+        raise ValueError("ids must not be nested")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.greatest(size if size is not None else words(text_col), F.lit(0)).cast("int").alias("size"), F.col(source_col).cast("string").alias("source"), (cluster if cluster is not None else content_key(text_col)).alias("cluster"))
     groups = max(1, -(-docs.count() // docs_a_group))
     kind = dict(rows.dtypes)["doc_id"]
     grouped = rows.withColumn("group", F.pmod(F.xxhash64("doc_id", "cluster", F.lit(7)), F.lit(groups)).cast("int"))
 
     def f(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups_here: dict[int, list] = {}
+        id_type = pa.null()
         for b in it:
+            id_type = b.column("doc_id").type
             for g, *row in zip(*(b.column(c).to_pylist() for c in ("group", "doc_id", "size", "source", "cluster"))):
                 groups_here.setdefault(g, []).append(row)
-        id_type = None
         for g, own in groups_here.items():
             pieces = []
             for doc, n, source, cluster_ in own:
@@ -171,7 +175,6 @@ def best_fit(docs: DataFrame, capacity: int = 2048, docs_a_group: int = 20_000,
             pieces.sort(key=lambda p: (-p[0], p[1] is None, p[1] if p[1] is not None else 0, p[2] is not None, p[2] or "", p[3] is not None, p[3] or 0, p[4]))
             placed = pack([(p[0], p[2], p[3]) for p in pieces], capacity)
             columns = [[p[1] for p in pieces], [p[4] for p in pieces], [p[0] for p in pieces], [p[4] * capacity for p in pieces], [g] * len(pieces), [x[0] for x in placed], [x[1] for x in placed]]
-            id_type = id_type or (pa.int64() if kind == "bigint" else pa.string() if kind == "string" else None)
             arrays = [pa.array(columns[0], id_type), *(pa.array(c, pa.int32()) for c in columns[1:])]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "size", "start", "group", "bin", "offset"])
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,8 +26,8 @@ class Splitters:
 
 
 def order_key(values: tuple) -> Key:
-    """Nulls first."""
-    return tuple((v is not None, v if v is not None else 0) for v in values)
+    """Nulls first, NaN last, and all NaN alike."""
+    return tuple((0, 0) if v is None else (2, 0) if v != v else (1, v) for v in values)
 
 
 def splitters(keyed: DataFrame, columns: list[str], bytes_col: str, shards: int, tolerance: float = 0.02, probes: int = 16) -> Splitters:
@@ -67,7 +68,8 @@ def splitters(keyed: DataFrame, columns: list[str], bytes_col: str, shards: int,
                 yield b.select(columns).take(pa.array(keep, pa.int64()))
 
         schema = small.select(*columns).schema
-        return sorted({order_key(r) for r in small.mapInArrow(f, schema).distinct().collect()})
+        found = small.mapInArrow(f, schema).distinct().toArrow()  # values as the tasks have them
+        return sorted(set(map(order_key, zip(*(c.to_pylist() for c in found.columns)))))
 
     def count(at: list[Key]) -> None:
         """Add to known what lies below each of at."""
@@ -127,11 +129,12 @@ def _above(keys: list[Key], key: Key) -> int:
     return bisect_right(keys, key)
 
 
-def histogram_sort(docs: DataFrame, shard_mb: float = 4.0, tolerance: float = 0.02, key: list[str] | None = None, size: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def histogram_sort(docs: DataFrame, shard_mb: float | None = None, tolerance: float = 0.02, key: list[str] | None = None, size: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, with all their columns, sorted over shards of even bytes, and shard_id (shard_id_ where that name is taken).
 
-    Rows are in the order of key (source and id, if not given; nulls first), then of the text's hash; a row's bytes are its
-    text's, or size, 0 for null. There is a shard for each shard_mb of text, one at least. Each splitter has within
+    Rows are in the order of key (source and id, if not given; nulls first, NaN last and equal to each other), then of the text's
+    hash; a row's bytes are its text's, or size, 0 for null and below. Key columns must not be nested. There is a shard for each
+    shard_mb of text, one at least; where that is None, shards grow in number and in size: n MB make n^0.6 shards. Each splitter has within
     tolerance of a shard's bytes what it should have below; only rows that are equal in key and hash can't be parted, so
     that a shard holding a longer run of them may be larger and others empty. All rows are kept.
 
@@ -139,12 +142,14 @@ def histogram_sort(docs: DataFrame, shard_mb: float = 4.0, tolerance: float = 0.
     """
     key = key or [c for c in ("source", id_col) if c in docs.columns]
     need(docs, text_col, *key)
+    if nested := [k for k in key if isinstance(docs.schema[k].dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType))]:
+        raise ValueError(f"nested key columns: {', '.join(nested)}")
     spark = docs.sparkSession
     h, shard, n = unused(docs, "hash__"), unused(docs, "shard_id"), unused(docs, "bytes__")
-    wide = docs.withColumn(h, F.xxhash64(F.col(f"`{text_col}`"))).withColumn(n, F.coalesce(size if size is not None else F.octet_length(F.col(f"`{text_col}`")), F.lit(0)).cast("long"))
+    wide = docs.withColumn(h, F.xxhash64(F.col(f"`{text_col}`"))).withColumn(n, F.greatest(size if size is not None else F.octet_length(F.col(f"`{text_col}`")), F.lit(0)).cast("long"))
     narrow = written(wide.select(*key, h, n))
     total = narrow.agg(F.sum(n).alias("n")).first().n or 0
-    shards = max(1, -(-total // int(shard_mb * (1 << 20))))
+    shards = max(1, -(-total // int(shard_mb * (1 << 20))) if shard_mb else ceil((total / (1 << 20)) ** 0.6))
     cut = splitters(narrow, [*key, h], n, shards, tolerance)
     found = spark.sparkContext.broadcast(cut.keys)
     places = [docs.columns.index(k) for k in key]

@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from ranklake.llm import packing as P
 
@@ -77,3 +78,26 @@ def test_near_copies_of_other_sources_share_no_bin(spark, tmp_path):
     assert len(got) == len(rows)
     bins = [(r.group, r.bin, cluster[r.doc_id]) for r in got]
     assert len(set(bins)) == len(bins)
+
+
+@pytest.mark.parametrize("kind", ["int", "short", "decimal(12,2)", "string", "date", "timestamp", "double", "binary"])
+def test_ids_of_other_types_and_odd_sizes(spark, kind):
+    made = {"date": "date_add(date'2024-01-01', cast(id as int))", "timestamp": "timestamp_seconds(id)", "binary": "cast(string(id) as binary)"}.get(kind, f"cast(id as {kind})")
+    docs = spark.range(5).selectExpr(f"if(id = 4, null, {made}) as doc_id", "'a b c' as text", "string(id) as source", "if(id = 3, null, cast(id as long) * 10 - 10) as size")
+    got = P.best_fit(docs, capacity=12, size=F.col("size"), cluster=F.col("source")).collect()
+    ids = [r.doc_id for r in docs.collect()]
+    assert sorted(str(r.doc_id) for r in got) == sorted(map(str, [*ids, ids[4], ids[4]]))
+    assert sorted(r.size for r in got if r.doc_id is not None) == [0, 0, 0, 10]
+    with pytest.raises(ValueError):
+        P.best_fit(docs.withColumn("doc_id", F.array("doc_id")))
+
+
+def test_sizes_may_be_tokens(spark):
+    from ranklake.llm import bpe
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    tokens = docs.join(bpe.encode(docs), "doc_id")
+    total = defaultdict(int)
+    for r in P.best_fit(tokens, size=F.col("n_tokens")).collect():
+        total[r.doc_id] += r.size
+    assert total == {r.doc_id: r.n_tokens for r in tokens.collect()}

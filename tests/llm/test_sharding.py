@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from ranklake.llm import sharding as S
@@ -25,11 +26,33 @@ def test_splitters_are_exact_and_within_tolerance(spark):
 def test_ties_that_no_splitter_can_part(spark):
     df = spark.createDataFrame([(1, 10)] * 100 + [(2, 10)], "k long, n long")
     cut = S.splitters(df, ["k"], "n", 4)
-    assert set(cut.keys) <= {((True, 1),), ((True, 2),)}
+    assert set(cut.keys) <= {((1, 1),), ((1, 2),)}
     assert S.splitters(df.limit(0), ["k"], "n", 4).keys == []
     assert S.splitters(df.withColumn("n", F.lit(0)), ["k"], "n", 4).total == 0
 
 
+def test_nan_and_other_key_types(spark):
+    nan = float("nan")
+    rows = [(1.0, "a"), (nan, "b"), (None, "c"), (nan, "d"), (-0.0, "e"), (0.0, "e"), (float("inf"), "f"), (nan, "b")]
+    df = spark.createDataFrame(rows, "k double, text string")
+    got = shard_rows(S.histogram_sort(df, shard_mb=2e-6, key=["k"]))
+    assert len(got) == 8 and max(r.place for r in got) > 1
+    order = [S.order_key((r.k,)) for r in sorted(got, key=lambda r: (r.place, r.nth))]
+    assert order == sorted(order) and order[-3:] == [((2, 0),)] * 3
+    for kind in ("timestamp", "date", "decimal(20,2)", "string", "binary", "boolean", "float", "byte"):
+        keyed = spark.range(40).select(F.lit("some text").alias("text"), F.expr({"timestamp": "timestamp_seconds(id * 4000)", "date": "date_add(date'2024-01-01', cast(id as int))", "boolean": "id % 2 = 0", "binary": "cast(string(id) as binary)"}.get(kind, f"cast(id as {kind})")).alias("k"))
+        rows = shard_rows(S.histogram_sort(keyed, shard_mb=1e-4, key=["k"]))
+        own = [r.k for r in sorted(rows, key=lambda r: (r.place, r.nth))]
+        assert len(rows) == 40 and own == sorted(own) and len({r.place for r in rows}) > 1
+    with pytest.raises(ValueError):
+        S.histogram_sort(df.withColumn("k", F.array("k")), key=["k"])
+
+
+def test_shards_grow_in_number_and_size(spark):
+    docs = spark.createDataFrame([(i, "x" * 1000) for i in range(4000)], "doc_id long, text string")
+    assert len({r.shard_id for r in S.histogram_sort(docs).select("shard_id").collect()}) == 3
+
+
 def test_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("hash__", F.lit("mine"))
     out = S.histogram_sort(docs, shard_mb=0.2)
