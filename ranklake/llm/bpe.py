@@ -21,8 +21,8 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters ahead of a chunk's end from which a cut-off match can't reach back; longer than any contraction.
 MARGIN = 4
-#: Pieces that a task remembers before it starts over.
-MEMORY = 400_000
+#: Pieces that a worker remembers before it starts over; texts in one batch of results.
+MEMORY, TEXTS = 100_000, 200
 
 
 @lru_cache(2)
@@ -62,6 +62,12 @@ class Encoder:
         return b"".join(map(self.bytes.__getitem__, ids))
 
 
+@lru_cache(1)
+def encoder(path: str) -> Encoder:
+    """One for all tasks of a worker."""
+    return Encoder(path)
+
+
 def _lists(ids: list[list[int] | None]) -> pa.Array:
     counts = [len(x) if x is not None else 0 for x in ids]
     flat = np.concatenate([np.array(x, np.int32) for x in ids if x] or [np.zeros(0, np.int32)])
@@ -90,16 +96,16 @@ def encode(docs: DataFrame, ranks: str = RANKS, chunk_chars: int = 16_384, overl
     is_long = F.coalesce(F.length("text") > chunk_chars + overlap, F.lit(False))
 
     def whole(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = Encoder(ranks)
+        e = encoder(ranks)
         for b in it:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
+            for at in range(0, b.num_rows, TEXTS):
+                part = b.slice(at, TEXTS)
                 texts = part.column("text").to_pylist()
                 ids = [None if t is None else e.text(t) for t in texts]
                 ok = [None if t is None else e.decode(x) == t.encode() for t, x in zip(texts, ids)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), _lists(ids), pa.array([None if x is None else len(x) for x in ids], pa.int32()), pa.array(ok, pa.bool_())], ["doc_id", "token_ids", "n_tokens", "lossless"])
 
-    long = rows.filter(is_long).withColumn("key", F.md5(F.encode("text", "UTF-8")))
+    long = rows.filter(is_long).withColumn("key", F.sha2(F.encode("text", "UTF-8"), 256))
     stitched = _encode_long(long, ranks, chunk_chars, overlap).select("doc_id", "token_ids", "n_tokens", "lossless")
     return rows.filter(~is_long).mapInArrow(whole, schema).unionByName(stitched)
 
@@ -150,7 +156,7 @@ def _encode_long(long: DataFrame, ranks: str, size: int, overlap: int) -> DataFr
     cuts = found.withColumn("hi", F.when(last, F.col("size")).otherwise(cut)).withColumn("lo", F.when(F.col("at") == 0, 0).otherwise(F.lag("hi").over(by)))
 
     def encode_part(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = Encoder(ranks)
+        e = encoder(ranks)
         for b in it:
             for i in range(b.num_rows):
                 key, at, chunk, lo, hi, odd, packed = (b.column(c)[i].as_py() for c in ("key", "at", "chunk", "lo", "hi", "odd", "pieces"))
@@ -163,7 +169,7 @@ def _encode_long(long: DataFrame, ranks: str, size: int, overlap: int) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([at], pa.int32()), pa.array([ids], pa.list_(pa.int32())), pa.array([ok], pa.bool_()), pa.array([chunk if odd else None], pa.string())], ["key", "at", "ids", "ok", "chunk"])
 
     def finish(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = Encoder(ranks)
+        e = encoder(ranks)
         for b in it:
             for i in range(b.num_rows):
                 ids, ok, chunks = (b.column(c)[i] for c in ("ids", "ok", "chunks"))
@@ -197,7 +203,7 @@ def decode(rows: DataFrame, ranks: str = RANKS, ids_col: str = "token_ids") -> D
     at = rows.columns.index(ids_col)
 
     def joined(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = Encoder(ranks)
+        e = encoder(ranks)
         for b in it:
             out = [None if x is None else e.decode(x) for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*b.schema.names, name])
