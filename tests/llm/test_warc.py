@@ -31,8 +31,8 @@ def test_equals_brute_force(spark):
     rows = [(r.choice([None, *range(40)]), r.choice([None, "http://a.b/" + r.choice("xyz"), "http://hot.example/"]), r.choice([None, "", "same", "other"]), r.choice([None, 0, 1, 1000]), "x") for _ in range(400)]
     rows += rows[:30]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, at long, range string").repartition(6)
-    for ranges in (1, 7, 60):
-        got = [tuple(x) for x in warc.histories(pages, F.timestamp_micros("at"), ranges).orderBy("seq").collect()]
+    for ranges, run in ((1, 9), (7, 1000), (60, 30)):
+        got = [tuple(x) for x in warc.histories(pages, F.timestamp_micros("at"), ranges, run_rows=run).orderBy("seq").collect()]
         keyed = pages.select(warc.url_key("url").alias("k"), "at", "page_id", F.md5("html").alias("d"), F.octet_length("html").alias("n")).collect()
         want, before = [], None
         for i, x in enumerate(sorted((tuple(x) for x in keyed), key=warc.sort_key)):
@@ -44,3 +44,21 @@ def test_equals_brute_force(spark):
         assert [(*x[:2], micros(x[2]), *x[3:]) for x in got] == want
     assert warc.histories(pages.limit(0), F.timestamp_micros("at")).count() == 0
     assert isinstance(got[-1][2], datetime)
+
+
+def test_a_loser_tree_stops_and_goes_on():
+    tree = warc.LoserTree([[1, 4, 9], [2, 3]])
+    assert list(tree.below(4)) == [1, 2, 3]
+    tree = warc.LoserTree([*tree.rest(), iter([5, 10])])
+    assert list(tree) == [4, 5, 9, 10]
+
+
+def test_string_ids_long_pages_and_a_hot_capture(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK", 7)
+    rows = [("p", "http://hot.example/", "x")] * 300 + [(None, "http://a.b/" + "long/" * 20_000, "y" * 3_000_000), ("q", None, None), ("q", "http://a.b/", "")]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string").repartition(3)
+    got = warc.histories(pages, F.lit(None), 4, run_rows=50).orderBy("seq").collect()
+    assert [r.seq for r in got] == list(range(303))
+    assert [r.page_id for r in got] == ["q", "q", None] + ["p"] * 300
+    assert [r.capture_no for r in got] == [1, 1, 1, *range(1, 301)] and sum(r.changed for r in got) == 4
+    assert got[2].length == 3_000_000
