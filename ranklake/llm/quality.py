@@ -1,9 +1,13 @@
-"""Quality rules: a linear-chain conditional random field marks each line content or boilerplate, and the share decides."""
+"""Quality rules: a linear-chain conditional random field marks each line content or boilerplate, and the share decides.
+
+Labels are of documents; line_labels() makes those of lines, so that steps between content and boilerplate are learnt.
+"""
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +17,10 @@ from pyspark.sql import functions as F
 from ranklake.llm.common import batches, need
 
 BOILERPLATE, CONTENT = 0, 1
+#: Log-odds from which a line of a bad text counts as content in training.
+SURE = 2.0
 LETTER, UPPER, DIGIT, SPACE, STOP, MARK, BAR = range(7)
-FEATURES = ["bias", "length", "short", "marks", "upper", "digits", "bars", "stops", "end", "word_length", "double_marks", "repeated", "one_word", "lower_start"]
+FEATURES = ["bias", "length", "short", "marks", "upper", "digits", "bars", "stops", "end", "word_length", "double_marks", "repeated", "one_word", "lower_start", "echo", "first", "alone"]
 
 
 def _kinds() -> np.ndarray:
@@ -46,8 +52,14 @@ def lines_of(text: str) -> list[str]:
     return [x for x in text.split("\n") if x and not x.isspace()]
 
 
-def features(lines: list[str], repeated: np.ndarray) -> np.ndarray:
-    """A row for each line; repeated: how often its text has the line besides."""
+def _echo(lines: list[str]) -> np.ndarray:
+    """The share of each line's words that are the word before them."""
+    words = [x.split() for x in lines]
+    return np.fromiter((sum(map(eq, w, w[1:])) / len(w) for w in words), np.float64, len(lines))
+
+
+def features(lines: list[str], repeated: np.ndarray, first: np.ndarray, alone: np.ndarray) -> np.ndarray:
+    """A row for each line; repeated: how often its text has the line besides; whether it is the first of several, or the only one."""
     n = np.fromiter(map(len, lines), np.int64, len(lines))
     codes = np.minimum(np.frombuffer("".join(lines).encode("utf-32-le", "replace"), np.uint32), 65_535)
     kind = KIND[codes]
@@ -64,21 +76,23 @@ def features(lines: list[str], repeated: np.ndarray) -> np.ndarray:
     double[starts] = False
     x = np.empty((len(lines), len(FEATURES)), np.float64)
     letters = np.maximum(1, letter + upper)
-    for k, v in enumerate((1, np.log1p(n) / 6, n < 40, np.minimum(1, 4 * mark / n), upper / letters, digit / n, np.minimum(1, 8 * bar / n), np.minimum(1, 8 * stop / n), (kind[ends] == STOP), np.minimum(2, (n - space) / words / 8), np.minimum(1, 4 * count(double) / words), np.minimum(3, repeated), words == 1, kind[starts] == LETTER)):
+    for k, v in enumerate((1, np.log1p(n) / 6, n < 40, np.minimum(1, 4 * mark / n), upper / letters, digit / n, np.minimum(1, 8 * bar / n), np.minimum(1, 8 * stop / n), (kind[ends] == STOP), np.minimum(2, (n - space) / words / 8), np.minimum(1, 4 * count(double) / words), np.minimum(3, repeated), words == 1, kind[starts] == LETTER, np.minimum(1, 2 * _echo(lines)), first, alone)):
         x[:, k] = v
     return x
 
 
 def describe(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features of all lines, how many each text has, and their lengths."""
-    lines, counts, again = [], [], []
+    lines, counts, again, first, alone = [], [], [], [], []
     for t in texts:
         own = lines_of(t)
         often = Counter(own)
         lines += own
         again += [often[x] - 1 for x in own]
+        first += [len(own) > 1 and i == 0 for i in range(len(own))]
+        alone += [len(own) == 1] * len(own)
         counts.append(len(own))
-    x = features(lines, np.array(again)) if lines else np.zeros((0, len(FEATURES)))
+    x = features(lines, np.array(again), np.array(first), np.array(alone)) if lines else np.zeros((0, len(FEATURES)))
     return x, np.array(counts, np.int64), np.fromiter(map(len, lines), np.int64, len(lines))
 
 
@@ -170,8 +184,8 @@ def content_shares(crf: Crf | None, texts: list[str | None]) -> list[float | Non
 def train(docs: DataFrame, labels: DataFrame, most_docs: int = 1500, most_chars: int = 30_000, id_col: str = "doc_id", text_col: str = "text") -> Crf | None:
     """A random field from a bounded sample of labelled rows: of each quality most_docs documents of at most most_chars.
 
-    Every line of a document has the document's label. The sample is that of the least hashed ids, whatever the
-    partitions. None, and then nothing but blank texts is rejected, unless both qualities have a document.
+    Lines get labels of their own, by line_labels(). The sample is that of the least hashed ids, whatever the
+    partitions. None, and then nothing but blank texts is rejected, unless both kinds of line are there.
     """
     need(docs, id_col, text_col)
     need(labels, id_col, "quality")
@@ -181,11 +195,40 @@ def train(docs: DataFrame, labels: DataFrame, most_docs: int = 1500, most_chars:
     # ids first, at twice the bound: some of them may have no text here
     ids = marks.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= 2 * most_docs).drop("r")
     picked = rows.join(F.broadcast(ids), "id").dropDuplicates(["id"]).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most_docs).orderBy("quality", "r").collect()
-    x, counts, _ = describe([r.text for r in picked])
-    y = np.repeat(np.array([r.quality for r in picked], np.int64), counts)
+    return learn([r.text for r in picked], [r.quality for r in picked])
+
+
+def learn(texts: list[str], good: list[int]) -> Crf | None:
+    """A random field from texts and whether each is good, 1 or 0."""
+    x, counts, _ = describe(texts)
+    y = line_labels(texts, np.array(good, np.int64), x, counts)
+    return None if len(np.unique(y)) < 2 else Crf().fit(x, counts, y)
+
+
+def line_labels(texts: list[str], good: np.ndarray, x: np.ndarray, counts: np.ndarray, often: int = 5, least: int = 24) -> np.ndarray:
+    """Labels of all lines, from those of their texts.
+
+    A line of least characters or more that often different texts have is boilerplate; shorter ones come up by chance. Other lines of good texts are content. Those of bad texts are
+    boilerplate where a model of single lines, fitted to the labels of their texts, says so, and content where it
+    surely doesn't: what is bad about such a text is in its other lines, so that its likeliest boilerplate stays so in any case.
+    """
+    lines = [x for t in texts for x in lines_of(t)]
+    spread = Counter(x for t in dict.fromkeys(texts) for x in set(lines_of(t)))
+    shared = np.fromiter((len(x) >= least and spread[x] >= often for x in lines), bool, len(lines))
+    text = np.repeat(np.arange(len(counts)), counts)
+    y = np.where(shared, BOILERPLATE, good[text])
     if len(np.unique(y)) < 2:
-        return None
-    return Crf().fit(x, counts, y)
+        return y
+    own = x.copy()
+    single = Crf().fit(own, np.ones(len(own), np.int64), y)  # texts of a line each: no steps
+    margin = (own @ single.weights) @ np.array([-1.0, 1.0])
+    bad = (good[text] == 0) & ~shared
+    y[bad & (margin > SURE)] = CONTENT
+    for i in np.flatnonzero((good == 0) & (counts > 0)):
+        at = np.flatnonzero(text == i)
+        if y[at].all():
+            y[at[margin[at].argmin()]] = BOILERPLATE
+    return y
 
 
 def judge(docs: DataFrame, crf: Crf | None, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -65,3 +65,38 @@ def test_odd_rows(spark):
     assert got.columns == docs.columns and got.count() == 4
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert Q.train(docs, none) is None and Q.judge(docs.limit(0), None).count() == 0
+
+
+def test_mixed_documents_have_shares_between(spark):
+    d = "/root/testdata/sf0.1/"
+    docs, labels = spark.read.parquet(d + "documents.parquet"), spark.read.parquet(d + "labels.parquet")
+    crf = Q.train(docs.filter("doc_id % 2 = 0"), labels)
+    rows = docs.filter("doc_id % 2 = 1 and length(text) < 30000").join(labels.select("doc_id", "quality"), "doc_id").orderBy("doc_id").collect()
+    good = [x for x in (Q.lines_of(r.text)[1:] for r in rows if r.quality) if len(x) >= 3][:100]
+    bad = [x for x in (Q.lines_of(r.text)[1:] for r in rows if not r.quality) if len(x) >= 3][:100]
+    assert len(good) == len(bad) == 100
+    right = total = 0
+    for a, b in zip(good, bad):
+        text, truth = a[:6] + b[:6] + a[6:9], [1] * len(a[:6]) + [0] * len(b[:6]) + [1] * len(a[6:9])
+        x, counts, sizes = Q.describe(["\n".join(text)])
+        got = crf.viterbi(x, counts)
+        right += (got == truth).sum()
+        total += len(truth)
+        share = Q.content_shares(crf, ["\n".join(text)])[0]
+        assert share == pytest.approx((sizes * got).sum() / sizes.sum())
+    assert right / total > 0.9
+    between = [0 < s < 1 for s in Q.content_shares(crf, ["\n".join(a[:6] + b[:6]) for a, b in zip(good, bad)])]
+    assert np.mean(between) > 0.9
+
+
+def test_line_labels():
+    shared = "This very line is on every page of the site."
+    good = [f"{shared}\nSome {w} sentence that is fine, as it has words.\nAnd {w} more of them, in another line." for w in ("old", "new", "odd", "red", "dry", "wet")]
+    bad = [f"{shared}\n{w} | {w} | {w} | {w}\n{w}!!! $$$ {w} ### {w} %%% &&&\nSome {w} sentence that is fine, as it has words." for w in ("buy", "win", "top", "now")]
+    texts, quality = good + bad, np.array([1] * len(good) + [0] * len(bad))
+    x, counts, _ = Q.describe(texts)
+    y = Q.line_labels(texts, quality, x, counts)
+    lines = [x for t in texts for x in Q.lines_of(t)]
+    assert not any(k for k, x in zip(y, lines) if x == shared or "|" in x or "$" in x)
+    assert all(k for k, x in zip(y[: 3 * len(good)], lines) if x != shared)
+    assert Q.learn(good[:1], [1]) is None and Q.learn([], []) is None
