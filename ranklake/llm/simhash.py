@@ -1,4 +1,4 @@
-"""SimHash near-deduplication: fingerprints that differ in few bits agree in two of their blocks, meet there, and are compared."""
+"""SimHash near-deduplication: fingerprints that differ in few bits agree in some blocks, meet there, and are compared."""
 
 from __future__ import annotations
 
@@ -12,15 +12,18 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ranklake.llm.common import need, unused, written
+from ranklake.llm.common import forget, need, unused, written
 from ranklake.llm.exact_dedup import Bloom, _ordered, probe
 
-#: A fingerprint has 128 bits in 16 blocks of a byte, and two that differ in BITS at most are near. Two blocks at least are
-#: alike for sure up to SURE bits, and for 97 in 100 pairs that differ in all of BITS, where the bits fall by chance.
-BLOCKS, SURE, BITS = 16, 14, 20
-PAIRS = list(combinations(range(BLOCKS), 2))
-#: Words that a task remembers before it starts over.
-MEMORY = 100_000
+#: A fingerprint has 128 bits in 32 blocks of four, and two that differ in BITS at most are near: 13 of their blocks at least are
+#: alike, so that in one of four groups of eight blocks at least four are.
+BITS = 19
+KEYS = [c for g in range(4) for c in combinations(range(8 * g, 8 * g + 8), 4)]
+#: Rows of one key from which they are parted further: of the 28 other blocks of two that are near 9 at least are alike, so
+#: that in one of four groups of seven at least three are.
+MANY = 256
+#: Words that a task remembers before it starts over; keys that a task compares at least.
+MEMORY, TOGETHER = 100_000, 4
 
 
 class Fingerprints:
@@ -50,101 +53,151 @@ class Fingerprints:
         return np.packbits(self._rows(words).sum(0, dtype=np.int32) > 0).tobytes()
 
 
-def spanning(fingerprints: np.ndarray, first: int, second: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges between rows (16 bytes each) that agree in two blocks and differ in BITS bits at most: of the rows that are so
-    connected in one bucket, as many as keep them connected."""
-    key = fingerprints[:, first].astype(np.int32) << 8 | fingerprints[:, second]
-    order = np.argsort(key, kind="stable")
-    key, words = key[order], np.ascontiguousarray(fingerprints[order]).view(np.uint64)
-    found = []
-    live = np.arange(len(key) - 1)
-    step = 1
-    while len(live):
-        live = live[live + step < len(key)]
-        live = live[key[live] == key[live + step]]
-        distance = np.bitwise_count(words[live] ^ words[live + step]).sum(1)
-        near = live[distance <= BITS]
-        if len(near):
-            found.append(np.stack([near, near + step]))
-        step += 1
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a, b = np.concatenate(found, 1)
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (p := parent.get(x, x)) != x:
-            parent[x] = parent.get(p, p)
-            x = p
-        return x
-
-    keep = []
-    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
-        x, y = root(x), root(y)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            keep.append(i)
-    return order[a[keep]], order[b[keep]]
-
-
-def _node(prefix: str) -> F.Column:
-    return F.xxhash64(f"{prefix}hi", f"{prefix}lo")
-
-
-def block_edges(fps: DataFrame, parts_a_pair: int = 1) -> DataFrame:
-    """(a, b): edges between the nodes of different fingerprints (hi, lo) that connect all that are near.
-
-    Every task sends each of its fingerprints to all pairs of blocks, packed as bytes; a pair of blocks, or the
-    part of it whose first block has certain values, is compared in one task, within buckets of equal blocks.
+def blocks_of(fingerprints: np.ndarray) -> np.ndarray:
+    """The 32 blocks of each row of 16 bytes."""
+    out = np.empty((len(fingerprints), 32), np.uint8)
+    out[:, ::2], out[:, 1::2] = fingerprints >> 4, fingerprints & 15
+    return out
+
+
+def key_of(blocks: np.ndarray, which: tuple[int, ...]) -> np.ndarray:
+    out = np.zeros(len(blocks), np.int32)
+    for i in which:
+        out = out << 4 | blocks[:, i]
+    return out
+
+
+def finer(which: tuple[int, ...]) -> list[tuple[int, ...]]:
+    """Further blocks of which rows that agree in those must agree in one choice, if they are near."""
+    rest = [i for i in range(32) if i not in which]
+    return [c for g in range(4) for c in combinations(rest[7 * g : 7 * g + 7], 3)]
+
+
+class Forest:
+    """Rows of 16 bytes, the components they are in so far, and the edges that connected them."""
+
+    def __init__(self, fingerprints: np.ndarray):
+        self.words = np.ascontiguousarray(fingerprints).view(np.uint64).reshape(-1, 2)
+        self.of = np.arange(len(fingerprints))
+        self.edges: list[np.ndarray] = []
+
+    def meet(self, rows: np.ndarray, key: np.ndarray) -> None:
+        """Connect those rows that are near and have one key; rows of one component needn't be compared."""
+        order = np.lexsort((self.of[rows], key))
+        rows, key = rows[order], key[order]
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        lengths = np.diff(np.append(starts, len(key)))
+        mixed = np.repeat(self.of[rows[starts]] != self.of[rows[starts + lengths - 1]], lengths)
+        rows, key = rows[mixed], key[mixed]
+        live, step = np.arange(len(rows)), 1
+        while len(live):
+            live = live[live + step < len(rows)]
+            live = live[key[live] == key[live + step]]
+            a, b = rows[live], rows[live + step]
+            apart = self.of[a] != self.of[b]
+            a, b = a[apart], b[apart]
+            near = np.bitwise_count(self.words[a] ^ self.words[b]).sum(1) <= BITS
+            if near.any():
+                self._join(a[near], b[near])
+            step += 1
+
+    def _join(self, a: np.ndarray, b: np.ndarray) -> None:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (p := parent.get(x, x)) != x:
+                parent[x] = parent.get(p, p)
+                x = p
+            return x
+
+        keep = []
+        for i, (x, y) in enumerate(zip(self.of[a].tolist(), self.of[b].tolist())):
+            x, y = root(x), root(y)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                keep.append(i)
+        self.edges.append(np.stack([a[keep], b[keep]]))
+        to = np.arange(len(self.of))
+        to[list(parent)] = [root(x) for x in list(parent)]
+        self.of = to[self.of]
+
+
+def spanning(fingerprints: np.ndarray, which: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Edges between rows (16 bytes each) that agree in those blocks and differ in BITS bits at most: of the rows that are so
+    connected, as many as keep them connected."""
+    blocks, forest = blocks_of(fingerprints), Forest(fingerprints)
+    key = key_of(blocks, which)
+    large = np.bincount(key, minlength=1 << 4 * len(which))[key] > MANY
+    few = np.flatnonzero(~large)
+    forest.meet(few, key[few])
+    many = np.flatnonzero(large)
+    for more in finer(which) if len(many) else []:
+        forest.meet(many, key[many] << 12 | key_of(blocks[many], more))
+    a, b = np.concatenate(forest.edges, 1) if forest.edges else np.zeros((2, 0), np.int64)
+    return a, b
+
+
+def _binaries(rows: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(16), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows).tobytes())]).cast(pa.binary())
+
+
+def block_edges(fps: DataFrame, parts_a_key: int = 1) -> DataFrame:
+    """(a, b): edges between different fingerprints (fp) that connect all that are near.
+
+    Every task sends each of its fingerprints to all keys, packed as bytes; the rows of a key, or of a range of its values, are
+    compared in one task, within buckets of equal values.
     """
 
     def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in ("hi", "lo")], 1) for b in it if b.num_rows]
-        if not parts:
-            return
-        rows = np.ascontiguousarray(np.concatenate(parts)).view(np.uint8).reshape(-1, 16)
-        for p, (first, _) in enumerate(PAIRS):
-            part = rows[:, first].astype(np.int64) * parts_a_pair >> 8
-            for k in range(parts_a_pair):
-                own = rows[part == k] if parts_a_pair > 1 else rows
-                if len(own):
-                    yield pa.RecordBatch.from_arrays([pa.array([p * parts_a_pair + k], pa.int32()), pa.array([own.tobytes()], pa.binary())], ["part", "rows"])
+        data = b"".join(x for b in it for x in b.column("fp").to_pylist())
+        rows = np.frombuffer(data, np.uint8).reshape(-1, 16)
+        blocks = blocks_of(rows) if parts_a_key > 1 else None
+        for p, which in enumerate(KEYS if len(rows) else []):
+            if parts_a_key == 1:
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), pa.array([data], pa.binary())], ["part", "rows"])
+                continue
+            part = key_of(blocks, which).astype(np.int64) * parts_a_key >> 16
+            order = np.argsort(part, kind="stable")
+            ends = np.flatnonzero(np.append(part[order][1:] != part[order][:-1], True)) + 1
+            for start, end in zip([0, *ends[:-1].tolist()], ends.tolist()):
+                yield pa.RecordBatch.from_arrays([pa.array([p * parts_a_key + int(part[order[start]])], pa.int64()), pa.array([rows[order[start:end]].tobytes()], pa.binary())], ["part", "rows"])
 
     def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list[bytes]] = {}
         for b in it:
             for p, rows in zip(b.column("part").to_pylist(), b.column("rows").to_pylist()):
                 parts.setdefault(p, []).append(rows)
-        for p, own in parts.items():
+        while parts:
+            p, own = parts.popitem()
             rows = np.frombuffer(b"".join(own), np.uint8).reshape(-1, 16)
-            a, b = spanning(rows, *PAIRS[p // parts_a_pair])
-            longs = rows.reshape(-1).view(np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(longs[x, c])) for x in (a, b) for c in (0, 1)], ["ahi", "alo", "bhi", "blo"])
+            a, b = spanning(rows, KEYS[p // parts_a_key])
+            yield pa.RecordBatch.from_arrays([_binaries(rows[a]), _binaries(rows[b])], ["a", "b"])
 
-    sent = fps.select("hi", "lo").mapInArrow(send, "part int, rows binary").repartitionById(len(PAIRS) * parts_a_pair, F.col("part"))
-    met = sent.mapInArrow(meet, "ahi long, alo long, bhi long, blo long")
-    return met.select(_node("a").alias("a"), _node("b").alias("b")).filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    together = max(1, TOGETHER // parts_a_key)
+    sent = fps.select("fp").mapInArrow(send, "part long, rows binary").repartitionById(-(-len(KEYS) * parts_a_key // together), F.expr(f"cast(part div {together} as int)"))
+    return sent.mapInArrow(meet, "a binary, b binary").filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of edges (a, b) but the roots themselves: root is the least node it is connected with.
 
-    Large-star and small-star steps alternate until nothing changes; each round is written to the shared folder.
+    Large-star and small-star steps alternate until nothing changes; each round is written to the shared folder. The least
+    neighbour of a node is joined to its edges, so that no task holds all edges of a hub.
     """
     now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
-    for _ in range(most_rounds):
+    while True:
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("s")).first()
         if state.n == 0 or (state.n, state.s) == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark = state.n, state.s
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = F.least("a", F.min("b").over(Window.partitionBy("a")))
-        large = both.withColumn("m", least).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        stars = large.select("a", "b", F.min("b").over(Window.partitionBy("a")).alias("m"))
-        small = stars.select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
-        now = written(small)
-    raise RuntimeError("components did not settle")
+        turned = now.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        least = now.unionByName(turned).groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = written(turned.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct())
+        stars = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
+        small = written(stars.select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct())
+        forget(now, large)
+        now = small
 
 
 def _hashes(text_col: str) -> list:
@@ -159,14 +212,13 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, rows_a_part: int) ->
     def f(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fingerprints = Fingerprints()
         for b in it:
-            out = np.frombuffer(b"".join(map(fingerprints.of, b.column("text").to_pylist())), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "h1", "h2")), pa.array(np.ascontiguousarray(out[:, 0])), pa.array(np.ascontiguousarray(out[:, 1]))], ["id", "h1", "h2", "hi", "lo"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "h1", "h2")), pa.array(list(map(fingerprints.of, b.column("text").to_pylist())), pa.binary())], ["id", "h1", "h2", "fp"])
 
-    made = written(rows.mapInArrow(f, f"id {dict(rows.dtypes)['id']}, h1 long, h2 long, hi long, lo long"))
-    fps = made.select("hi", "lo").distinct()
-    parts = max(1, min(256, -(-made.count() // rows_a_part)))
-    roots = components(block_edges(fps, parts))
-    return made.withColumn("node", _node("")).join(roots, "node", "left").select("id", "h1", "h2", F.coalesce("root", "node").alias("group"))
+    made = written(rows.mapInArrow(f, f"id {dict(rows.dtypes)['id']}, h1 long, h2 long, fp binary"))
+    fps = made.select("fp").distinct()
+    parts = max(1, min(1 << 16, -(-made.count() // rows_a_part)))  # a part is a value of the key at least
+    roots = components(block_edges(fps, parts)).withColumnRenamed("node", "fp")
+    return made.join(roots, "fp", "left").select("id", "h1", "h2", F.coalesce("root", "fp").alias("group"))
 
 
 def labels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_a_part: int = 500_000) -> DataFrame:
@@ -177,10 +229,8 @@ def labels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_a_part: int = 500_000) -> DataFrame:
     """(doc_id, keep_doc_id, kept) of the rows of docs that have near duplicates; keep_doc_id is the least id of the group.
 
-    Two texts are near if their fingerprints differ in BITS bits at most, and groups are what is so connected. A pair within
-    SURE bits is never missed: of 16 blocks 14 bits can spoil 14. Beyond, up to BITS, a pair is missed if fewer than two
-    blocks are alike (at most 3 in 100), unless another row connects it. Copies, and rows repeated as they are, share a fingerprint. Empty
-    texts are near each other; a null text is near nothing. Null ids come last; if all of a group are null, so is
+    Two texts are near if their fingerprints differ in BITS bits at most, and groups are what is so connected: no pair is
+    missed. Copies, and rows repeated as they are, share a fingerprint. Empty texts are near each other; a null text is near nothing. Null ids come last; if all of a group are null, so is
     keep_doc_id. kept marks the rows with that id, all of them if it is repeated. Other columns are ignored.
     """
     need(docs, id_col, text_col)
@@ -222,7 +272,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_
     need(docs, id_col, text_col)
     group, rank, h1, h2, shard, words = (unused(docs, x) for x in ("group__", "rank__", "h1__", "h2__", "shard__", "words__"))
     labelled = _labelled(docs, id_col, text_col, rows_a_part)
-    more = labelled.withColumn("n", F.count("*").over(Window.partitionBy("group"))).filter("n > 1").select(F.col("h1").alias(h1), F.col("h2").alias(h2), F.col("group").alias(group)).distinct()
+    sizes = labelled.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1")
+    more = labelled.join(sizes, "group").select(F.col("h1").alias(h1), F.col("h2").alias(h2), F.col("group").alias(group)).distinct()
     more = written(more)
     hashed = docs.withColumns({h1: F.when(F.col(f"`{text_col}`").isNotNull(), _hashes(text_col)[0]), h2: _hashes(text_col)[1]})
     shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
