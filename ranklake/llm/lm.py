@@ -15,21 +15,24 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ranklake.llm.common import forget, need, written
+from ranklake.llm.common import need, written
 
 #: Tokens to each side that a prediction sees.
 SIDE = 2
 OFFSETS = (*range(-SIDE, 0), *range(1, SIDE + 1))
-#: Tokens whose share of their class goes to every task; shares of rarer ones are joined.
-NEAR = 131_072
+#: Tokens, at most, whose share of their class goes to every task, with 12 bytes each; shares of rarer ones are joined.
+NEAR = 1 << 20
 #: Characters in a block, and in a piece of a longer text.
 BLOCK_CHARS, PIECE_CHARS = 1_000_000, 1_000_000
 #: Tokens that training shuffles together, in one step of it, and in one step of scoring.
-SHUFFLED, BATCH, STEP = 500_000, 2048, 8192
+SHUFFLED, BATCH, STEP = 500_000, 4096, 8192
+#: Rows of counts that a task sums up together.
+COUNTED = 2_000_000
 TOKEN = re.compile(r"\w+|[^\w\s]")
 NOT_WORD = re.compile(r"\W")
 
@@ -50,7 +53,7 @@ def cut(text: str, size: int = PIECE_CHARS) -> Iterator[list[str]]:
 def tokenise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", piece_chars: int = PIECE_CHARS) -> DataFrame:
     """Blocks of the texts of docs, not yet written: (rows, doc_ids, keys, sizes, lefts, rights, ids, tokens, counts).
 
-    ids are the tokens' places in the block's own list tokens, as 32 bits each, counts how often each is there. A text
+    ids are the tokens' places in the block's own list tokens, of 16 bits each if that does, of 32 if not; counts is how often each is there. A text
     longer than piece_chars is in several pieces; lefts and rights say how many tokens of the neighbours stand around a piece, so that
     each token is with what it is predicted from. sizes don't count these; -1 is a null text. rows numbers the rows of
     docs, keys is the hash of id and text.
@@ -124,14 +127,31 @@ class _Block:
                 np.subtract.at(counts, ids[ends[k] - own[k] : ends[k]], 1)
         one = lambda x, t: pa.array([x], pa.list_(t))
         doc_ids = pa.concat_arrays(self.doc_ids)
-        columns = [one(self.rows, pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids), one(self.keys, pa.int64()), *(one(x, pa.int32()) for x in (self.sizes, self.lefts, self.rights)), pa.array([ids.tobytes()], pa.binary()), one(list(self.places), pa.string()), one(counts, pa.int64())]
+        columns = [one(self.rows, pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids), one(self.keys, pa.int64()), *(one(x, pa.int32()) for x in (self.sizes, self.lefts, self.rights)), pa.array([(ids.astype(np.uint16) if len(self.places) <= 1 << 16 else ids).tobytes()], pa.binary()), one(list(self.places), pa.string()), one(counts, pa.int64())]
         return pa.RecordBatch.from_arrays(columns, ["rows", "doc_ids", "keys", "sizes", "lefts", "rights", "ids", "tokens", "counts"])
 
 
 def count_tokens(blocks: DataFrame) -> DataFrame:
     """(token, n) over all texts."""
-    each = blocks.select(F.explode(F.arrays_zip("tokens", "counts")).alias("e")).select(F.col("e.tokens").alias("token"), F.col("e.counts").alias("n"))
-    return each.groupBy("token").agg(F.sum("n").alias("n")).filter("n > 0")
+
+    def f(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+
+        def flush() -> list[pa.RecordBatch]:
+            sums = pa.concat_tables(held).group_by("token").aggregate([("n", "sum")]).select(["token", "n_sum"]).rename_columns(["token", "n"])
+            held.clear()
+            return sums.combine_chunks().to_batches()
+
+        for b in it:
+            held.append(pa.table([b.column("tokens").flatten(), b.column("counts").flatten()], ["token", "n"]))
+            rows += held[-1].num_rows
+            if rows > COUNTED:
+                yield from flush()
+                rows = 0
+        if held:
+            yield from flush()
+
+    return blocks.select("tokens", "counts").mapInArrow(f, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).filter("n > 0")
 
 
 # Classes
@@ -198,7 +218,7 @@ def _bucket(col: str, buckets: int) -> F.Column:
 
 
 def shares(counts: DataFrame, v: Vocabulary) -> tuple[DataFrame, DataFrame]:
-    """(token, share) of all counted tokens, the log-probability of each within its class; (bucket, unseen), that of any other.
+    """(token, share) of the tokens of counts, the log-probability of each within its class; (bucket, unseen), that of any other.
 
     A token counts as often as it came up, one that never did for half a time, and a bucket is taken to have one more of
     these than of the others. A word has its class to itself.
@@ -230,16 +250,18 @@ class Network:
     def copy(self) -> Network:
         return pickle.loads(pickle.dumps(self))
 
-    def pad(self, classes: np.ndarray, sizes: np.ndarray, lefts: np.ndarray, rights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    @staticmethod
+    def pad(v: Vocabulary, classes: np.ndarray, sizes: np.ndarray, lefts: np.ndarray, rights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces one after another, each with SIDE places to both sides, filled up by no token; and where each begins."""
         sizes = np.maximum(sizes, 0)
         lengths = sizes + lefts + rights
         begins = np.cumsum(sizes + 2 * SIDE) - sizes - 2 * SIDE
-        out = np.full(int((sizes + 2 * SIDE).sum()), self.width - 1, np.int32)
+        out = np.full(int((sizes + 2 * SIDE).sum()), v.size, np.int32)
         out[np.repeat(begins + SIDE - lefts - (np.cumsum(lengths) - lengths), lengths) + np.arange(len(classes))] = classes
         return out, begins
 
-    def targets(self, sizes: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def targets(sizes: np.ndarray, begins: np.ndarray) -> np.ndarray:
         """Where the tokens to be predicted are in what pad() gives."""
         sizes = np.maximum(sizes, 0)
         return np.arange(int(sizes.sum())) + np.repeat(begins + SIDE - (np.cumsum(sizes) - sizes), sizes)
@@ -291,11 +313,16 @@ class Network:
         """One step of Adagrad by the mean negative log-probability of the tokens at those places."""
         hit, sums, rest = self.gradients(padded, at)
         e, s = self.params[0], self.squares[0]
-        s[hit] += np.einsum("ij,ij->i", sums, sums) / sums.shape[1]
-        e[hit] -= sums * (rate / np.sqrt(s[hit]))[:, None]
+        own = s[hit] + np.einsum("ij,ij->i", sums, sums) / sums.shape[1]
+        s[hit] = own
+        sums *= (rate / np.sqrt(own))[:, None]
+        e[hit] -= sums
         for p, s, g in zip(self.params[1:], self.squares[1:], rest):
-            s += g * g
-            p -= rate * g / np.sqrt(s)
+            square = g * g
+            s += square
+            g /= np.sqrt(s, out=square)
+            g *= rate
+            p -= g
 
     def gradients(self, padded: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         """Those of the embeddings that aren't 0, by row, and of the other parameters."""
@@ -339,7 +366,7 @@ class Network:
         found = [[w for part in cut(t) for w in part] for t in texts]
         n = np.array([len(x) for x in found])
         none = np.zeros(len(n), np.int64)
-        padded, begins = self.pad(self.vocabulary.classes([w for x in found for w in x]), n, none, none)
+        padded, begins = self.pad(self.vocabulary, self.vocabulary.classes([w for x in found for w in x]), n, none, none)
         return np.bincount(np.repeat(np.arange(len(n)), n), self.log_probs(padded, self.targets(n, begins)), len(n))
 
 
@@ -363,38 +390,85 @@ def _summed(rows: np.ndarray, values: np.ndarray, ladder: int = 12) -> tuple[np.
 # Over tables
 
 
-def train(blocks: DataFrame, counts: DataFrame, words: int | None = None, buckets: int | None = None, hidden: int = 32, rounds: int = 2, lane_tokens: int = 4_000_000) -> Network:
-    """A network for the texts of blocks, of tokenise(); counts are those of count_tokens().
+def deal(blocks: DataFrame, counts: DataFrame, v: Vocabulary, near: int = NEAR) -> DataFrame:
+    """A written table of the pieces of texts, for train() and score(): (row, doc, key, nth, n, share, rest, piece).
+
+    piece has the tokens' classes, with SIDE places to both sides; share sums the log-shares of tokens of their classes, without
+    those of rest, whose are still to be added. The shares of the most frequent tokens, up to near of them, are sent to all
+    tasks by their hashes.
+    """
+    cut_at = _least(counts, near)
+    table = shares(counts.filter(F.col("n") >= cut_at), v)[0].select(F.xxhash64("token").alias("h"), F.col("share").cast("float").alias("s")).toArrow()
+    hashes, values = (table.column(c).to_numpy() for c in ("h", "s"))
+    order = np.argsort(hashes)
+    shared = blocks.sparkSession.sparkContext.broadcast((v, hashes[order], values[order]))
+    kind = np.uint16 if v.size < 1 << 16 else np.int32
+
+    def f(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, hashes, values = shared.value
+        for b in it:
+            for i in range(b.num_rows):
+                rows, keys = (b.column(c)[i].values for c in ("rows", "keys"))
+                n, left, right = (b.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("sizes", "lefts", "rights"))
+                names = b.column("tokens")[i].values
+                tokens, targets = names.to_pylist(), np.maximum(n, 0)
+                lengths = targets + left + right
+                data = b.column("ids")[i].as_buffer()
+                ids = np.frombuffer(data, np.uint16 if data.size == 2 * int(lengths.sum()) else np.int32)
+                padded, begins = Network.pad(v, v.classes(tokens)[ids], n, left, right)
+                # shares of tokens, where they are known
+                own = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in tokens), np.uint64, len(tokens)).view(np.int64)
+                at = np.minimum(np.searchsorted(hashes, own), max(0, len(hashes) - 1))
+                there = hashes[at] == own if len(hashes) else np.zeros(len(own), bool)
+                share = np.where(there, values[at], 0) if len(hashes) else np.zeros(len(own))
+                if left.any() or right.any():
+                    ids = ids[np.arange(int(targets.sum())) + np.repeat(np.cumsum(lengths) - lengths + left - (np.cumsum(targets) - targets), targets)]
+                piece = np.repeat(np.arange(len(n)), targets)
+                far = np.flatnonzero(~there[ids]) if len(ids) else np.zeros(0, np.int64)
+                rest = pa.ListArray.from_arrays(pa.array(np.searchsorted(piece[far], np.arange(len(n) + 1)), pa.int32()), names.take(pa.array(ids[far].astype(np.int64))))
+                classes = padded.astype(kind)
+                offsets = np.append(begins, len(padded)).astype(np.int32) * classes.itemsize
+                pieces = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(classes.tobytes())])
+                docs = pa.StructArray.from_arrays([b.column("doc_ids")[i].values], ["doc_id"])
+                columns = [rows, docs, keys, pa.array(np.arange(len(n), dtype=np.int32)), pa.array(n, pa.int32(), mask=n < 0), pa.array(np.bincount(piece, share[ids], len(n)), pa.float64()), rest, pieces]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "doc", "key", "nth", "n", "share", "rest", "piece"])
+
+    id_kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
+    return written(blocks.drop("counts").mapInArrow(f, f"row long, doc struct<doc_id:{id_kind}>, key long, nth int, n int, share double, rest array<string>, piece binary"), 16)
+
+
+def _least(counts: DataFrame, near: int) -> int:
+    """The least n that no more than near tokens have or pass."""
+    total, least = 0, 1 << 62
+    for r in counts.groupBy("n").agg(F.count("*").alias("tokens")).orderBy(F.desc("n")).toLocalIterator():
+        total += r.tokens
+        if total > near:
+            break
+        least = r.n
+    return least
+
 
-    Pieces of text are dealt to lanes by their keys, about lane_tokens to each, and to the rounds; every token is
-    predicted in one of them. In a round every lane goes on from the same weights, its pieces in the order of their keys; then
+def _classes(v: Vocabulary, pieces: pa.Array) -> list[np.ndarray]:
+    kind = np.uint16 if v.size < 1 << 16 else np.int32
+    return [np.frombuffer(x.as_buffer(), kind) for x in pieces]
+
+
+def train(pieces: DataFrame, counts: DataFrame, v: Vocabulary, hidden: int = 32, rounds: int = 2, lane_tokens: int = 4_000_000) -> Network:
+    """A network for the texts of pieces, of deal(); counts are those of count_tokens().
+
+    Pieces of text are dealt to lanes and rounds by their keys, about lane_tokens to each lane; every token is
+    predicted in one round. In a round every lane goes on from the same weights, its pieces in the order of their keys; then
     weights are averaged over lanes, each as much as the lane has squared gradients for it, and squares by tokens. So neither
     partitions nor executors change the result; only rows that are equal in id and text (rows without id: in text) are
     dealt by their order in a partition. A task takes several lanes where there are many, and adds them up, so that what is sent
     grows with the root of the lanes.
     """
-    network = Network(vocabulary(counts, words, buckets), hidden)
-    sc = blocks.sparkSession.sparkContext
+    network = Network(v, hidden)
+    sc = pieces.sparkSession.sparkContext
     total = counts.agg(F.sum("n").alias("n")).first().n or 0
     lanes = max(1, -(-total // lane_tokens))
     tasks = min(lanes, 8 * ceil(lanes**0.5))
     width = ceil(tasks**0.5)
-    kind = np.uint16 if network.width < 1 << 16 else np.int32
-    shared_vocabulary = sc.broadcast(network)
-
-    def deal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = shared_vocabulary.value
-        for b in it:
-            for i in range(b.num_rows):
-                padded, n, begins, _ = _read(net, b, i)
-                keys = b.column("keys")[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
-                data = padded.astype(kind)
-                size = data.itemsize
-                offsets = np.append(begins, len(padded)).astype(np.int32) * size
-                pieces = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
-                lane = (keys // np.uint64(rounds) % np.uint64(lanes)).astype(np.int64)
-                out = pa.RecordBatch.from_arrays([pa.array((keys % np.uint64(rounds)).astype(np.int32)), pa.array((lane % tasks).astype(np.int32)), pa.array(lane), pa.array(keys.view(np.int64)), pa.array(np.arange(len(n), dtype=np.int32)), pieces], ["round", "task", "lane", "key", "nth", "piece"])
-                yield out.filter(pa.array(n > 0))
 
     def local(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = shared.value
@@ -420,12 +494,12 @@ def train(blocks: DataFrame, counts: DataFrame, words: int | None = None, bucket
                 tokens += seen
 
         for b in it:
-            for k, piece in zip(b.column("lane").to_pylist(), b.column("piece")):
+            for k, piece in zip(b.column("lane").to_pylist(), _classes(start.vocabulary, b.column("piece"))):
                 if k != lane:
                     close()
                     net, lane, seen = start.copy(), k, 0
-                held.append(np.frombuffer(piece.as_buffer(), kind))
-                size += len(held[-1])
+                held.append(piece)
+                size += len(piece)
                 if size > SHUFFLED:
                     learn()
         close()
@@ -440,10 +514,10 @@ def train(blocks: DataFrame, counts: DataFrame, words: int | None = None, bucket
         if tokens:
             yield _sent(0, tokens, sums)
 
-    dealt = written(blocks.select("keys", "sizes", "lefts", "rights", "ids", "tokens").mapInArrow(deal, "round int, task int, lane long, key long, nth int, piece binary"), 8)
+    dealt = pieces.filter("n > 0").select(F.pmod("key", F.lit(rounds)).alias("round"), F.pmod(F.xxhash64("key"), F.lit(lanes)).alias("lane"), "key", "nth", "piece")
     for k in range(rounds):
         shared = sc.broadcast(network)
-        own = dealt.filter(F.col("round") == k).repartitionById(tasks, F.col("task")).sortWithinPartitions("lane", "key", "nth", "piece")
+        own = dealt.filter(F.col("round") == k).repartitionById(tasks, (F.col("lane") % tasks).cast("int")).sortWithinPartitions("lane", "key", "nth", "piece")
         parts = own.select("lane", "piece").mapInArrow(local, "task int, n long, weights binary")
         sums, tokens = None, 0
         for r in parts.repartitionById(width, F.col("task") % width).sortWithinPartitions("task").mapInArrow(add, "task int, n long, weights binary").toLocalIterator():
@@ -452,18 +526,9 @@ def train(blocks: DataFrame, counts: DataFrame, words: int | None = None, bucket
             m = len(network.params)
             network.params = [(sums[2 * i] / sums[2 * i + 1]).astype(np.float32) for i in range(m)]
             network.squares = [(s / tokens).astype(np.float32) for s in sums[2 * m :]]
-    forget(dealt)
     return network
 
 
-def _read(net: Network, b: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Padded classes of block i of b, sizes, beginnings, and all ids."""
-    n, left, right = (b.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("sizes", "lefts", "rights"))
-    ids = np.frombuffer(b.column("ids")[i].as_buffer(), np.int32)
-    padded, begins = net.pad(net.vocabulary.classes(b.column("tokens")[i].as_py())[ids], n, left, right)
-    return padded, n, begins, ids
-
-
 def _weighed(p: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     s = s.astype(np.float64).reshape(s.shape + (1,) * (p.ndim - s.ndim))
     return p * s, s
@@ -477,44 +542,38 @@ def _sent(task: int, n: int, sums: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([n], pa.int64()), pa.array([pickle.dumps(sums)], pa.binary())], ["task", "n", "weights"])
 
 
-def score(blocks: DataFrame, network: Network, counts: DataFrame, near: int = NEAR) -> DataFrame:
-    """(doc_id, n_tokens, log_prob, log_prob_per_token) of each row that blocks were made of.
+def score(pieces: DataFrame, network: Network, counts: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, log_prob, log_prob_per_token) of each row that pieces were made of, by deal() with the same counts.
 
     Tokens are words and marks in lower case. Every token of the whole text counts, at the text's ends with fewer neighbours:
-    log_prob sums log p(class | context) + log p(token | class), the second by shares() of counts. The shares of the near
-    most frequent tokens are sent to all tasks, those of the others joined, with the same result. A text without tokens has
+    log_prob sums log p(class | context) + log p(token | class), the second by shares() of counts. A text without tokens has
     a log_prob of 0 and none a token; a null text has nulls. Rows are never merged; other columns don't matter.
     """
     v = network.vocabulary
     every, unseen = shares(counts, v)
-    often = counts.orderBy(F.desc("n"), "token").limit(near).select("token")
-    table = {r.token: r.share for r in every.join(often, "token").toLocalIterator()} | dict.fromkeys(v.words, 0.0)
-    shared = blocks.sparkSession.sparkContext.broadcast((network, table))
+    shared = pieces.sparkSession.sparkContext.broadcast(network)
 
     def f(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, known = shared.value
+        net = shared.value
         for b in it:
-            for i in range(b.num_rows):
-                padded, n, begins, ids = _read(net, b, i)
-                left, right = (b.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("lefts", "rights"))
-                tokens = b.column("tokens")[i].as_py()
-                share = np.array([known.get(w, np.nan) for w in tokens])
-                at, targets = net.targets(n, begins), np.maximum(n, 0)
-                piece = np.repeat(np.arange(len(n)), targets)
-                lengths = targets + left + right
-                own = ids[np.arange(len(piece)) + np.repeat(np.cumsum(lengths) - lengths + left - (np.cumsum(targets) - targets), targets)]
-                logs, far = net.log_probs(padded, at) + np.nan_to_num(share[own]), np.isnan(share[own]) if len(own) else np.zeros(0, bool)
-                sums = np.bincount(piece, logs, len(n)).tolist()
-                first = np.searchsorted(piece[far], np.arange(len(n) + 1))
-                names = pa.array(tokens, pa.string()).take(pa.array(own[far])) if len(tokens) else pa.array([], pa.string())
-                rest = pa.ListArray.from_arrays(pa.array(first, pa.int32()), names)
-                yield pa.RecordBatch.from_arrays([b.column("rows")[i].values, b.column("doc_ids")[i].values, pa.array([x if x >= 0 else None for x in n.tolist()], pa.int32()), pa.array([s if x >= 0 else None for s, x in zip(sums, n.tolist())], pa.float64()), rest], ["row", "doc_id", "n", "log_prob", "rest"])
-
-    kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
-    made = written(blocks.select("rows", "doc_ids", "sizes", "lefts", "rights", "ids", "tokens").mapInArrow(f, f"row long, doc_id {kind}, n int, log_prob double, rest array<string>"))
-    far = made.select("row", F.explode("rest").alias("token")).groupBy("row", "token").agg(F.count("*").alias("times"))
-    shared_out = far.join(every, "token", "left").withColumn("bucket", _bucket("token", v.buckets)).join(F.broadcast(unseen), "bucket")
-    added = shared_out.groupBy("row").agg(F.sum(F.col("times") * F.coalesce("share", "unseen")).alias("log_prob"))
-    own = made.select("row", F.struct("doc_id").alias("doc"), "n", "log_prob").unionByName(added.select("row", F.lit(None).cast(f"struct<doc_id:{kind}>").alias("doc"), F.lit(None).cast("int").alias("n"), "log_prob"))
-    whole = own.groupBy("row").agg(F.first("doc", ignorenulls=True).alias("doc"), F.sum("n").cast("int").alias("n_tokens"), F.sum("log_prob").alias("log_prob"))
+            held = _classes(net.vocabulary, b.column("piece"))
+            sums = b.column("share").to_numpy().copy()
+            first = 0
+            while first < len(held):  # some pieces at a time
+                last, size = first, 0
+                while last < len(held) and (last == first or size + len(held[last]) <= SHUFFLED):
+                    size += len(held[last])
+                    last += 1
+                n = np.array([len(x) - 2 * SIDE for x in held[first:last]])
+                at = net.targets(n, np.cumsum(n + 2 * SIDE) - n - 2 * SIDE)
+                sums[first:last] += np.bincount(np.repeat(np.arange(len(n)), n), net.log_probs(np.concatenate(held[first:last]).astype(np.int32), at), len(n))
+                first = last
+            n = b.column("n")
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc"), n, pa.array(sums, mask=n.is_null().to_numpy(zero_copy_only=False))], ["row", "doc", "n", "log_prob"])
+
+    kind = pieces.schema["doc"].dataType.simpleString()
+    own = pieces.select("row", "doc", "n", "share", "piece").mapInArrow(f, f"row long, doc {kind}, n int, log_prob double")
+    far = pieces.select("row", F.explode("rest").alias("token")).join(every, "token", "left").withColumn("bucket", _bucket("token", v.buckets)).join(F.broadcast(unseen), "bucket")
+    added = far.select("row", F.lit(None).cast(kind).alias("doc"), F.lit(None).cast("int").alias("n"), F.coalesce("share", "unseen").alias("log_prob"))
+    whole = own.unionByName(added).groupBy("row").agg(F.first("doc", ignorenulls=True).alias("doc"), F.sum("n").cast("int").alias("n_tokens"), F.sum("log_prob").alias("log_prob"))
     return whole.select("doc.doc_id", "n_tokens", "log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("log_prob_per_token"))

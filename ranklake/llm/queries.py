@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ranklake.llm import bpe, exact_dedup, langid, licenses, lm, packing, quality, sharding, simhash, warc
-from ranklake.llm.common import written
+from ranklake.llm.common import forget, written
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,7 +68,10 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pseudo-likelihood of every document."""
     blocks = written(lm.tokenise(_t(spark, sf_dir, "documents")), 16)
     counts = written(lm.count_tokens(blocks))
-    return lm.score(blocks, lm.train(blocks, counts), counts)
+    v = lm.vocabulary(counts)
+    pieces = lm.deal(blocks, counts, v)
+    forget(blocks)
+    return lm.score(pieces, lm.train(pieces, counts, v), counts)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

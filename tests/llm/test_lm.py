@@ -34,14 +34,16 @@ def slow(n, text):
     return total, len(ids)
 
 
-def made(docs, **kw):
+def made(docs, words=None, buckets=None, **kw):
+    """Blocks, counts and pieces."""
     blocks = lm.tokenise(docs, **kw)
-    counts = lm.count_tokens(blocks)
-    return blocks, counts
+    counts = lm.written(lm.count_tokens(blocks))
+    v = lm.vocabulary(counts, words, buckets)
+    return lm.deal(blocks, counts, v), counts, v
 
 
-def mean_score(n, own, held, counts):
-    out = [r for r in lm.score(lm.tokenise(held), n, counts).collect() if r.n_tokens]
+def mean_score(n, held, counts):
+    out = [r for r in lm.score(lm.deal(lm.tokenise(held), counts, n.vocabulary), n, counts).collect() if r.n_tokens]
     return sum(r.log_prob for r in out) / sum(r.n_tokens for r in out)
 
 
@@ -70,7 +72,7 @@ def test_gradients():
     n.params = [p.astype(np.float64) for p in n.params]
     zero, text = np.zeros(2, np.int64), ["the a . x y the cat the", "a a ."]
     sizes = np.array([8, 3])
-    padded, begins = n.pad(n.vocabulary.classes(" ".join(text).split()), sizes, zero, zero)
+    padded, begins = n.pad(n.vocabulary, n.vocabulary.classes(" ".join(text).split()), sizes, zero, zero)
     at = n.targets(sizes, begins)
     hit, sums, rest = n.gradients(padded, at)
     dense = np.zeros_like(n.params[0])
@@ -101,37 +103,44 @@ def test_long_texts_are_cut_without_a_trace(spark):
     text = "The cat, " + "x" * 300 + " saw a dog!  \n\n and then Ünder " * 40
     assert [w for part in lm.cut(text, 50) for w in part] == lm.TOKEN.findall(text.lower())
     docs = spark.createDataFrame([(1, text), (2, "a b"), (3, "a" * 500), (4, " " * 500 + "b")], "doc_id long, text string")
-    (a, n), (b, m) = made(docs), made(docs, piece_chars=60)
-    assert b.selectExpr("sum(size(rows)) as n").first().n > 8
-    assert sorted(n.collect()) == sorted(m.collect())
-    network = lm.train(a, n)
+    (a, n, v), (b, m, _) = made(docs, words=4, buckets=3), made(docs, words=4, buckets=3, piece_chars=60)
+    assert b.count() > 8 and sorted(n.collect()) == sorted(m.collect())
+    network = lm.train(a, n, v)
     want = {r.doc_id: (r.n_tokens, r.log_prob) for r in lm.score(a, network, n).collect()}
-    for r in lm.score(b, network, n).collect():
-        assert (r.n_tokens, r.log_prob) == (want[r.doc_id][0], pytest.approx(want[r.doc_id][1], rel=1e-6))
+    for pieces in (b, lm.deal(lm.tokenise(docs, piece_chars=60), n, v, near=2)):
+        for r in lm.score(pieces, network, n).collect():
+            assert (r.n_tokens, r.log_prob) == (want[r.doc_id][0], pytest.approx(want[r.doc_id][1], rel=1e-6))
 
 
 def test_odd_rows(spark):
     rows = [(1, "a b. A", 1), (1, "a b. A", 1), (None, "b", 2), (None, "b", 2), (2, None, 2), (3, "", None), (4, "word " * 200_000, 3), (5, "  ", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n int").withColumnRenamed("n", "tokens").repartition(3)
-    blocks, counts = made(docs)
+    pieces, counts, v = made(docs)
     assert {r.token: r.n for r in counts.collect()} == {"a": 4, "b": 4, ".": 2, "word": 200_000}
-    out = lm.score(blocks, lm.train(blocks, counts), counts).collect()
+    out = lm.score(pieces, lm.train(pieces, counts, v), counts).collect()
     assert len(out) == 8
     assert Counter((r.doc_id, r.n_tokens) for r in out) == Counter([(1, 4), (1, 4), (None, 1), (None, 1), (2, None), (3, 0), (4, 200_000), (5, 0)])
     assert [(r.log_prob, r.log_prob_per_token) for r in out if r.doc_id in (3, 5)] == [(0.0, None)] * 2
     assert [(r.log_prob, r.log_prob_per_token) for r in out if r.doc_id == 2] == [(None, None)]
-    blocks, counts = made(docs.limit(0))
-    assert lm.score(blocks, lm.train(blocks, counts), counts).count() == 0
-    blocks, counts = made(docs.filter("doc_id = 2 or doc_id = 3").withColumn("doc_id", docs.doc_id.cast("string")))
-    assert lm.score(blocks, lm.train(blocks, counts), counts).count() == 2
+    for part, n in ((docs.limit(0), 0), (docs.filter("doc_id = 2 or doc_id = 3").withColumn("doc_id", docs.doc_id.cast("string")), 2)):
+        pieces, counts, v = made(part)
+        assert lm.score(pieces, lm.train(pieces, counts, v), counts).count() == n
+
+
+def test_more_than_16_bits_of_tokens_in_a_block(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(70_000))), (2, "w1 w69999 w1")], "doc_id long, text string").coalesce(1)
+    pieces, counts, v = made(docs)
+    assert {r.token: r.n for r in counts.filter("n > 1").collect()} == {"w1": 3, "w69999": 2} and counts.count() == 70_000
+    got = {r.doc_id: r for r in lm.score(pieces, lm.Network(v), counts).collect()}
+    assert got[2].log_prob == pytest.approx(sum(math.log(n / v.totals.sum()) for n in (3, 2, 3)), rel=1e-4)
 
 
 def test_log_prob_is_of_tokens(spark):
     rows = [(1, "the cat the dog the zebra ."), (2, "the the cat cat cat ."), (3, "unheard été the"), (4, None), (5, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
-    own, counts = made(docs.filter("doc_id <> 3"))
-    n = lm.train(own, counts, words=2, buckets=2)
-    v, seen = n.vocabulary, {r.token: r.n for r in counts.collect()}
+    own, counts, v = made(docs.filter("doc_id <> 3"), words=2, buckets=2)
+    n = lm.train(own, counts, v)
+    seen = {r.token: r.n for r in counts.collect()}
     class_of = lambda w: v.classes([w])[0]
 
     def share(w):
@@ -141,7 +150,8 @@ def test_log_prob_is_of_tokens(spark):
         return math.log(seen.get(w, 0.5) / (sum(seen[k] for k in mates) + (len(mates) + 1) / 2))
 
     for near in (0, 3, 1000):
-        got = {r.doc_id: r for r in lm.score(lm.tokenise(docs), n, counts, near=near).collect()}
+        pieces = lm.deal(lm.tokenise(docs), counts, v, near=near)
+        got = {r.doc_id: r for r in lm.score(pieces, n, counts).collect()}
         for doc, text in rows[:3]:
             tokens = lm.TOKEN.findall(text)
             want = slow(n, text)[0] + sum(map(share, tokens))
@@ -154,23 +164,22 @@ def test_log_prob_is_of_tokens(spark):
 def test_partitions_do_not_matter_and_unigrams_are_beaten(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     own, held = docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 2 = 1")
-    floor, means, nets = None, [], []
+    means, nets = [], []
     for parts in (1, 16):
-        blocks, counts = made(own.repartition(parts))
-        floor = floor or unigram(counts, held)
-        nets.append(lm.train(blocks, counts))
-        means.append(mean_score(nets[-1], own, held, counts))
+        pieces, counts, v = made(own.repartition(parts))
+        nets.append(lm.train(pieces, counts, v))
+        means.append(mean_score(nets[-1], held, counts))
     assert all((p == q).all() for p, q in zip(nets[0].params, nets[1].params))
     assert means[0] == pytest.approx(means[1], rel=1e-9)
-    assert means[0] > floor + 0.7
+    assert means[0] > unigram(counts, held) + 0.7
 
 
 def test_many_lanes_lose_little(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     own, held = docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 2 = 1")
-    blocks, counts = made(own)
-    floor, one = unigram(counts, held), mean_score(lm.train(blocks, counts), own, held, counts)
-    many = mean_score(lm.train(blocks, counts, lane_tokens=40_000), own, held, counts)
+    pieces, counts, v = made(own)
+    floor, one = unigram(counts, held), mean_score(lm.train(pieces, counts, v), held, counts)
+    many = mean_score(lm.train(pieces, counts, v, lane_tokens=40_000), held, counts)
     assert many > floor + 0.5 * (one - floor)
 
 
