@@ -5,28 +5,40 @@ Scores add up as doubles; they are rounded to nine decimals before ranking, so t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ranklake.errors import DuplicateIdError, OptionError, StoreError, UnknownIdError
 from ranklake.functions import tokenize
 from ranklake.operators.dense import DECIMALS, ranked
+from ranklake.shared import written
 
 K1, B = 1.2, 0.75
 MOST_TF = 65_535
+#: Terms of queries that are sent to all tasks, at most.
+MOST_WANTED = 1_000_000
 
 
 @dataclass(frozen=True)
 class TextIndex:
-    """postings (term, row_id, tf), docs (row_id, doc_len), terms (term, df), corpus: one row (n, avg_doc_len)."""
+    """postings (term, row_id, tf), docs (row_id, doc_len), terms (term, df), corpus: one row (n, avg_doc_len).
+
+    tokens (row_id, doc_len, terms) is there where postings are made from it: a search then takes its own terms from it
+    before it groups or shuffles any.
+    """
 
     postings: DataFrame
     docs: DataFrame
     terms: DataFrame
     corpus: DataFrame
     tokenizer: str = tokenize.SIMPLE
+    tokens: DataFrame | None = None
 
     def describe(self) -> DataFrame:
         """One row: documents, terms and postings, mean length, tokenizer and constants."""
@@ -35,17 +47,26 @@ class TextIndex:
 
 
 def build(docs: DataFrame, tokenizer: str = tokenize.SIMPLE, id_col: str = "row_id", text_col: str = "text") -> TextIndex:
-    """The index of docs, one row for each id. A null text has no terms, but counts as a document."""
+    """The index of docs, one row for each id. A null text has no terms, but counts as a document.
+
+    Texts are tokenised once, to a table in the shared folder.
+    """
     return from_terms(docs.select(F.col(id_col).cast("long").alias("row_id"), tokenize.terms(text_col, tokenizer).alias("terms")), tokenizer)
 
 
 def from_terms(docs: DataFrame, tokenizer: str = tokenize.SIMPLE) -> TextIndex:
     """The index of rows (row_id, terms) whose terms are normalized already."""
-    lengths = docs.select("row_id", F.size("terms").alias("doc_len"))
-    tf = docs.select("row_id", F.explode("terms").alias("term")).groupBy("term", "row_id").agg(F.count("*").alias("tf"))
-    postings = tf.select("term", "row_id", F.when(F.col("tf") <= MOST_TF, F.col("tf")).otherwise(F.raise_error(F.lit("a term is too frequent in a document"))).cast("int").alias("tf"))
+    tokens = written(docs.select("row_id", F.size("terms").alias("doc_len"), "terms"))
+    lengths = tokens.select("row_id", "doc_len")
+    postings = _counted(tokens.select("row_id", F.explode("terms").alias("term"))).select("term", "row_id", "tf")
     corpus = lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("doc_len"), F.lit(0.0)).alias("avg_doc_len"))
-    return TextIndex(postings, lengths, postings.groupBy("term").agg(F.count("*").alias("df")), corpus, tokenizer)
+    return TextIndex(postings, lengths, postings.groupBy("term").agg(F.count("*").alias("df")), corpus, tokenizer, tokens)
+
+
+def _counted(terms: DataFrame, *carried: str) -> DataFrame:
+    """Rows (row_id, term) with tf in place of repeated ones; other columns are the same for a row_id."""
+    tf = terms.groupBy("term", "row_id").agg(F.count("*").alias("tf"), *(F.first(c).alias(c) for c in carried))
+    return tf.withColumn("tf", F.when(F.col("tf") <= MOST_TF, F.col("tf")).otherwise(F.raise_error(F.lit("a term is too frequent in a document"))).cast("int"))
 
 
 def check_unique(docs: DataFrame, id_col: str = "row_id") -> None:
@@ -67,26 +88,99 @@ def bm25(tf: Column, df: Column, n: Column, doc_len: Column, avg_doc_len: Column
 def scored(index: TextIndex, queries: DataFrame, allowed: DataFrame | None = None, qid_col: str = "qid", text_col: str = "query") -> DataFrame:
     """(qid, row_id, score) of all documents that share a term with a query. allowed: ids (row_id), or (qid, row_id) where
     each query has its own; it restricts who is scored, not the statistics."""
-    wanted = queries.select(F.col(qid_col).cast("long").alias("qid"), F.explode(tokenize.query_terms(text_col, index.tokenizer)).alias("term"))
-    # the terms of all queries are few next to the postings: they prune those before anything is shuffled
-    hits = index.postings.join(wanted, "term")
+    wanted = _wanted(index, queries, qid_col, text_col)
+    # the terms of all queries are few next to the postings: they prune those before anything else is shuffled
+    own = wanted.select("term").distinct()
+    if index.tokens is not None:
+        found = _counted(index.tokens.select("row_id", "doc_len", F.explode("terms").alias("term")).join(own, "term", "left_semi"), "doc_len")
+        df = found.groupBy("term").agg(F.count("*").alias("df"))
+    else:
+        found = index.postings.join(own, "term", "left_semi").join(index.docs, "row_id")
+        df = index.terms.join(own, "term", "left_semi")
+    hits = found.join(df, "term").join(wanted, "term")
     if allowed is not None:
         on = ["qid", "row_id"] if "qid" in allowed.columns else ["row_id"]
         hits = hits.join(allowed.select(*(F.col(c).cast("long").alias(c) for c in on)).distinct(), on, "left_semi")
-    parts = hits.join(index.terms, "term").join(index.docs, "row_id").crossJoin(F.broadcast(index.corpus))
+    parts = hits.crossJoin(F.broadcast(index.corpus))  # one row
     score = bm25(F.col("tf").cast("double"), F.col("df").cast("double"), F.col("n").cast("double"), F.col("doc_len").cast("double"), F.col("avg_doc_len"))
     return parts.groupBy("qid", "row_id").agg(F.round(F.sum(score), DECIMALS).alias("score"))
 
 
+def _wanted(index: TextIndex, queries: DataFrame, qid_col: str, text_col: str) -> DataFrame:
+    """(qid, term) of the queries."""
+    return queries.select(F.col(qid_col).cast("long").alias("qid"), F.explode(tokenize.query_terms(text_col, index.tokenizer)).alias("term"))
+
+
+def _scan(index: TextIndex, rows: DataFrame, wanted: list, k: int) -> DataFrame:
+    """Hits without final ranks: of every batch of rows (row_id, doc_len, terms), the best k for each query.
+
+    wanted are rows (qid, term): as many as a broadcast may hold. One pass over the terms, which are neither grouped nor shuffled.
+    """
+    spark = rows.sparkSession
+    names = sorted({r.term for r in wanted})
+    known = spark.createDataFrame([(t,) for t in names], "term string")
+    every = index.tokens.select(F.explode(F.array_distinct("terms")).alias("term")).join(F.broadcast(known), "term", "left_semi")
+    df = {r.term: r.df for r in every.groupBy("term").agg(F.count("*").alias("df")).collect()}
+    n, mean = index.corpus.first()
+    place = {t: i for i, t in enumerate(names)}
+    idf = np.array([np.log((n - df.get(t, 0) + 0.5) / (df.get(t, 0) + 0.5) + 1.0) for t in names])
+    own: dict[int, set[int]] = {}
+    for r in wanted:
+        own.setdefault(r.qid, set()).add(place[r.term])
+    shared = spark.sparkContext.broadcast((pa.array(names, pa.string()), idf, {q: np.array(sorted(t)) for q, t in own.items()}))
+
+    def f(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, idf, own = shared.value
+        for b in it:
+            lists = b.column("terms")
+            found = pc.index_in(lists.flatten(), value_set=names)
+            doc = np.repeat(np.arange(b.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            there = found.is_valid().to_numpy(zero_copy_only=False)
+            term = found.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
+            pairs, tf = np.unique(term * b.num_rows + doc[there], return_counts=True)
+            if len(tf) and tf.max() > MOST_TF:
+                raise ValueError("a term is too frequent in a document")
+            term, doc = pairs // max(1, b.num_rows), pairs % max(1, b.num_rows)
+            length = b.column("doc_len").to_numpy(zero_copy_only=False)[doc]
+            part = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(mean, 1.0)))
+            bounds = np.searchsorted(term, np.arange(len(idf) + 1))
+            ids = b.column("row_id").to_numpy(zero_copy_only=False)
+            qids, hits, scores = [], [], []
+            for q, terms in own.items():
+                at = np.concatenate([np.arange(bounds[t], bounds[t + 1]) for t in terms])
+                which = np.unique(doc[at])
+                if not len(which):
+                    continue
+                score = np.round(np.bincount(doc[at], part[at], b.num_rows)[which], DECIMALS) + 0.0
+                if k < len(which):  # all that tie with the k-th stay
+                    good = score >= np.partition(score, len(score) - k)[len(score) - k]
+                    which, score = which[good], score[good]
+                best = np.lexsort((ids[which], -score))[:k]
+                qids.append(np.full(len(best), q, np.int64))
+                hits.append(ids[which[best]])
+                scores.append(score[best])
+            if qids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (qids, hits, scores)], ["qid", "row_id", "score"])
+
+    return rows.select("row_id", "doc_len", "terms").mapInArrow(f, "qid long, row_id long, score double")
+
+
 def search(index: TextIndex, queries: DataFrame, k: int, allowed: DataFrame | None = None, check: bool = False, qid_col: str = "qid", text_col: str = "query") -> DataFrame:
     """(qid, rank, row_id, score): the k best documents for each query, by score, then row_id.
 
-    Any shared term will do; those without one are no hits. With check, ids in allowed that the index lacks are an error.
+    Any shared term will do; those without one are no hits. Queries of up to MOST_WANTED terms together are sent to all tasks, which
+    score their documents in place; terms of more queries, of queries with their own allowlists or for an index that was
+    read again are joined, with the same result. With check, ids in allowed that the index lacks are an error.
     """
     if k < 0:
         raise OptionError("k must not be negative")
     if check and allowed is not None:
         check_known(index, allowed)
+    if k and index.tokens is not None and (allowed is None or "qid" not in allowed.columns):
+        wanted = _wanted(index, queries, qid_col, text_col).limit(MOST_WANTED + 1).collect()
+        if len(wanted) <= MOST_WANTED:
+            rows = index.tokens if allowed is None else index.tokens.join(allowed.select(F.col("row_id").cast("long").alias("row_id")), "row_id", "left_semi")
+            return ranked(_scan(index, rows, wanted, k), k)
     return ranked(scored(index, queries, allowed, qid_col, text_col), k)
 
 

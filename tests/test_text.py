@@ -48,6 +48,25 @@ def test_bm25_equals_the_formula(spark, index):
         sparse.search(index, queries(spark, "alpha"), -1)
 
 
+def test_ways_of_search_agree(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"word{j % 9}" for j in range(i % 13))) for i in range(60)], "row_id long, text string").repartition(3)
+    index, q = sparse.build(docs), queries(spark, "word1 word2 word8", "word0", "none", "word3 word3 word4")
+    got = sorted(map(tuple, sparse.search(index, q, 5).collect()))
+    few = docs.filter("row_id % 3 = 0").select("row_id")
+    some = sorted(map(tuple, sparse.search(index, q, 5, few).collect()))
+    assert len(got) == 15 and {r[2] % 3 for r in some} == {0}
+    monkeypatch.setattr(sparse, "MOST_WANTED", 2)
+    assert sorted(map(tuple, sparse.search(index, q, 5).collect())) == got
+    assert sorted(map(tuple, sparse.search(index, q, 5, few).collect())) == some
+
+
+def test_terms_are_pruned_before_they_are_shuffled(spark, index):
+    plan = sparse.scored(index, queries(spark, "alpha"))._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.split("\n")
+    group = next(i for i, x in enumerate(lines) if "Aggregate [term" in x and "row_id" in x)
+    assert any("LeftSemi" in x for x in lines[group:])
+
+
 def test_checks(spark, index):
     assert sparse.checks(index).filter("failures > 0").count() == 0
     sparse.check_same_rows(index, index.docs)
