@@ -19,10 +19,13 @@ from pyspark.sql import functions as F
 from ranklake.config import Mode, SearchOptions, SignPolicy, check_shape, resolve_sign
 from ranklake.errors import InvalidVectorError, MissingSignError, OptionError, ShapeError, UnknownIdError
 from ranklake.functions import encode as E
+from ranklake.shared import written
 
 HITS = "qid long, rank int, row_id long, score double"
 #: Rows of the index and queries in a block.
 INDEX_BLOCK, QUERY_BLOCK = 8192, 1024
+#: Blocks of a query whose candidates are held before they are cut.
+HELD = 64
 DECIMALS = 9
 
 
@@ -216,7 +219,8 @@ def search(index: Index, queries: DataFrame, k: int, options: SearchOptions = Se
     """The k best rows of index for each query.
 
     Auto is in two stages if the index has sign bits, and exact if not. Two stages without sign bits are an error if
-    checked, else exact. Sizing needs the number of rows: n, or a count. k = 0 and an index without rows find nothing.
+    checked, else exact. k = 0 and an index without rows find nothing. n, the number of rows, is counted only where no
+    candidates are asked for, which is an error unless there are no rows.
     """
     _check_k(k)
     spark = queries.sparkSession
@@ -228,13 +232,76 @@ def search(index: Index, queries: DataFrame, k: int, options: SearchOptions = Se
     q = _queries(queries, index.dim, qid_col, vector_col)
     if not two:
         return ranked(_scan(index.rows.select("row_id", "codes"), q, k, scorer(index.bits, index.dim)), k)
-    m = options.two_stage.candidates(k, index.rows.count() if n is None else n)
+    m = options.two_stage.candidates(k, 1 << 62)
     if m == 0:
         if n == 0 or index.rows.isEmpty():
             return empty_hits(spark)
         raise OptionError("two-stage search must keep candidates")
-    first = ranked(_scan(index.rows.select("row_id", "sign"), q, m, sign_scorer(index.dim)), m)
-    return within(index, q, first.select("qid", "row_id"), min(k, m), "qid", "v")
+    return _two_stages(index, q, k, m)
+
+
+def _two_stages(index: Index, queries: DataFrame, k: int, m: int) -> DataFrame:
+    """The k best by codes of the m best by signs, for each query.
+
+    Every pair of blocks gives, in one row a query, its m best rows by signs and their scores by codes; a query's rows then
+    meet once, are cut to the m best of all blocks, and those to k.
+    """
+    dim, by_sign, bits = index.dim, sign_scorer(index.dim), index.bits
+    pairs = _blocks(index.rows.select("row_id", "codes", "sign"), INDEX_BLOCK, "", "d").crossJoin(_blocks(queries, QUERY_BLOCK, "", "q"))
+
+    def f(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for dblock, qblock in zip(b.column("dblock"), b.column("qblock")):
+                d, q = _read(dblock.as_py()), _read(qblock.as_py())
+                ids, signs = d.column("row_id").to_numpy(), by_sign(q, d)
+                at = _nearest(signs, ids, m)
+                centred = 2.0 * E.unpack(E.rows_of(d.column("codes"), dim * bits // 8), bits) - ((1 << bits) - 1)
+                v = E.matrix(q.column("v"), dim, np.float64)
+                scores = np.concatenate([centred[own] @ x for own, x in zip(at, v)]) if len(v) else np.zeros(0)
+                width = at.shape[1]
+                each = pa.array(np.arange(len(at) + 1) * width, pa.int32())
+                parts = [ids[at.ravel()], np.take_along_axis(signs, at, 1).ravel().astype(np.int32), np.round(scores, DECIMALS) + 0.0]
+                yield pa.RecordBatch.from_arrays([q.column("qid"), *(pa.ListArray.from_arrays(each, pa.array(x)) for x in parts)], ["qid", "ids", "signs", "scores"])
+
+    def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        before = None
+
+        def hits() -> pa.RecordBatch:
+            ids, signs, scores = (np.concatenate(x) for x in zip(*held))
+            at = np.lexsort((ids, -signs))[:m]
+            at = at[np.lexsort((ids[at], -scores[at]))[:k]]
+            return pa.RecordBatch.from_arrays([pa.array([before] * len(at), pa.int64()), pa.array(np.arange(1, len(at) + 1), pa.int32()), pa.array(ids[at]), pa.array(scores[at])], ["qid", "rank", "row_id", "score"])
+
+        for b in it:
+            out = []
+            lists = [b.column(c) for c in ("ids", "signs", "scores")]
+            for i, qid in enumerate(b.column("qid").to_pylist()):
+                if held and qid != before:
+                    out.append(hits())
+                    held.clear()
+                before = qid
+                held.append(tuple(x[i].values.to_numpy() for x in lists))
+                if len(held) > HELD:  # what is below m already stays below
+                    ids, signs, scores = (np.concatenate(x) for x in zip(*held))
+                    at = np.lexsort((ids, -signs))[:m]
+                    held[:] = [(ids[at], signs[at], scores[at])]
+            if out:
+                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+        if held:
+            yield hits()
+
+    return pairs.mapInArrow(f, "qid long, ids array<long>, signs array<int>, scores array<double>").repartition("qid").sortWithinPartitions("qid").mapInArrow(cut, HITS)
+
+
+def _nearest(scores: np.ndarray, ids: np.ndarray, m: int) -> np.ndarray:
+    """Positions of the m highest of each row's integral scores, ties by id, in no order."""
+    n = scores.shape[1]
+    if m >= n:
+        return np.tile(np.arange(n), (len(scores), 1))
+    by_id = np.empty(n, np.int64)
+    by_id[np.argsort(ids, kind="stable")] = np.arange(n)
+    return np.argpartition(-scores.astype(np.int64) * n + by_id, m - 1, axis=1)[:, :m]  # one number for both
 
 
 def within(index: Index, queries: DataFrame, allowed: DataFrame, k: int, qid_col: str = "qid", vector_col: str = "embedding") -> DataFrame:
@@ -329,14 +396,13 @@ class Report:
 
 
 def search_with_report(index: Index, queries: DataFrame, k: int, options: SearchOptions = SearchOptions(), **columns) -> tuple[DataFrame, Report]:
-    """search() carried out, with its plan and timings."""
+    """search() carried out, to a table in the shared folder, with its plan and timings."""
     start = time.perf_counter()
     n, nq = len(index), queries.count()
     two = options.mode is not Mode.EXACT and index.has_sign
     m = options.two_stage.candidates(k, n) if two else None
     counted = time.perf_counter()
-    hits = search(index, queries, k, options, n=n, **columns)
-    rows = hits.collect()
+    hits = written(search(index, queries, k, options, n=n, **columns))
     done = time.perf_counter()
     report = Report("sign_two_stage" if two else "exact_rank", index.dim, nq, k, min(k, n, m if two else n), n, m, {"plan": counted - start, "search": done - counted})
-    return queries.sparkSession.createDataFrame(rows, HITS), report
+    return hits, report

@@ -50,6 +50,22 @@ def test_two_stage_with_all_candidates_is_exact(spark):
         dense.search(index, q, 7, SearchOptions.sign_two_stage(TwoStage(fixed=0)))
 
 
+def test_two_stages_over_blocks_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(dense, "INDEX_BLOCK", 9)
+    monkeypatch.setattr(dense, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(dense, "HELD", 2)
+    m = synthetic(90)
+    differ = ((m[:11, None] > 0) != (m[None] > 0)).sum(2)
+    want = []
+    for q in range(11):
+        near = sorted(range(90), key=lambda i: (differ[q, i], i))[:20]
+        want += [(q, *h[1:]) for h in brute(m, m[q : q + 1], 7, only=set(near))]
+    index = dense.build(table(spark, m[::-1], ids=range(89, -1, -1)).repartition(3))
+    assert hits(dense.search(index, table(spark, m[:11], "qid"), 7, SearchOptions.sign_two_stage(TwoStage(fixed=20)))) == want
+    found, report = dense.search_with_report(index, table(spark, m[:11], "qid"), 7, SearchOptions.sign_two_stage(TwoStage(fixed=20)))
+    assert hits(found) == want and report.candidates == 20
+
+
 def test_scale_and_order_of_rows_dont_matter(spark):
     m = synthetic(40)
     want = hits(dense.search(dense.build(table(spark, m)), table(spark, m[:3], "qid"), 6))
