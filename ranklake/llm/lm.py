@@ -31,8 +31,9 @@ NEAR = 1 << 20
 BLOCK_CHARS, PIECE_CHARS = 1_000_000, 1_000_000
 #: Tokens that training shuffles together, in one step of it, and in one step of scoring.
 SHUFFLED, BATCH, STEP = 500_000, 4096, 8192
-#: Rows of counts that a task sums up together.
-COUNTED = 2_000_000
+#: Texts that a task has as strings at a time, and rows of counts that it sums up together.
+TEXTS = 200
+COUNTED = 400_000
 TOKEN = re.compile(r"\w+|[^\w\s]")
 NOT_WORD = re.compile(r"\W")
 
@@ -66,9 +67,8 @@ def tokenise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pi
         row = TaskContext.get().partitionId() << 33
         block = _Block()
         for b in it:
-            doc_ids, keys = b.column("doc_id"), b.column("key").to_numpy(zero_copy_only=False)
-            keys = _told_apart(keys)
-            for i, text in enumerate(b.column("text").to_pylist()):
+            doc_ids, keys = b.column("doc_id"), _told_apart(b.column("key").to_numpy(zero_copy_only=False))
+            for i, text in enumerate(x for at in range(0, b.num_rows, TEXTS) for x in b.column("text").slice(at, TEXTS).to_pylist()):
                 if block.chars and block.chars + len(text or "") > BLOCK_CHARS:
                     yield block.batch()
                     block = _Block()
@@ -140,6 +140,7 @@ def count_tokens(blocks: DataFrame) -> DataFrame:
         def flush() -> list[pa.RecordBatch]:
             sums = pa.concat_tables(held).group_by("token").aggregate([("n", "sum")]).select(["token", "n_sum"]).rename_columns(["token", "n"])
             held.clear()
+            pa.default_memory_pool().release_unused()
             return sums.combine_chunks().to_batches()
 
         for b in it:
@@ -235,7 +236,7 @@ class Network:
     """p(class | SIDE tokens before and after): position-wise embeddings are summed, squashed and mapped to groups, and to
     the classes of a group. At the start it gives every class its frequency, whatever the context."""
 
-    def __init__(self, v: Vocabulary, hidden: int = 32, seed: int = 1):
+    def __init__(self, v: Vocabulary, hidden: int = 16, seed: int = 1):
         r = np.random.default_rng(seed)
         self.vocabulary, self.width = v, v.size + 1  # the last embedding stands for no token
         share = v.totals / v.totals.sum()
@@ -453,7 +454,7 @@ def _classes(v: Vocabulary, pieces: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), kind) for x in pieces]
 
 
-def train(pieces: DataFrame, counts: DataFrame, v: Vocabulary, hidden: int = 32, rounds: int = 2, lane_tokens: int = 4_000_000) -> Network:
+def train(pieces: DataFrame, counts: DataFrame, v: Vocabulary, hidden: int = 16, rounds: int = 2, lane_tokens: int = 4_000_000) -> Network:
     """A network for the texts of pieces, of deal(); counts are those of count_tokens().
 
     Pieces of text are dealt to lanes and rounds by their keys, about lane_tokens to each lane; every token is
