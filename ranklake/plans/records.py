@@ -72,7 +72,9 @@ def upserted(spark, sf_dir):
     """Turns after the users' turns of the odd conversations are written anew, in place of all that those had."""
     t = turns(spark, sf_dir).select("id", "content_id", "role", "text")
     batch = t.filter("role = 'user' and cast(substr(content_id, 2) as bigint) % 2 = 1").withColumn("text", F.concat("text", F.lit(" (again)")))
-    return records.content_upsert(t, batch, F.col("content_id").isin([r.content_id for r in batch.select("content_id").distinct().collect()])).select("id", "role", F.md5("text").alias("digest"))
+    touched = batch.select("content_id").distinct().withColumn("touched", F.lit(True))
+    rows = t.join(touched, "content_id", "left").select(*t.columns, "touched")
+    return records.content_upsert(rows, batch.withColumn("touched", F.lit(True)), F.coalesce("touched", F.lit(False))).select("id", "role", F.md5("text").alias("digest"))
 
 
 def _incoming(spark, sf_dir) -> DataFrame:

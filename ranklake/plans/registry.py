@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ranklake.plans import dense, records, text
+from ranklake.plans import dense, records, stores, text
 
-QUERIES = dense.QUERIES | text.QUERIES | records.QUERIES
-SQL = dense.SQL | text.SQL | records.SQL
+QUERIES = dense.QUERIES | text.QUERIES | records.QUERIES | stores.QUERIES
+SQL = dense.SQL | text.SQL | records.SQL | stores.SQL

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ranklake.errors import DuplicateIdError, OptionError, StoreError
 from ranklake.operators import filters
+from ranklake.shared import written
 from ranklake.stores import generations, records
 from ranklake.stores.records import Records
 
@@ -262,9 +263,10 @@ class ContentStore(_Kept):
                 if value is not None:
                     m[key] = value
             metadatas.append(m)
-        gone = self.store.rows.filter(F.coalesce(stale, F.lit(False))).select("id") if stale is not None else None
-        if gone is not None:
-            gone = self.spark.createDataFrame([tuple(r) for r in gone.collect() if r.id not in set(ids)], "id string")
+        gone = None
+        if stale is not None:  # written before the records change
+            given = self.spark.createDataFrame([(i,) for i in ids], "id string")
+            gone = written(self.store.rows.filter(F.coalesce(stale, F.lit(False))).select("id").join(given, "id", "left_anti"))
         self.store.add_lists(ids, vectors, texts, metadatas, upsert)
         if gone is not None and not gone.isEmpty():
             self.store.delete(gone)
