@@ -43,15 +43,22 @@ def scratch(spark: SparkSession) -> str:
     return path
 
 
-def written(df: DataFrame, row_group_mb: int | None = None) -> DataFrame:
+def written(df: DataFrame, row_group_mb: int | None = None, batch_rows: int | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder, read back; unlike a checkpoint it prunes columns. Lost executors lose nothing.
 
-    row_group_mb keeps row groups small where rows are large, as a reader decodes one at a time.
+    row_group_mb keeps row groups small where rows are large, as a reader decodes one at a time; batch_rows does so with the
+    batches that go to Python.
     """
-    path = f"{scratch(df.sparkSession)}/{uuid.uuid4().hex}"
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    path = f"{scratch(spark)}/{uuid.uuid4().hex}"
     writer = df.write if row_group_mb is None else df.write.option("parquet.block.size", row_group_mb << 20)
-    writer.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    usual = spark.conf.get(name)
+    try:
+        spark.conf.set(name, str(batch_rows or usual))
+        writer.parquet(path)
+    finally:
+        spark.conf.set(name, usual)
+    out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
 
