@@ -12,28 +12,39 @@ from pyspark.sql import types as T
 
 from ranklake.llm.common import need, unused, written
 
-#: Positions of a hash in a filter.
+#: Positions of a hash in a filter, at most.
 PROBES = 4
 
 
-def positions(h: np.ndarray, bits: int) -> np.ndarray:
-    """The PROBES bits of each hash, as in probe()."""
+def probes(bits_each: float) -> int:
+    """How many positions a hash has where there are so many bits for each."""
+    return max(1, min(PROBES, round(0.69 * bits_each)))
+
+
+def affordable(n: int, bits_each: float, most_mb: int) -> float:
+    """Bits for each of n hashes, of filters that take most_mb together at most: the more hashes, the fewer bits."""
+    return min(bits_each, (most_mb << 23) / max(1, n))
+
+
+def positions(h: np.ndarray, bits: int, k: int) -> np.ndarray:
+    """The k bits of each hash, as in probe()."""
     u = h.view(np.uint64)
     a, b = u >> np.uint64(32), (u & np.uint64(0xFFFFFFFF)) | np.uint64(1)
-    return np.stack([(a + np.uint64(i) * b) % np.uint64(bits) for i in range(PROBES)], 1).astype(np.int64)
+    return np.stack([(a + np.uint64(i) * b) % np.uint64(bits) for i in range(k)], 1).astype(np.int64)
 
 
 class Bloom:
-    def __init__(self, n: int, bits_each: int):
-        self.bits = 64 * max(1, -(-n * bits_each // 64))
+    def __init__(self, n: int, bits_each: float):
+        self.bits = 64 * max(1, int(n * bits_each / 64))
+        self.k = probes(bits_each)
         self.words = np.zeros(self.bits // 64, np.uint64)
 
     def add(self, h: np.ndarray) -> None:
-        p = positions(h, self.bits).ravel()
+        p = positions(h, self.bits, self.k).ravel()
         np.bitwise_or.at(self.words, p >> 6, np.uint64(1) << (p & 63).astype(np.uint64))
 
     def has(self, h: np.ndarray) -> np.ndarray:
-        p = positions(h, self.bits)
+        p = positions(h, self.bits, self.k)
         return ((self.words[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1)).all(1)
 
 
@@ -47,8 +58,8 @@ def possibly_repeated(hashes: np.ndarray, sure: np.ndarray, bits_each: int, bloc
     return np.unique(np.concatenate(again))
 
 
-def filters(hashes: DataFrame, shards: int, bits_each: int) -> DataFrame:
-    """(shard, words): a Bloom filter of the possibly repeated hashes of each shard that has any. hashes: the column h."""
+def candidates(hashes: DataFrame, shards: int, bits_each: int) -> DataFrame:
+    """(shard, found): the possibly repeated hashes of each shard that has any. hashes: the column h."""
 
     def local(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b.column("h").to_numpy(zero_copy_only=False) for b in it if b.num_rows]
@@ -65,17 +76,29 @@ def filters(hashes: DataFrame, shards: int, bits_each: int) -> DataFrame:
             own = shard == s
             again = possibly_repeated(h[own], sure[own], bits_each)
             if len(again):
-                bloom = Bloom(len(again), bits_each)
-                bloom.add(again)
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([bloom.words.view(np.int64)], pa.list_(pa.int64()))], ["shard", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([again], pa.list_(pa.int64()))], ["shard", "found"])
+
+    return hashes.mapInArrow(local, "shard int, h long, sure boolean").repartition(shards, "shard").mapInArrow(merge, "shard int, found array<long>")
+
+
+def filters(found: DataFrame, bits_each: float) -> DataFrame:
+    """(shard, words): a Bloom filter of the hashes found of each shard, for probe()."""
+
+    def f(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for shard, own in zip(b.column("shard"), b.column("found")):
+                h = own.values.to_numpy()
+                bloom = Bloom(len(h), bits_each)
+                bloom.add(h)
+                yield pa.RecordBatch.from_arrays([pa.array([shard.as_py()], pa.int32()), pa.array([bloom.words.view(np.int64)], pa.list_(pa.int64()))], ["shard", "words"])
 
-    return hashes.mapInArrow(local, "shard int, h long, sure boolean").repartition(shards, "shard").mapInArrow(merge, "shard int, words array<long>")
+    return found.mapInArrow(f, "shard int, words array<long>")
 
 
-def probe(h: str, words: str) -> str:
-    """SQL: whether the filter words has hash h; the same positions as positions()."""
+def probe(h: str, words: str, bits_each: float) -> str:
+    """SQL: whether the filter words, made with bits_each, has hash h; the same positions as positions()."""
     bits = f"(64L * size({words}))"
-    at = [f"((shiftrightunsigned({h}, 32) + {i}L * ((({h}) & 4294967295L) | 1L)) % {bits})" for i in range(PROBES)]
+    at = [f"((shiftrightunsigned({h}, 32) + {i}L * ((({h}) & 4294967295L) | 1L)) % {bits})" for i in range(probes(bits_each))]
     return " and ".join(f"getbit(element_at({words}, cast({p} div 64 as int) + 1), cast({p} % 64 as int)) = 1" for p in at)
 
 
@@ -84,28 +107,27 @@ def _ordered(df: DataFrame, first: str) -> list:
     return [F.col(f"`{first}`").asc_nulls_last(), *(F.col(f"`{c}`").asc_nulls_last() for c in plain)]
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_each: int = 12, max_filter_mb: int = 64) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_each: int = 12, max_filter_mb: int = 256) -> DataFrame:
     """One row of docs, with all its columns, for each different text: that of the least id, nulls last.
 
     Texts are compared whole, by their bytes; hashes only say which rows to compare. Null texts count as equal to each
     other, as empty ones do. Rows of the same text and id are told apart by their other plain columns, in order.
 
     The first pass reads hashes alone and makes filters of those that may be repeated. The second lets pass every row
-    that they don't have and shuffles the others. If the filters took more than max_filter_mb, none is broadcast and
-    every row is shuffled: the result is the same.
+    that they don't have and shuffles the others. Filters take max_filter_mb together at most, and are broadcast: hashes
+    have bits_each bits, or as many as there is room for, and the fewer, the more other rows are shuffled along (at one
+    bit for each about two thirds of them), with the same result.
     """
     need(docs, id_col, text_col)
     h, words, shard, rank = (unused(docs, x) for x in ("h__", "words__", "shard__", "rank__"))
     shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hashed = docs.withColumn(h, F.xxhash64(F.col(f"`{text_col}`")))
-    made = written(filters(hashed.select(F.col(h).alias("h")), shards, bits_each))
-    size = made.agg(F.sum(F.size("words")).alias("n")).first().n or 0
-    if size * 8 > max_filter_mb << 20:
-        straight, again = None, hashed
-    else:
-        flagged = hashed.withColumn(shard, F.expr(f"cast(shiftrightunsigned({h}, 20) % {shards} as int)")).join(F.broadcast(made.select(F.col("shard").alias(shard), F.col("words").alias(words))), shard, "left")
-        hit = F.coalesce(F.expr(probe(h, words)), F.lit(False))
-        straight, again = flagged.filter(~hit).select(*(f"`{c}`" for c in docs.columns)), flagged.filter(hit).drop(words, shard)
+    found = written(candidates(hashed.select(F.col(h).alias("h")), shards, bits_each))
+    bits = affordable(found.agg(F.sum(F.size("found")).alias("n")).first().n or 0, bits_each, max_filter_mb)
+    made = filters(found, bits).select(F.col("shard").alias(shard), F.col("words").alias(words))
+    flagged = hashed.withColumn(shard, F.expr(f"cast(shiftrightunsigned({h}, 20) % {shards} as int)")).join(F.broadcast(made), shard, "left")
+    hit = F.coalesce(F.expr(probe(h, words, bits)), F.lit(False))
+    straight, again = flagged.filter(~hit).select(*(f"`{c}`" for c in docs.columns)), flagged.filter(hit).drop(words, shard)
     order = _ordered(docs, id_col)
     kept = again.withColumn(rank, F.row_number().over(Window.partitionBy(h, f"`{text_col}`").orderBy(*order))).filter(F.col(rank) == 1).drop(rank, h)
-    return kept if straight is None else straight.unionByName(kept)
+    return straight.unionByName(kept)

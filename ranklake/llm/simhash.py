@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ranklake.llm.common import forget, need, unused, written
-from ranklake.llm.exact_dedup import Bloom, _ordered, probe
+from ranklake.llm.exact_dedup import Bloom, _ordered, affordable, probe
 
 #: A fingerprint has 128 bits in 32 blocks of four, and two that differ in BITS at most are near: 13 of their blocks at least are
 #: alike, so that in one of four groups of eight blocks at least four are.
@@ -239,7 +239,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows
     return labelled.join(sizes, "group").select(F.col("id").alias("doc_id"), "keep_doc_id", F.col("id").eqNullSafe(F.col("keep_doc_id")).alias("kept"))
 
 
-def members(hashes: DataFrame, shards: int, bits_each: int) -> DataFrame:
+def members(hashes: DataFrame, shards: int, bits_each: float) -> DataFrame:
     """(shard, words): a Bloom filter, for probe(), of the hashes (column h) of each shard that has any."""
 
     def f(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,13 +261,13 @@ def _shard(h: str, shards: int) -> str:
     return f"cast(shiftrightunsigned({h}, 20) % {shards} as int)"
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_a_part: int = 500_000, bits_each: int = 12, max_filter_mb: int = 64) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_a_part: int = 500_000, bits_each: int = 12, max_filter_mb: int = 256) -> DataFrame:
     """One row of docs, with all its columns, of each group of near duplicates, and all rows that have none.
 
     The row that stays has the least id, nulls last (ties: the other plain columns, in order). See groups() for the rest.
 
-    Texts are shuffled only where a Bloom filter of the groups' hashes has theirs; other rows pass straight through. If the
-    filters took more than max_filter_mb, none is broadcast and every row is shuffled: the result is the same.
+    Texts are shuffled only where a Bloom filter of the groups' hashes has theirs; other rows pass straight through. The
+    filters take max_filter_mb together at most: the more hashes, the fewer bits each, and the more other rows are shuffled along.
     """
     need(docs, id_col, text_col)
     group, rank, h1, h2, shard, words = (unused(docs, x) for x in ("group__", "rank__", "h1__", "h2__", "shard__", "words__"))
@@ -277,14 +277,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_
     more = written(more)
     hashed = docs.withColumns({h1: F.when(F.col(f"`{text_col}`").isNotNull(), _hashes(text_col)[0]), h2: _hashes(text_col)[1]})
     shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    made = written(members(more.select(F.col(h1).alias("h")), shards, bits_each))
+    bits = affordable(more.count(), bits_each, max_filter_mb)
+    made = members(more.select(F.col(h1).alias("h")), shards, bits).select(F.col("shard").alias(shard), F.col("words").alias(words))
     columns = [f"`{c}`" for c in docs.columns]
-    out = []
-    if (made.agg(F.sum(F.size("words")).alias("n")).first().n or 0) * 8 <= max_filter_mb << 20:
-        probed = hashed.withColumn(shard, F.expr(_shard(h1, shards))).join(F.broadcast(made.select(F.col("shard").alias(shard), F.col("words").alias(words))), shard, "left")
-        hit = F.coalesce(F.expr(probe(h1, words)), F.lit(False))
-        out.append(probed.filter(~hit).select(*columns))
-        hashed = probed.filter(hit).drop(words, shard)
+    probed = hashed.withColumn(shard, F.expr(_shard(h1, shards))).join(F.broadcast(made), shard, "left")
+    hit = F.coalesce(F.expr(probe(h1, words, bits)), F.lit(False))
+    out = [probed.filter(~hit).select(*columns)]
+    hashed = probed.filter(hit).drop(words, shard)
     flagged = hashed.join(more, [h1, h2], "left")
     out.append(flagged.filter(F.col(group).isNull()).select(*columns))
     first = F.row_number().over(Window.partitionBy(group).orderBy(*_ordered(docs, id_col)))

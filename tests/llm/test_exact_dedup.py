@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ranklake.llm import exact_dedup as E
 
@@ -37,5 +38,28 @@ def test_only_possible_repeats_are_shuffled_and_empty_table(spark):
     docs = spark.createDataFrame([(i, str(i % 990)) for i in range(1000)], "doc_id long, text string")
     assert E.dedup(docs).count() == 990
     assert E.dedup(docs.limit(0)).count() == 0
-    made = E.filters(docs.select(__import__("pyspark").sql.functions.xxhash64("text").alias("h")), 4, 12)
-    assert sum(len(r.words) for r in made.collect()) <= 8
+    found = E.candidates(docs.select(F.xxhash64("text").alias("h")), 4, 12)
+    assert 10 <= sum(len(r.found) for r in found.collect()) < 30
+    assert sum(len(r.words) for r in E.filters(found, 12).collect()) <= 8
+
+
+def test_fewer_bits_let_more_rows_through_but_miss_none():
+    h = np.random.default_rng(4).integers(-(2**63), 2**63 - 1, 20_000)
+    own, other, wrong = h[:10_000], h[10_000:], []
+    for most in (1000, 4, 2, 1, 0):
+        bits = E.affordable(10_000_000, 12, most)
+        bloom = E.Bloom(len(own), bits)
+        bloom.add(own)
+        assert bloom.has(own).all()
+        wrong.append(bloom.has(other).mean())
+    assert wrong == sorted(wrong) and wrong[0] < 0.02 and 0.2 < wrong[1] < wrong[-1] == 1
+
+
+def test_probe_equals_positions(spark):
+    h = np.random.default_rng(6).integers(-(2**63), 2**63 - 1, 400)
+    for bits in (12, 3, 0.7):
+        bloom = E.Bloom(200, bits)
+        bloom.add(h[:200])
+        words = F.array(*(F.lit(int(x)) for x in bloom.words.view(np.int64)))
+        df = spark.createDataFrame([(int(x),) for x in h], "h long").withColumn("words", words)
+        assert [r.hit for r in df.select(F.expr(E.probe("h", "words", bits)).alias("hit")).collect()] == bloom.has(h).tolist()
