@@ -2,55 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ranklake.shared import shared_dir
+from ranklake.shared import forget, written
+
+__all__ = ["STEP_CHARS", "arrow_schema", "batches", "forget", "map_batches", "need", "unused", "written"]
 
 #: Characters that one numpy step handles at most (a longer text is a step of its own).
 STEP_CHARS = 400_000
 
 
-def _file_system(spark: SparkSession, path: str):
-    """Hadoop's path and its file system."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def scratch(spark: SparkSession) -> str:
-    """This application's folder for tables within the shared one; it is removed when the driver ends."""
-    path = f"{shared_dir(spark)}/ranklake-{spark.sparkContext.applicationId}"
-    p, fs = _file_system(spark, path)
-    if not fs.exists(p):
-        fs.mkdirs(p)
-        fs.deleteOnExit(p)
-    return path
-
-
-def written(df: DataFrame, row_group_mb: int | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back; unlike a checkpoint it prunes columns. Lost executors lose nothing.
-
-    row_group_mb keeps row groups small where rows are large, as a reader decodes one at a time.
-    """
-    path = f"{scratch(df.sparkSession)}/{uuid.uuid4().hex}"
-    writer = df.write if row_group_mb is None else df.write.option("parquet.block.size", row_group_mb << 20)
-    writer.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._written_at = path
-    return out
-
-
-def forget(*tables: DataFrame) -> None:
-    """Remove the tables of written() that nothing will read again."""
-    for df in tables:
-        p, fs = _file_system(df.sparkSession, df._written_at)
-        fs.delete(p, True)
-
-
 def need(df: DataFrame, *names: str) -> None:
     """Raise where a column that an operator reads is missing."""
     if missing := [n for n in names if n not in df.columns]:

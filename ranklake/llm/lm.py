@@ -31,8 +31,8 @@ NEAR = 1 << 20
 BLOCK_CHARS, PIECE_CHARS = 1_000_000, 1_000_000
 #: Tokens that training shuffles together, in one step of it, and in one step of scoring.
 SHUFFLED, BATCH, STEP = 500_000, 4096, 8192
-#: Texts that a task has as strings at a time, and rows of counts that it sums up together.
-TEXTS = 200
+#: Texts, blocks, and rows of counts that a task has at a time; MB of blocks or pieces in a row group.
+TEXTS, BLOCKS, ROW_GROUP_MB = 500, 4, 16
 COUNTED = 400_000
 TOKEN = re.compile(r"\w+|[^\w\s]")
 NOT_WORD = re.compile(r"\W")
@@ -435,7 +435,7 @@ def deal(blocks: DataFrame, counts: DataFrame, v: Vocabulary, near: int = NEAR)
                 yield pa.RecordBatch.from_arrays(columns, ["row", "doc", "key", "nth", "n", "share", "rest", "piece"])
 
     id_kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
-    return written(blocks.drop("counts").mapInArrow(f, f"row long, doc struct<doc_id:{id_kind}>, key long, nth int, n int, share double, rest array<string>, piece binary"), 16)
+    return written(blocks.drop("counts").mapInArrow(f, f"row long, doc struct<doc_id:{id_kind}>, key long, nth int, n int, share double, rest array<string>, piece binary"), ROW_GROUP_MB, BLOCKS)
 
 
 def _least(counts: DataFrame, near: int) -> int:

@@ -66,8 +66,8 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pseudo-likelihood of every document."""
-    blocks = written(lm.tokenise(_t(spark, sf_dir, "documents")), 16)
-    counts = written(lm.count_tokens(blocks))
+    blocks = written(lm.tokenise(_t(spark, sf_dir, "documents")), lm.ROW_GROUP_MB, lm.TEXTS)
+    counts = written(lm.count_tokens(blocks), batch_rows=lm.BLOCKS)
     v = lm.vocabulary(counts)
     pieces = lm.deal(blocks, counts, v)
     forget(blocks)
