@@ -90,7 +90,10 @@ def sparse_checks(spark, sf_dir):
 
 
 def sparse_bundle(spark, sf_dir):
-    """Top 10 by a text index that was written beside the vectors' index and read again."""
+    """Top 10 by a text index that was written beside the vectors' index and read again.
+
+    Both indexes of a bundle have the same rows: documents without a vector of their id, and vectors without a document, are left out.
+    """
     d = docs_of(spark, sf_dir)
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), "embedding")
     both = d.join(v, "row_id")
@@ -120,7 +123,10 @@ def list_offsets(spark, sf_dir):
 
 
 def _both(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Dense and sparse hits for every benchmark item that has a vector of its id."""
+    """Dense and sparse hits for every benchmark item that has a vector of its id.
+
+    The tables have no vectors of texts, so that ids stand for what would join them; items without such a vector are left out.
+    """
     v = D.vectors(spark, sf_dir)
     q = queries_of(spark, sf_dir).join(v.select(F.col("row_id").alias("qid"), "embedding"), "qid")
     return dense.search(dense.build(v), q, 50), sparse.search(sparse.build(docs_of(spark, sf_dir)), q, 50)
