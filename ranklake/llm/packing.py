@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ranklake.llm.common import need, written
-from ranklake.llm.simhash import components, labels
+from ranklake.llm.simhash import components, labelled
 
 #: Bins in a block of the residual order at most.
 BLOCK = 96
@@ -130,9 +130,8 @@ def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     content_key() are in one cluster, and so are those that a chain of such pairs connects. Null texts are one cluster."""
     need(docs, id_col, text_col, source_col)
     text = F.col(text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), words(text).alias("size"), F.col(source_col).alias("source"), content_key(text).alias("key"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
-    near = rows.join(labels(docs, id_col, text_col), ["h1", "h2"], "left")
-    near = written(near.select("doc_id", "size", "source", "key", F.coalesce("group", F.encode(F.concat(F.lit("content "), F.col("key").cast("string")), "utf-8")).alias("near")))
+    rows = labelled(docs, {"doc_id": F.col(id_col), "size": words(text), "source": F.col(source_col), "key": content_key(text)}, text_col)
+    near = written(rows.select("doc_id", "size", "source", "key", F.coalesce("group", F.encode(F.concat(F.lit("content "), F.col("key").cast("string")), "utf-8")).alias("near")))
     least = near.groupBy("key").agg(F.min("near").alias("least"), F.max("near").alias("most")).filter("least <> most").select("key", "least")
     roots = components(near.join(least, "key").select(F.col("near").alias("a"), F.col("least").alias("b")))
     return written(near.join(roots.withColumnRenamed("node", "near"), "near", "left").select("doc_id", "size", "source", F.coalesce("root", "near").alias("cluster")))

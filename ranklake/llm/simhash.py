@@ -9,8 +9,9 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ranklake.llm.common import forget, need, unused, written
 from ranklake.llm.exact_dedup import Bloom, _ordered, affordable, probe
@@ -205,25 +206,30 @@ def _hashes(text_col: str) -> list:
     return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]
 
 
-def _labelled(docs: DataFrame, id_col: str, text_col: str, rows_a_part: int) -> DataFrame:
-    """(id, h1, h2, group): a row for each row of docs that has a text; group is the same for those that are near."""
-    rows = docs.filter(F.col(f"`{text_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), *_hashes(text_col), F.col(f"`{text_col}`").alias("text"))
+def labelled(docs: DataFrame, columns: dict[str, Column], text_col: str = "text", rows_a_part: int = 500_000) -> DataFrame:
+    """The columns, by their names, and group of each row of docs: the same for those that are near, null for a null text."""
+    names = list(columns)
+    own = docs.select(*(c.alias(name) for name, c in columns.items()))
+    rows = docs.select(*(c.alias(name) for name, c in columns.items()), F.col(f"`{text_col}`").alias("text"))
 
     def f(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fingerprints = Fingerprints()
         for b in it:
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "h1", "h2")), pa.array(list(map(fingerprints.of, b.column("text").to_pylist())), pa.binary())], ["id", "h1", "h2", "fp"])
+            made = [None if t is None else fingerprints.of(t) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(made, pa.binary())], [*names, "fp"])
 
-    made = written(rows.mapInArrow(f, f"id {dict(rows.dtypes)['id']}, h1 long, h2 long, fp binary"))
-    fps = made.select("fp").distinct()
+    made = written(rows.mapInArrow(f, T.StructType([*own.schema.fields, T.StructField("fp", T.BinaryType())])))
+    fps = made.select("fp").filter("fp is not null").distinct()
     parts = max(1, min(1 << 16, -(-made.count() // rows_a_part)))  # a part is a value of the key at least
     roots = components(block_edges(fps, parts)).withColumnRenamed("node", "fp")
-    return made.join(roots, "fp", "left").select("id", "h1", "h2", F.coalesce("root", "fp").alias("group"))
+    return made.join(roots, "fp", "left").select(*names, F.coalesce("root", "fp").alias("group"))
 
 
-def labels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_a_part: int = 500_000) -> DataFrame:
-    """(h1, h2, group): the group of each different text, by its hashes; the same for those that are near."""
-    return _labelled(docs, id_col, text_col, rows_a_part).select("h1", "h2", "group").dropDuplicates(["h1", "h2"])
+def _labelled(docs: DataFrame, id_col: str, text_col: str, rows_a_part: int) -> DataFrame:
+    """(id, h1, h2, group): a row for each row of docs that has a text."""
+    h1, h2 = _hashes(text_col)
+    there = docs.filter(F.col(f"`{text_col}`").isNotNull())
+    return labelled(there, {"id": F.col(f"`{id_col}`"), "h1": h1, "h2": h2}, text_col, rows_a_part)
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_a_part: int = 500_000) -> DataFrame:
