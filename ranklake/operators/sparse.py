@@ -111,36 +111,50 @@ def _wanted(index: TextIndex, queries: DataFrame, qid_col: str, text_col: str) -
     return queries.select(F.col(qid_col).cast("long").alias("qid"), F.explode(tokenize.query_terms(text_col, index.tokenizer)).alias("term"))
 
 
+def _pairs(b: pa.RecordBatch, names: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of names, places of documents in a batch (terms, ...), and how often the one is in the other; by name."""
+    lists = b.column("terms")
+    found = pc.index_in(lists.flatten(), value_set=names)
+    doc = np.repeat(np.arange(b.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    there = found.is_valid().to_numpy(zero_copy_only=False)
+    term = found.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
+    pairs, tf = np.unique(term * b.num_rows + doc[there], return_counts=True)
+    if len(tf) and tf.max() > MOST_TF:
+        raise ValueError("a term is too frequent in a document")
+    return pairs // max(1, b.num_rows), pairs % max(1, b.num_rows), tf
+
+
 def _scan(index: TextIndex, rows: DataFrame, wanted: list, k: int) -> DataFrame:
     """Hits without final ranks: of every batch of rows (row_id, doc_len, terms), the best k for each query.
 
-    wanted are rows (qid, term): as many as a broadcast may hold. One pass over the terms, which are neither grouped nor shuffled.
+    wanted are rows (qid, term): as many as a broadcast may hold. One pass over the terms counts documents, one scores
+    them; terms are neither grouped nor shuffled.
     """
-    spark = rows.sparkSession
     names = sorted({r.term for r in wanted})
-    known = spark.createDataFrame([(t,) for t in names], "term string")
-    every = index.tokens.select(F.explode(F.array_distinct("terms")).alias("term")).join(F.broadcast(known), "term", "left_semi")
-    df = {r.term: r.df for r in every.groupBy("term").agg(F.count("*").alias("df")).collect()}
-    n, mean = index.corpus.first()
     place = {t: i for i, t in enumerate(names)}
-    idf = np.array([np.log((n - df.get(t, 0) + 0.5) / (df.get(t, 0) + 0.5) + 1.0) for t in names])
     own: dict[int, set[int]] = {}
     for r in wanted:
         own.setdefault(r.qid, set()).add(place[r.term])
-    shared = spark.sparkContext.broadcast((pa.array(names, pa.string()), idf, {q: np.array(sorted(t)) for q, t in own.items()}))
+    sc = rows.sparkSession.sparkContext
+    known = sc.broadcast(pa.array(names, pa.string()))
+
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(len(known.value), np.int64)
+        for b in it:
+            sums += np.bincount(_pairs(b, known.value)[0], minlength=len(sums))
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["term", "df"])
+
+    df = np.zeros(len(names))
+    for r in index.tokens.select("terms").mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():
+        df[r.term] = r.df
+    n, mean = index.corpus.first()
+    shared = sc.broadcast((np.log((n - df + 0.5) / (df + 0.5) + 1.0), {q: np.array(sorted(t)) for q, t in own.items()}))
 
     def f(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, idf, own = shared.value
+        idf, own = shared.value
         for b in it:
-            lists = b.column("terms")
-            found = pc.index_in(lists.flatten(), value_set=names)
-            doc = np.repeat(np.arange(b.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-            there = found.is_valid().to_numpy(zero_copy_only=False)
-            term = found.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
-            pairs, tf = np.unique(term * b.num_rows + doc[there], return_counts=True)
-            if len(tf) and tf.max() > MOST_TF:
-                raise ValueError("a term is too frequent in a document")
-            term, doc = pairs // max(1, b.num_rows), pairs % max(1, b.num_rows)
+            term, doc, tf = _pairs(b, known.value)
             length = b.column("doc_len").to_numpy(zero_copy_only=False)[doc]
             part = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(mean, 1.0)))
             bounds = np.searchsorted(term, np.arange(len(idf) + 1))
@@ -148,7 +162,7 @@ def _scan(index: TextIndex, rows: DataFrame, wanted: list, k: int) -> DataFrame:
             qids, hits, scores = [], [], []
             for q, terms in own.items():
                 at = np.concatenate([np.arange(bounds[t], bounds[t + 1]) for t in terms])
-                which = np.unique(doc[at])
+                which = np.flatnonzero(np.bincount(doc[at], minlength=b.num_rows))
                 if not len(which):
                     continue
                 score = np.round(np.bincount(doc[at], part[at], b.num_rows)[which], DECIMALS) + 0.0
