@@ -208,22 +208,21 @@ def learn(texts: list[str], good: list[int]) -> Crf | None:
 def line_labels(texts: list[str], good: np.ndarray, x: np.ndarray, counts: np.ndarray, often: int = 5, least: int = 24) -> np.ndarray:
     """Labels of all lines, from those of their texts.
 
-    A line of least characters or more that often different texts have is boilerplate; shorter ones come up by chance. Other lines of good texts are content. Those of bad texts are
-    boilerplate where a model of single lines, fitted to the labels of their texts, says so, and content where it
-    surely doesn't: what is bad about such a text is in its other lines, so that its likeliest boilerplate stays so in any case.
+    Lines of good texts are content: what many of them share may well be a passage worth keeping. Those of bad texts are
+    boilerplate if often different bad texts have them, and they have least characters or more, as shorter ones come up by
+    chance; of the others, those are content that a model of single lines, fitted to the labels of their texts, is sure of.
+    What is bad about such a text is in its other lines, so that its likeliest boilerplate stays so in any case.
     """
     lines = [x for t in texts for x in lines_of(t)]
-    spread = Counter(x for t in dict.fromkeys(texts) for x in set(lines_of(t)))
-    shared = np.fromiter((len(x) >= least and spread[x] >= often for x in lines), bool, len(lines))
+    spread = Counter(x for t in dict.fromkeys(t for t, g in zip(texts, good) if not g) for x in set(lines_of(t)))
     text = np.repeat(np.arange(len(counts)), counts)
-    y = np.where(shared, BOILERPLATE, good[text])
+    y = good[text]
     if len(np.unique(y)) < 2:
         return y
-    own = x.copy()
-    single = Crf().fit(own, np.ones(len(own), np.int64), y)  # texts of a line each: no steps
-    margin = (own @ single.weights) @ np.array([-1.0, 1.0])
-    bad = (good[text] == 0) & ~shared
-    y[bad & (margin > SURE)] = CONTENT
+    single = Crf().fit(x, np.ones(len(x), np.int64), y)  # texts of a line each: no steps
+    margin = (x @ single.weights) @ np.array([-1.0, 1.0])
+    shared = np.fromiter((len(x) >= least and spread[x] >= often for x in lines), bool, len(lines))
+    y[(good[text] == 0) & ~shared & (margin > SURE)] = CONTENT
     for i in np.flatnonzero((good == 0) & (counts > 0)):
         at = np.flatnonzero(text == i)
         if y[at].all():

@@ -92,11 +92,19 @@ def test_mixed_documents_have_shares_between(spark):
 def test_line_labels():
     shared = "This very line is on every page of the site."
     good = [f"{shared}\nSome {w} sentence that is fine, as it has words.\nAnd {w} more of them, in another line." for w in ("old", "new", "odd", "red", "dry", "wet")]
-    bad = [f"{shared}\n{w} | {w} | {w} | {w}\n{w}!!! $$$ {w} ### {w} %%% &&&\nSome {w} sentence that is fine, as it has words." for w in ("buy", "win", "top", "now")]
+    bad = [f"{shared}\n{w} | {w} | {w} | {w}\n{w}!!! $$$ {w} ### {w} %%% &&&\nSome {w} sentence that is fine, as it has words." for w in ("buy", "win", "top", "now", "hot", "big")]
     texts, quality = good + bad, np.array([1] * len(good) + [0] * len(bad))
     x, counts, _ = Q.describe(texts)
     y = Q.line_labels(texts, quality, x, counts)
     lines = [x for t in texts for x in Q.lines_of(t)]
-    assert not any(k for k, x in zip(y, lines) if x == shared or "|" in x or "$" in x)
-    assert all(k for k, x in zip(y[: 3 * len(good)], lines) if x != shared)
+    assert y[: 3 * len(good)].all()
+    assert not any(k for k, x in zip(y[3 * len(good) :], lines[3 * len(good) :]) if x == shared or "|" in x or "$" in x)
     assert Q.learn(good[:1], [1]) is None and Q.learn([], []) is None
+
+
+def test_passages_that_good_texts_share_are_kept():
+    passage = "A passage of some length that many documents quote, word by word, and rightly so."
+    good = [f"{passage}\nSome {i} sentence that is fine, as it has words." for i in range(40)] + [passage + f"\nShort {i}." for i in range(20)]
+    bad = [f"{i} | {i} | x{i} | y{i}\n!!! $$$ {i} ### %%% &&&" for i in range(30)]
+    crf = Q.learn(good + bad, [1] * len(good) + [0] * len(bad))
+    assert min(Q.content_shares(crf, good)) == 1.0 and max(Q.content_shares(crf, bad)) == 0.0
