@@ -22,7 +22,9 @@ BITS = 19
 KEYS = [c for g in range(4) for c in combinations(range(8 * g, 8 * g + 8), 4)]
 #: Rows of one key from which they are parted further: of the 28 other blocks of two that are near 9 at least are alike, so
 #: that in one of four groups of seven at least three are.
-MANY = 256
+MANY = 8192
+#: Rows that are compared at once, for the cache.
+ROWS = 65_536
 #: Words that a task remembers before it starts over; keys that a task compares at least.
 MEMORY, TOGETHER = 100_000, 4
 
@@ -79,28 +81,55 @@ class Forest:
 
     def __init__(self, fingerprints: np.ndarray):
         self.words = np.ascontiguousarray(fingerprints).view(np.uint64).reshape(-1, 2)
-        self.of = np.arange(len(fingerprints))
+        self.parent = np.arange(len(fingerprints))
         self.edges: list[np.ndarray] = []
 
-    def meet(self, rows: np.ndarray, key: np.ndarray) -> None:
-        """Connect those rows that are near and have one key; rows of one component needn't be compared."""
-        order = np.lexsort((self.of[rows], key))
+    def roots(self, rows: np.ndarray) -> np.ndarray:
+        """The component of each row."""
+        root = self.parent[rows]
+        while len(further := np.flatnonzero(self.parent[root] != root)):
+            root[further] = self.parent[root[further]]
+        self.parent[rows] = root
+        return root
+
+    def meet(self, rows: np.ndarray, key: np.ndarray, word: int) -> None:
+        """Connect those rows that are near and have one key. Of the two words of a row, that word is looked at first."""
+        order = np.argsort(key, kind="stable")
         rows, key = rows[order], key[order]
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
         lengths = np.diff(np.append(starts, len(key)))
-        mixed = np.repeat(self.of[rows[starts]] != self.of[rows[starts + lengths - 1]], lengths)
-        rows, key = rows[mixed], key[mixed]
-        live, step = np.arange(len(rows)), 1
-        while len(live):
-            live = live[live + step < len(rows)]
-            live = live[key[live] == key[live + step]]
-            a, b = rows[live], rows[live + step]
-            apart = self.of[a] != self.of[b]
-            a, b = a[apart], b[apart]
-            near = np.bitwise_count(self.words[a] ^ self.words[b]).sum(1) <= BITS
-            if near.any():
-                self._join(a[near], b[near])
-            step += 1
+        longest = np.argsort(-lengths, kind="stable")[: np.count_nonzero(lengths > 1)]
+        starts, lengths = starts[longest], lengths[longest]
+        ends, i = np.cumsum(lengths), 0
+        while i < len(lengths):
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] - lengths[i] + ROWS, "right")))
+            own = lengths[i:j]
+            self._compare(rows[np.repeat(starts[i:j] - np.cumsum(own) + own, own) + np.arange(own.sum())], own, word)
+            i = j
+
+    def _compare(self, rows: np.ndarray, lengths: np.ndarray, word: int) -> None:
+        """meet() for buckets that lie one after the other, the longest first: each row with the next, the one after it, and so
+        on. Those that still have a row so far on come first, so that all are slices. Now and then, buckets of one component go."""
+        step = 1
+        while len(lengths):
+            root, starts = self.roots(rows), np.cumsum(lengths) - lengths
+            mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
+            rows, lengths = rows[np.repeat(mixed, lengths)], lengths[mixed]
+            values, bucket, ends = self.words[rows, word], np.repeat(np.arange(len(lengths)), lengths), np.cumsum(lengths)
+            differ, bits = np.empty(len(rows), np.uint64), np.empty(len(rows), np.uint8)
+            lasts = np.searchsorted(-lengths, -np.arange(step, 8 * step)) - 1
+            for last in lasts[lasts >= 0].tolist():
+                n = int(ends[last]) - step
+                np.bitwise_xor(values[:n], values[step : n + step], out=differ[:n])
+                a = np.flatnonzero(np.bitwise_count(differ[:n], out=bits[:n]) <= BITS)
+                a = a[bucket[a] == bucket[a + step]]
+                a, b = rows[a], rows[a + step]
+                near = np.bitwise_count(self.words[a] ^ self.words[b]).sum(1) <= BITS
+                if near.any():
+                    self._join(a[near], b[near])
+                step += 1
+            if (lasts < 0).any():
+                return
 
     def _join(self, a: np.ndarray, b: np.ndarray) -> None:
         parent: dict[int, int] = {}
@@ -111,29 +140,29 @@ class Forest:
                 x = p
             return x
 
-        keep = []
-        for i, (x, y) in enumerate(zip(self.of[a].tolist(), self.of[b].tolist())):
+        of_a, of_b = self.roots(a), self.roots(b)
+        apart, keep = np.flatnonzero(of_a != of_b), []
+        for i, x, y in zip(apart.tolist(), of_a[apart].tolist(), of_b[apart].tolist()):
             x, y = root(x), root(y)
             if x != y:
                 parent[max(x, y)] = min(x, y)
                 keep.append(i)
         self.edges.append(np.stack([a[keep], b[keep]]))
-        to = np.arange(len(self.of))
-        to[list(parent)] = [root(x) for x in list(parent)]
-        self.of = to[self.of]
+        self.parent[list(parent)] = [root(x) for x in list(parent)]
 
 
 def spanning(fingerprints: np.ndarray, which: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Edges between rows (16 bytes each) that agree in those blocks and differ in BITS bits at most: of the rows that are so
     connected, as many as keep them connected."""
     blocks, forest = blocks_of(fingerprints), Forest(fingerprints)
+    word = int(which[0] < 16)  # the one without the key: it has more bits to differ in
     key = key_of(blocks, which)
     large = np.bincount(key, minlength=1 << 4 * len(which))[key] > MANY
     few = np.flatnonzero(~large)
-    forest.meet(few, key[few])
+    forest.meet(few, key[few].astype(np.uint16), word)
     many = np.flatnonzero(large)
     for more in finer(which) if len(many) else []:
-        forest.meet(many, key[many] << 12 | key_of(blocks[many], more))
+        forest.meet(many, key[many] << 12 | key_of(blocks[many], more), word)
     a, b = np.concatenate(forest.edges, 1) if forest.edges else np.zeros((2, 0), np.int64)
     return a, b
 
@@ -157,11 +186,12 @@ def block_edges(fps: DataFrame, parts_a_key: int = 1) -> DataFrame:
             if parts_a_key == 1:
                 yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), pa.array([data], pa.binary())], ["part", "rows"])
                 continue
-            part = key_of(blocks, which).astype(np.int64) * parts_a_key >> 16
+            part = (key_of(blocks, which).astype(np.int64) * parts_a_key >> 16).astype(np.uint16)
             order = np.argsort(part, kind="stable")
-            ends = np.flatnonzero(np.append(part[order][1:] != part[order][:-1], True)) + 1
-            for start, end in zip([0, *ends[:-1].tolist()], ends.tolist()):
-                yield pa.RecordBatch.from_arrays([pa.array([p * parts_a_key + int(part[order[start]])], pa.int64()), pa.array([rows[order[start:end]].tobytes()], pa.binary())], ["part", "rows"])
+            part, ordered = part[order], rows[order]
+            ends = np.flatnonzero(np.append(part[1:] != part[:-1], True)) + 1
+            sent = [ordered[start:end].tobytes() for start, end in zip([0, *ends[:-1].tolist()], ends.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(p * parts_a_key + part[ends - 1].astype(np.int64)), pa.array(sent, pa.binary())], ["part", "rows"])
 
     def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list[bytes]] = {}

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -83,6 +84,20 @@ def test_spanning_edges_connect_what_all_edges_do(monkeypatch, many):
     assert connected(400, zip(a, b)) == connected(400, [p for p in zip(*np.nonzero(near)) if p[0] < p[1]])
 
 
+def test_full_buckets_cost_little_a_pair():
+    r = np.random.default_rng(3)
+    rows = r.integers(0, 256, (100_000, 16), dtype=np.uint8)
+    rows[:, :2] = 0
+    rows[:, 1] = r.integers(0, 200, len(rows))  # buckets of about 500
+    pairs = len(rows) ** 2 / 400
+    taken = []
+    for _ in range(3):
+        start = time.process_time()
+        a, _ = S.spanning(rows, (0, 1, 2, 3))
+        taken.append(time.process_time() - start)
+    assert len(a) == 0 and min(taken) < 25e-9 * pairs
+
+
 @pytest.mark.parametrize("rows_a_part", [500_000, 40])
 def test_equals_brute_force(spark, rows_a_part):
     texts = [*sample(10, 120), "", "", "!!", "!!"]
