@@ -7,6 +7,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +31,16 @@ def content_key(text: str | Column) -> Column:
     return F.xxhash64(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", ""))
 
 
+def _size(text: str, lower: list[str]) -> int:
+    """words() of a text that is in Python already."""
+    return len(text.encode().split())  # at the white space of ASCII, as regexp_count has it
+
+
+def _key(text: str, lower: list[str]) -> int:
+    """Like content_key() the same for the same letters and digits, from a text's words in lower case; another number."""
+    return int.from_bytes(xxhash.xxh64_digest("".join(lower).replace("_", "")), "big", signed=True)
+
+
 class Bins:
     """Open bins in the order of residual and number, in blocks that carry what all their bins hold."""
 
@@ -129,9 +140,9 @@ def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """(doc_id, size, source, cluster) of each row of docs, for best_fit(): near duplicates by simhash and texts of the same
     content_key() are in one cluster, and so are those that a chain of such pairs connects. Null texts are one cluster."""
     need(docs, id_col, text_col, source_col)
-    text = F.col(text_col)
-    rows = labelled(docs, {"doc_id": F.col(id_col), "size": words(text), "source": F.col(source_col), "key": content_key(text)}, text_col)
-    near = written(rows.select("doc_id", "size", "source", "key", F.coalesce("group", F.encode(F.concat(F.lit("content "), F.col("key").cast("string")), "utf-8")).alias("near")))
+    facts = {"size": (T.IntegerType(), _size), "key": (T.LongType(), _key)}
+    rows = labelled(docs, {"doc_id": F.col(id_col), "source": F.col(source_col)}, text_col, facts=facts)
+    near = written(rows.select("doc_id", F.coalesce("size", F.lit(0)).alias("size"), "source", "key", F.coalesce("group", F.encode(F.lit("no text"), "utf-8")).alias("near")))
     least = near.groupBy("key").agg(F.min("near").alias("least"), F.max("near").alias("most")).filter("least <> most").select("key", "least")
     roots = components(near.join(least, "key").select(F.col("near").alias("a"), F.col("least").alias("b")))
     return written(near.join(roots.withColumnRenamed("node", "near"), "near", "left").select("doc_id", "size", "source", F.coalesce("root", "near").alias("cluster")))

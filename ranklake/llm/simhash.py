@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ranklake.llm.common import forget, need, unused, written
+from ranklake.llm.common import arrow_schema, forget, need, unused, written
 from ranklake.llm.exact_dedup import Bloom, _ordered, affordable, probe
 
 #: A fingerprint has 128 bits in 32 blocks of four, and two that differ in BITS at most are near: 13 of their blocks at least are
@@ -25,35 +26,23 @@ KEYS = [c for g in range(4) for c in combinations(range(8 * g, 8 * g + 8), 4)]
 MANY = 8192
 #: Rows that are compared at once, for the cache.
 ROWS = 65_536
-#: Words that a task remembers before it starts over; keys that a task compares at least.
-MEMORY, TOGETHER = 100_000, 4
+#: Keys that a task compares at least.
+TOGETHER = 4
 
 
 class Fingerprints:
     """128-bit SimHash of a text's different words, in lower case, each of the same weight."""
 
     def __init__(self):
-        self.words = re.compile(r"\w+")
-        self.bits = np.zeros((MEMORY, 128), np.int8)
-        self.at: dict[str, int] = {}
-
-    def _rows(self, words: set[str]) -> np.ndarray:
-        if len(self.at) + len(words) > len(self.bits):
-            self.at.clear()
-            if len(words) > len(self.bits):
-                self.bits = np.zeros((2 * len(words), 128), np.int8)
-        fresh = [w for w in words if w not in self.at]
-        if fresh:
-            start = len(self.at)
-            digests = np.frombuffer(b"".join(xxhash.xxh128_digest(w) for w in fresh), np.uint8).reshape(-1, 16)
-            self.bits[start : start + len(fresh)] = np.unpackbits(digests, axis=1).astype(np.int8) * 2 - 1
-            self.at.update((w, start + i) for i, w in enumerate(fresh))
-        return self.bits[[self.at[w] for w in words]]
-
-    def of(self, text: str) -> bytes:
-        """16 bytes; a text without words counts as one word."""
-        words = set(self.words.findall(text.lower())) or {text}
-        return np.packbits(self._rows(words).sum(0, dtype=np.int32) > 0).tobytes()
+        self.words = re.compile(r"\w+").findall
+
+    def of(self, text: str, words: list[str] | None = None) -> bytes:
+        """16 bytes; a text without words counts as one word. Its words in lower case needn't be given."""
+        different = set(self.words(text.lower()) if words is None else words) or {text}
+        digests, ones = np.frombuffer(b"".join(map(xxhash.xxh128_digest, different)), np.uint8), np.zeros(128, np.int64)
+        for i in range(0, len(digests), 16 * 255):  # so many as a byte can count
+            ones += np.unpackbits(digests[i : i + 16 * 255]).reshape(-1, 128).sum(0, dtype=np.uint8)
+        return np.packbits(2 * ones > len(different)).tobytes()
 
 
 def blocks_of(fingerprints: np.ndarray) -> np.ndarray:
@@ -236,23 +225,30 @@ def _hashes(text_col: str) -> list:
     return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]
 
 
-def labelled(docs: DataFrame, columns: dict[str, Column], text_col: str = "text", rows_a_part: int = 500_000) -> DataFrame:
-    """The columns, by their names, and group of each row of docs: the same for those that are near, null for a null text."""
-    names = list(columns)
+def labelled(docs: DataFrame, columns: dict[str, Column], text_col: str = "text", rows_a_part: int = 500_000, facts: dict[str, tuple[T.DataType, Callable[[str, list[str]], Any]]] | None = None) -> DataFrame:
+    """The columns, by their names, then facts and group of each row of docs. The group is the same for those that are near.
+    Facts are of a type each, from a text and its words in lower case. Group and facts of a null text are null."""
+    names, facts = list(columns), facts or {}
     own = docs.select(*(c.alias(name) for name, c in columns.items()))
     rows = docs.select(*(c.alias(name) for name, c in columns.items()), F.col(f"`{text_col}`").alias("text"))
+    made_here = T.StructType([*(T.StructField(name, kind) for name, (kind, _) in facts.items()), T.StructField("fp", T.BinaryType())])
 
     def f(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fingerprints = Fingerprints()
+        fingerprints, kinds = Fingerprints(), arrow_schema(made_here).types
         for b in it:
-            made = [None if t is None else fingerprints.of(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(made, pa.binary())], [*names, "fp"])
-
-    made = written(rows.mapInArrow(f, T.StructType([*own.schema.fields, T.StructField("fp", T.BinaryType())])))
+            made: list[list] = [[] for _ in kinds]
+            for text in b.column("text").to_pylist():
+                words = [] if text is None else fingerprints.words(text.lower())
+                for out, (_, fact) in zip(made, facts.values()):
+                    out.append(None if text is None else fact(text, words))
+                made[-1].append(None if text is None else fingerprints.of(text, words))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *(pa.array(x, kind) for x, kind in zip(made, kinds))], [*names, *made_here.names])
+
+    made = written(rows.mapInArrow(f, T.StructType([*own.schema.fields, *made_here.fields])))
     fps = made.select("fp").filter("fp is not null").distinct()
     parts = max(1, min(1 << 16, -(-made.count() // rows_a_part)))  # a part is a value of the key at least
     roots = components(block_edges(fps, parts)).withColumnRenamed("node", "fp")
-    return made.join(roots, "fp", "left").select(*names, F.coalesce("root", "fp").alias("group"))
+    return made.join(roots, "fp", "left").select(*names, *facts, F.coalesce("root", "fp").alias("group"))
 
 
 def _labelled(docs: DataFrame, id_col: str, text_col: str, rows_a_part: int) -> DataFrame:

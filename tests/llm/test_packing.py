@@ -80,6 +80,23 @@ def test_near_copies_of_other_sources_share_no_bin(spark, tmp_path):
     assert len(set(bins)) == len(bins)
 
 
+def test_clusters_take_sizes_and_keys_from_one_pass_over_the_words(spark, monkeypatch):
+    from ranklake.llm import simhash
+
+    plans = []
+    monkeypatch.setattr(simhash, "written", lambda df, kept=simhash.written: plans.append(df._jdf.queryExecution().toString()) or kept(df))
+    odd = ["snake_case_word", "SNAKE case\u00a0word", "a\x1cb\x85c\u2003d", "abcd", "", " \t\n", "!?", "_", "Ünïcode ÉTÉ", "ünïcode-été", "०१ ½ Ⅷ ²", "०१½ⅷ²", "ΟΔΟΣ", "οδος", "कि ख", "İstanbul", "x\x0by\fz", None]
+    docs = spark.createDataFrame([(i, t, f"s{i}") for i, t in enumerate(odd)], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in P.clustered(docs).collect()}
+    want = docs.select("doc_id", P.words("text").alias("n"), P.content_key("text").alias("key")).collect()
+    assert {r.doc_id: r.n for r in want} == {i: r.size for i, r in got.items()}
+    by_key = defaultdict(set)
+    for r in want:
+        by_key[r.key].add(got[r.doc_id].cluster)
+    assert all(len(clusters) == 1 for clusters in by_key.values())
+    assert plans and not any("regexp" in p for p in plans)
+
+
 @pytest.mark.parametrize("kind", ["int", "short", "decimal(12,2)", "string", "date", "timestamp", "double", "binary"])
 def test_ids_of_other_types_and_odd_sizes(spark, kind):
     made = {"date": "date_add(date'2024-01-01', cast(id as int))", "timestamp": "timestamp_seconds(id)", "binary": "cast(string(id) as binary)"}.get(kind, f"cast(id as {kind})")

@@ -3,6 +3,7 @@ import time
 
 import numpy as np
 import pytest
+import xxhash
 
 from ranklake.llm import simhash as S
 
@@ -45,6 +46,15 @@ def flips(n, most):
     return np.packbits(out, axis=1)
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 254, 255, 256, 510, 1000])
+def test_fingerprints_count_every_word(n):
+    words = [f"w{i}" for i in range(n)] or ["!?"]
+    bits = [np.unpackbits(np.frombuffer(xxhash.xxh128_digest(w), np.uint8)).astype(int) * 2 - 1 for w in words]
+    want = np.packbits(np.sum(bits, 0) > 0).tobytes()
+    text = " ".join([*words, *(w.upper() for w in words)]) if n else "!?"
+    assert S.Fingerprints().of(text) == want == S.Fingerprints().of(text, text.lower().split() if n else [])
+
+
 def test_any_near_pair_shares_a_key():
     clean = S.blocks_of(flips(20_000, S.BITS)) == 0
     shares = np.zeros(len(clean), bool)
