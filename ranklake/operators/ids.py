@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ranklake.errors import DuplicateIdError, OptionError, UnknownIdError
 from ranklake.operators.dense import Index, add
+from ranklake.shared import written
 
 
 def check_new(index: Index, ids: DataFrame, id_col: str = "row_id") -> None:
@@ -49,8 +50,11 @@ def remove_all(index: Index, ids: DataFrame, id_col: str = "row_id") -> Index:
 
 
 def slots(rows: DataFrame, order: str = "row_id") -> DataFrame:
-    """rows with slot: positions from 0 in the order given. Counted by partition, so that no task holds all rows."""
-    ranged = rows.repartitionByRange(order).sortWithinPartitions(order).select("*", F.spark_partition_id().alias("p__"))
+    """rows with slot: positions from 0 in the order given. Counted by partition, so that no task holds all rows.
+
+    Rows are written with their partitions: each ranging takes a sample of its own, so that two would part rows differently.
+    """
+    ranged = written(rows.repartitionByRange(order).select("*", F.spark_partition_id().alias("p__")))
     nth = F.row_number().over(Window.partitionBy("p__").orderBy(order)) - 1
     sizes = ranged.groupBy("p__").count()
     before = sizes.select("p__", F.coalesce(F.sum("count").over(Window.orderBy("p__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before__"))
