@@ -139,6 +139,10 @@ class IdIndex(_Base):
             allowed = self.spark.createDataFrame([(i, int(x)) for i, own in enumerate(allowed) for x in own], "qid long, row_id long")
         return dense.search_per_query(self.index, q, k, allowed)
 
+    def search_in_groups(self, queries: DataFrame, k: int, groups: DataFrame) -> DataFrame:
+        """Hits of each query (qid, embedding, group) within the rows of its group (row_id, group)."""
+        return dense.search_in_groups(self.index, queries, k, groups)
+
     def remove(self, row_id: int) -> bool:
         self.index, had = ids.remove(self.index, row_id)
         return had

@@ -2,7 +2,8 @@
 
 Results are long tables (qid, rank, row_id, score), ordered within a query by score, highest first, then row_id; scores are
 rounded to nine decimals, so that the order of summation decides no tie. Rows of the index and queries meet as packed
-blocks of each: every pair of blocks is one matrix product and sends on k rows a query. Neither side is collected.
+blocks, which are written once: a task has some blocks of queries, runs each over all of the index as matrix products, and
+sends on k rows a query. Neither side is collected.
 """
 
 from __future__ import annotations
@@ -23,7 +24,13 @@ from ranklake.shared import written
 
 HITS = "qid long, rank int, row_id long, score double"
 #: Rows of the index and queries in a block.
-INDEX_BLOCK, QUERY_BLOCK = 8192, 1024
+INDEX_BLOCK, QUERY_BLOCK = 8192, 8192
+#: Queries in a block of a two-stage search, which holds many candidates of each.
+STAGED_BLOCK = 2048
+#: Queries that are compared at once, and candidates that are scored at once.
+CHUNK, SLICE = 512, 200_000
+#: Tasks for each core that blocks are dealt to.
+TASKS = 8
 #: Blocks of a query whose candidates are held before they are cut.
 HELD = 64
 DECIMALS = 9
@@ -102,8 +109,29 @@ def build(vectors: DataFrame, bits: int = 2, policy: SignPolicy | str = SignPoli
     return Index(E.encoded(vectors, dim, bits, resolve_sign(dim, bits, policy), id_col, vector_col), dim, bits, SignPolicy.of(policy))
 
 
-def _blocks(rows: DataFrame, size: int, schema: str, prefix: str) -> DataFrame:
-    """Rows packed as Arrow streams, some thousands each."""
+@dataclass(frozen=True)
+class _Stored:
+    """Packed blocks in the shared folder (id, n, low, high, block), with their ids and numbers of rows; low to high are a block's groups."""
+
+    table: DataFrame
+    sizes: list[tuple[int, int]]
+
+    def dealt(self, parts: int) -> DataFrame:
+        """The blocks in so many partitions, in the order of their ids, with about the same number of rows each."""
+        total, before, bounds = sum(n for _, n in self.sizes), 0, []
+        for i, n in self.sizes:
+            if before * parts >= (len(bounds) + 1) * total:
+                bounds.append(i)
+            before += n
+        part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x <= F.col("id"))) if bounds else F.lit(0)
+        return self.table.repartitionById(parts, part)
+
+
+def _blocks(rows: DataFrame, size: int, group: str | None = None) -> _Stored:
+    """Rows packed as Arrow streams, some thousands each, and written: what makes them runs once, however many they meet.
+
+    Blocks of groups (a long) have rows in their order.
+    """
 
     def f(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -114,87 +142,193 @@ def _blocks(rows: DataFrame, size: int, schema: str, prefix: str) -> DataFrame:
             with pa.ipc.new_stream(out, table.schema) as writer:
                 writer.write_table(table)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], [f"{prefix}block"])
+            groups = table.column(group) if group else [pa.scalar(0)]
+            return pa.RecordBatch.from_arrays([pa.array([len(table)], pa.int32()), pa.array([groups[0].as_py()], pa.int64()), pa.array([groups[-1].as_py()], pa.int64()), pa.array([out.getvalue().to_pybytes()], pa.binary())], ["n", "low", "high", "block"])
 
         for b in it:
-            for at in range(0, b.num_rows, size):
-                part = b.slice(at, size)
-                if n + part.num_rows > size and held:
-                    yield flush()
-                    n = 0
+            while b.num_rows:
+                part = b.slice(0, size - n)
                 held.append(part)
                 n += part.num_rows
-        if held and n:
+                b = b.slice(part.num_rows)
+                if n == size:
+                    yield flush()
+                    n = 0
+        if n:
             yield flush()
 
-    return rows.mapInArrow(f, f"{prefix}block binary")
+    if group:
+        order = [group, rows.columns[0]]
+        rows = rows.filter(F.col(group).isNotNull()).repartitionByRange(*order).sortWithinPartitions(*order)
+    table = written(rows.mapInArrow(f, "n int, low long, high long, block binary").withColumn("id", F.monotonically_increasing_id()))
+    return _Stored(table, sorted((r.id, r.n) for r in table.select("id", "n").collect()))
 
 
 def _read(block: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(block).read_all().combine_chunks().to_batches()[0]
 
 
-def top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k highest scores of each row, ties by id; (rows, min(k, columns)). Ids shall rise."""
-    n = scores.shape[1]
-    if k < n:  # all that tie with the k-th stay in play
-        kth = np.partition(scores, n - k, axis=1)[:, n - k]
-        out = np.empty((len(scores), k), np.int64)
-        for i, (row, low) in enumerate(zip(scores, kth)):
-            at = np.flatnonzero(row >= low)
-            out[i] = at[np.lexsort((ids[at], -row[at]))[:k]]
-        return out
-    return np.stack([np.lexsort((ids, -row)) for row in scores]) if len(scores) else np.zeros((0, n), np.int64)
+def _pairs(rows: _Stored, queries: _Stored) -> tuple[DataFrame, int]:
+    """(q, qblock, dblock): every block of queries with each of the index that may have rows of its groups, one after the
+    other; and how many tasks share a query. Queries are dealt to tasks, the index only where those are few."""
+    tasks = TASKS * max(queries.table.sparkSession.sparkContext.defaultParallelism, 4)
+    many = max(1, min(len(queries.sizes), tasks))
+    shares = max(1, min(len(rows.sizes), -(-tasks // (2 * many)))) if many < tasks // 2 else 1
+    q = queries.dealt(many).select(F.col("id").alias("q"), F.col("low").alias("qlow"), F.col("high").alias("qhigh"), F.col("block").alias("qblock"))
+    d = rows.dealt(shares).select(F.col("low").alias("dlow"), F.col("high").alias("dhigh"), F.col("block").alias("dblock"))
+    meet = (F.col("dlow") <= F.col("qhigh")) & (F.col("dhigh") >= F.col("qlow"))
+    return q.join(d.hint("shuffle_replicate_nl"), meet).select("q", "qblock", "dblock"), shares
 
 
-def scorer(bits: int, dim: int):
-    """Scores of float queries against packed codes."""
+def _met(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch | None, pa.RecordBatch]]:
+    """Pairs of blocks, read; that of queries only where it isn't the last one's."""
+    before = None
+    for b in it:
+        for at, q in enumerate(b.column("q").to_pylist()):
+            yield q, _read(b.column("qblock")[at].as_py()) if q != before else None, _read(b.column("dblock")[at].as_py())
+            before = q
 
-    def f(q: pa.RecordBatch, d: pa.RecordBatch) -> np.ndarray:
-        centred = 2.0 * E.unpack(E.rows_of(d.column("codes"), dim * bits // 8), bits) - ((1 << bits) - 1)
-        return np.round(E.matrix(q.column("v"), dim, np.float64) @ centred.T, DECIMALS) + 0.0
 
-    return f
+class _Scores:
+    """Scores by dot products: query and row give matrices of which exact scores are the products.
 
+    What can't be among the best is told by products in single precision, off by less than slack.
+    """
 
-def sign_scorer(dim: int):
-    """Agreement of signs: minus the differing bits."""
+    def __init__(self, query, row):
+        self.query, self.row = query, row
+
+    def slack(self, q: np.ndarray, most: float) -> np.ndarray:
+        return q.shape[1] * 2.0**-22 * np.abs(q).sum(1) * most + 1e-8
+
+    def exact(self, q: np.ndarray, d: np.ndarray) -> np.ndarray:
+        return np.round(np.einsum("ij,ij->i", q.astype(np.float64), d.astype(np.float64)), DECIMALS) + 0.0
+
+
+class _Best:
+    """The m best rows of some queries (a matrix), by score, ties by id, as blocks come in."""
+
+    def __init__(self, q: np.ndarray, m: int, scores: _Scores):
+        self.q, self.m, self.scores, self.thin = q, m, scores, q.astype(np.float32)
+        self.low = np.full(len(q), -np.inf)  # no lower score can be among the best
+        self.held: list[tuple[np.ndarray, ...]] = []
+        self.fresh = 0
+
+    def add(self, d: np.ndarray, ids: np.ndarray, own: np.ndarray, at: slice) -> None:
+        """Rows d for the queries in a slice; own goes along with them."""
+        if not len(ids):
+            return
+        most, low = float(np.abs(d).max(initial=0)), self.low[at]
+        slack = self.scores.slack(self.q[at], most)
+        if not np.isfinite(slack).all():
+            raise InvalidVectorError("a vector has a coordinate that is not finite")
+        wide = float(np.abs(self.q[at]).max(initial=0)) * most * d.shape[1] > 1e37  # beyond single precision
+        s = self.q[at].astype(np.float64) @ d.T.astype(np.float64) if wide else self.thin[at] @ d.T.astype(np.float32, copy=False)
+        if len(ids) > self.m and (new := np.isneginf(low)).any():
+            low = low.copy()
+            low[new] = np.partition(s[new], len(ids) - self.m, axis=1)[:, len(ids) - self.m] - slack[new]
+        found = np.flatnonzero(s >= (low - slack)[:, None].astype(s.dtype))
+        for start in range(0, len(found), SLICE):
+            q, row = np.divmod(found[start : start + SLICE], len(ids))
+            q += at.start
+            self.held.append((q, ids[row], self.scores.exact(self.q[q], d[row]), own[row]))
+            self.fresh += len(q)
+            if self.fresh > len(self.q) * self.m:
+                self.cut()
+
+    def cut(self) -> tuple[np.ndarray, ...]:
+        """(query, id, score, own) of the best so far, by query, best first."""
+        if not self.held:
+            return ()
+        q, ids, score, own = (np.concatenate(x) for x in zip(*self.held))
+        order = np.lexsort((ids, -score, q))
+        first = np.searchsorted(q[order], np.arange(len(self.q)))
+        order = order[np.arange(len(order)) - first[q[order]] < self.m]
+        out = (q[order], ids[order], score[order], own[order])
+        size = np.bincount(out[0], minlength=len(self.q))
+        full = np.flatnonzero(size >= self.m)
+        self.low[full] = out[2][np.cumsum(size)[full] - 1]
+        self.held, self.fresh = [out], 0
+        return out
 
-    def f(q: pa.RecordBatch, d: pa.RecordBatch) -> np.ndarray:
-        a = np.packbits(E.matrix(q.column("v"), dim) > 0, axis=1, bitorder="little").view(np.uint64)
-        b = E.rows_of(d.column("sign"), dim // 8).view(np.uint64)
-        return -sum(np.bitwise_count(a[:, None, w] ^ b[None, :, w]).astype(np.float64) for w in range(dim // 64))
 
-    return f
+def _common(q: pa.RecordBatch, d: pa.RecordBatch) -> Iterator[tuple[slice, slice]]:
+    """Queries and rows of the same groups: all, where there are none."""
+    if "group" not in q.schema.names:
+        yield slice(0, q.num_rows), slice(0, d.num_rows)
+        return
+    a, b = (x.column("group").to_numpy() for x in (q, d))
+    for g in np.intersect1d(a, b):
+        (i, j), (k, m) = (np.searchsorted(x, [g, g + 1]) for x in (a, b))
+        yield slice(int(i), int(j)), slice(int(k), int(m))
+
+
+def _bests(it: Iterator[pa.RecordBatch], m: int, scores: _Scores, own: str | None = None) -> Iterator[tuple[pa.RecordBatch, _Best]]:
+    """Each block of queries and its best rows, of all blocks that it meets; the column own goes along."""
+    q = best = None
+    for _, fresh, d in _met(it):
+        if fresh is not None:
+            if best is not None:
+                yield q, best
+            q = fresh
+            best = [_Best(scores.query(q.slice(i, CHUNK)), m, scores) for i in range(0, q.num_rows, CHUNK)]
+        rows, ids = scores.row(d), d.column("row_id").to_numpy()
+        along = E.rows_of(d.column(own), len(d.column(own)[0].as_py())) if own else ids
+        for queries, part in _common(q, d):
+            for at in range(part.start, part.stop, CHUNK * 16):
+                some = slice(at, min(part.stop, at + CHUNK * 16))
+                for c in range(queries.start // CHUNK, -(-queries.stop // CHUNK)):
+                    best[c].add(rows[some], ids[some], along[some], slice(max(0, queries.start - c * CHUNK), min(CHUNK, queries.stop - c * CHUNK)))
+    if best is not None:
+        yield q, best
+
+
+def _codes_of(packed: np.ndarray, bits: int) -> np.ndarray:
+    """Centred codes; they are exact in single precision."""
+    return E.unpack(packed, bits).astype(np.float32) * 2 - ((1 << bits) - 1)
+
+
+def scorer(bits: int, dim: int) -> _Scores:
+    """Scores of float queries against packed codes."""
+    return _Scores(lambda q: E.matrix(q.column("v"), dim), lambda d: _codes_of(E.rows_of(d.column("codes"), dim * bits // 8), bits))
 
 
-def float_scorer(dim: int):
-    """Dot products of float vectors."""
+class _Agreement(_Scores):
+    """Scores by agreement of signs, twice: dim less the differing bits, and those again. Whole numbers, exact as they are."""
 
-    def f(q: pa.RecordBatch, d: pa.RecordBatch) -> np.ndarray:
-        return np.round(E.matrix(q.column("v"), dim, np.float64) @ E.matrix(d.column("v"), dim, np.float64).T, DECIMALS) + 0.0
+    def __init__(self, dim: int):
+        words = lambda x: np.unpackbits(x, axis=1, bitorder="little").astype(np.float32) * 2 - 1
+        super().__init__(lambda q: np.where(E.matrix(q.column("v"), dim) > 0, np.float32(1), np.float32(-1)), lambda d: words(E.rows_of(d.column("sign"), dim // 8)))
 
-    return f
+    def slack(self, q: np.ndarray, most: float) -> np.ndarray:
+        return np.zeros(len(q))
 
+    def exact(self, q: np.ndarray, d: np.ndarray) -> np.ndarray:
+        return np.einsum("ij,ij->i", q, d)
 
-def _queries(queries: DataFrame, dim: int, qid_col: str, vector_col: str) -> DataFrame:
+
+def float_scorer(dim: int) -> _Scores:
+    """Dot products of float vectors."""
+    v = lambda b: E.matrix(b.column("v"), dim, np.float64)
+    return _Scores(v, v)
+
+
+def _queries(queries: DataFrame, dim: int, qid_col: str, vector_col: str, *more) -> DataFrame:
     good = F.when(E.is_valid(vector_col, dim), F.col(vector_col)).otherwise(F.raise_error(F.concat(F.lit("invalid vector of query "), F.coalesce(F.col(qid_col).cast("string"), F.lit("null")))))
-    return queries.select(F.col(qid_col).cast("long").alias("qid"), good.cast("array<float>").alias("v"))
+    return queries.select(F.col(qid_col).cast("long").alias("qid"), good.cast("array<float>").alias("v"), *more)
 
 
-def _scan(rows: DataFrame, queries: DataFrame, k: int, score) -> DataFrame:
-    """Hits without final ranks: the best k rows for each query of every pair of blocks."""
-    pairs = _blocks(rows, INDEX_BLOCK, "", "d").crossJoin(_blocks(queries, QUERY_BLOCK, "", "q"))
+def _scan(rows: DataFrame, queries: DataFrame, k: int, scores: _Scores) -> DataFrame:
+    """Hits without final ranks: the best k rows for each query of every share of the index, within its group where there is one."""
+    group = "group" if "group" in queries.columns else None
+    pairs = _pairs(_blocks(rows, INDEX_BLOCK, group), _blocks(queries, QUERY_BLOCK, group))[0]
 
     def f(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            for dblock, qblock in zip(b.column("dblock"), b.column("qblock")):
-                d, q = _read(dblock.as_py()), _read(qblock.as_py())
-                ids = d.column("row_id").to_numpy()
-                s = score(q, d)
-                at = top(s, ids, k)
-                qids = np.repeat(q.column("qid").to_numpy(), at.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(qids), pa.array(ids[at.ravel()]), pa.array(np.take_along_axis(s, at, 1).ravel())], ["qid", "row_id", "score"])
+        for q, best in _bests(it, k, scores):
+            qids = q.column("qid").to_numpy()
+            for i, b in enumerate(best):
+                if found := b.cut():
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (qids[i * CHUNK + found[0]], found[1], found[2])], ["qid", "row_id", "score"])
 
     return pairs.mapInArrow(f, "qid long, row_id long, score double")
 
@@ -243,25 +377,36 @@ def search(index: Index, queries: DataFrame, k: int, options: SearchOptions = Se
 def _two_stages(index: Index, queries: DataFrame, k: int, m: int) -> DataFrame:
     """The k best by codes of the m best by signs, for each query.
 
-    Every pair of blocks gives, in one row a query, its m best rows by signs and their scores by codes; a query's rows then
-    meet once, are cut to the m best of all blocks, and those to k.
+    A task keeps the m best by signs of its share of the index and scores those by codes. Where it is the whole index, they
+    are cut to k in place; where not, they go on in one row a query, and a query's rows meet once.
     """
-    dim, by_sign, bits = index.dim, sign_scorer(index.dim), index.bits
-    pairs = _blocks(index.rows.select("row_id", "codes", "sign"), INDEX_BLOCK, "", "d").crossJoin(_blocks(queries, QUERY_BLOCK, "", "q"))
+    dim, bits, agreement = index.dim, index.bits, _Agreement(index.dim)
+    pairs, shares = _pairs(_blocks(index.rows.select("row_id", "codes", "sign"), INDEX_BLOCK), _blocks(queries, min(QUERY_BLOCK, STAGED_BLOCK)))
+
+    def parts(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+        """(qid of each query, query, id, agreement, score), by query."""
+        for q, best in _bests(it, m, agreement, "codes"):
+            v, qids = E.matrix(q.column("v"), dim, np.float64), q.column("qid").to_numpy()
+            for i, b in enumerate(best):
+                if found := b.cut():
+                    at, ids, signs, codes = found
+                    score = np.concatenate([np.einsum("ij,ij->i", v[i * CHUNK + at[x : x + SLICE]], _codes_of(codes[x : x + SLICE], bits).astype(np.float64)) for x in range(0, len(at), SLICE)])
+                    yield qids[i * CHUNK : i * CHUNK + len(b.q)], at, ids, signs, np.round(score, DECIMALS) + 0.0
+
+    def whole(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for qids, at, ids, _, score in parts(it):
+            order = np.lexsort((ids, -score, at))
+            order = order[np.arange(len(order)) - np.searchsorted(at, np.arange(len(qids)))[at[order]] < k]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (qids[at[order]], ids[order], score[order])], ["qid", "row_id", "score"])
 
     def f(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            for dblock, qblock in zip(b.column("dblock"), b.column("qblock")):
-                d, q = _read(dblock.as_py()), _read(qblock.as_py())
-                ids, signs = d.column("row_id").to_numpy(), by_sign(q, d)
-                at = _nearest(signs, ids, m)
-                centred = 2.0 * E.unpack(E.rows_of(d.column("codes"), dim * bits // 8), bits) - ((1 << bits) - 1)
-                v = E.matrix(q.column("v"), dim, np.float64)
-                scores = np.concatenate([centred[own] @ x for own, x in zip(at, v)]) if len(v) else np.zeros(0)
-                width = at.shape[1]
-                each = pa.array(np.arange(len(at) + 1) * width, pa.int32())
-                parts = [ids[at.ravel()], np.take_along_axis(signs, at, 1).ravel().astype(np.int32), np.round(scores, DECIMALS) + 0.0]
-                yield pa.RecordBatch.from_arrays([q.column("qid"), *(pa.ListArray.from_arrays(each, pa.array(x)) for x in parts)], ["qid", "ids", "signs", "scores"])
+        for qids, at, ids, signs, score in parts(it):
+            each = pa.array(np.searchsorted(at, np.arange(len(qids) + 1)), pa.int32())
+            lists = [ids, ((signs - dim) / 2).astype(np.int32), score]
+            yield pa.RecordBatch.from_arrays([pa.array(qids), *(pa.ListArray.from_arrays(each, pa.array(x)) for x in lists)], ["qid", "ids", "signs", "scores"])
+
+    if shares == 1:
+        return ranked(pairs.mapInArrow(whole, "qid long, row_id long, score double"), k)
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -294,16 +439,6 @@ def _two_stages(index: Index, queries: DataFrame, k: int, m: int) -> DataFrame:
     return pairs.mapInArrow(f, "qid long, ids array<long>, signs array<int>, scores array<double>").repartition("qid").sortWithinPartitions("qid").mapInArrow(cut, HITS)
 
 
-def _nearest(scores: np.ndarray, ids: np.ndarray, m: int) -> np.ndarray:
-    """Positions of the m highest of each row's integral scores, ties by id, in no order."""
-    n = scores.shape[1]
-    if m >= n:
-        return np.tile(np.arange(n), (len(scores), 1))
-    by_id = np.empty(n, np.int64)
-    by_id[np.argsort(ids, kind="stable")] = np.arange(n)
-    return np.argpartition(-scores.astype(np.int64) * n + by_id, m - 1, axis=1)[:, :m]  # one number for both
-
-
 def within(index: Index, queries: DataFrame, allowed: DataFrame, k: int, qid_col: str = "qid", vector_col: str = "embedding") -> DataFrame:
     """The k best rows for each query among its own: allowed has pairs (qid, row_id); repeated ones count once.
 
@@ -367,6 +502,20 @@ def search_per_query(index: Index, queries: DataFrame, k: int, allowed: DataFram
     return within(index, queries, allowed, k, qid_col, vector_col)
 
 
+def search_in_groups(index: Index, queries: DataFrame, k: int, groups: DataFrame) -> DataFrame:
+    """The k best rows for each query (qid, embedding, group) among the rows of its group: groups has them as (row_id, group).
+
+    The same as search_per_query() by all pairs of a group, without listing them. Groups are whole numbers, null is none;
+    a row may be in several, a query in one. Rows that the index lacks are left out.
+    """
+    _check_k(k)
+    if index.rows is None or index.dim is None or k == 0:
+        return empty_hits(queries.sparkSession)
+    own = groups.select(F.col("row_id").cast("long").alias("row_id"), F.col("group").cast("long").alias("group")).filter("group is not null").distinct()
+    q = _queries(queries.filter("group is not null"), index.dim, "qid", "embedding", F.col("group").cast("long").alias("group"))
+    return ranked(_scan(index.rows.select("row_id", "codes").join(own, "row_id"), q, k, scorer(index.bits, index.dim)), k)
+
+
 def float_search(vectors: DataFrame, queries: DataFrame, k: int, cosine: bool = True, id_col: str = "row_id", qid_col: str = "qid", vector_col: str = "embedding") -> DataFrame:
     """The baseline: the k best rows by the float dot product, of vectors at length 1 for cosine (0 for zeros)."""
     _check_k(k)

@@ -98,8 +98,8 @@ def masked(spark, sf_dir):
 def per_query(spark, sf_dir):
     """Top 10 for every vector among those of its own label."""
     v = vectors(spark, sf_dir)
-    own = v.select(F.col("row_id").alias("qid"), "label").join(v.select("row_id", "label"), "label").select("qid", "row_id")
-    return shown(dense.search_per_query(dense.build(v), queries_of(v), K, own))
+    q, groups = v.select(F.col("row_id").alias("qid"), "embedding", F.col("label").alias("group")), v.select("row_id", F.col("label").alias("group"))
+    return shown(dense.search_in_groups(dense.build(v), q, K, groups))
 
 
 def float_cosine(spark, sf_dir):

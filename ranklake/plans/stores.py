@@ -290,8 +290,8 @@ def index_objects(spark, sf_dir):
     own.add_with_ids(v)
     q = queries_of(v)
     mask = slots.index.rows.select("row_id", (F.col("row_id") % 2 == 0).alias("allowed"))
-    each = v.select(F.col("row_id").alias("qid"), "label").join(v.select("row_id", "label"), "label").select("qid", "row_id")
-    a, b = shown(slots.search(q, 5, mask)), shown(own.search_each(q, 5, each))
+    own_label = v.select("row_id", F.col("label").alias("group"))
+    a, b = shown(slots.search(q, 5, mask)), shown(own.search_in_groups(q.join(own_label.withColumnRenamed("row_id", "qid"), "qid"), 5, own_label))
     return a.withColumn("side", F.lit("slots")).unionByName(b.withColumn("side", F.lit("ids")))
 
 

@@ -1,8 +1,10 @@
 """What small tables hide: steps whose faults show at some size only."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from ranklake.operators import ids
+from ranklake.config import SearchOptions, TwoStage
+from ranklake.operators import dense, ids
 
 
 def test_slots_of_more_rows_than_a_ranging_samples(spark):
@@ -14,3 +16,47 @@ def test_slots_of_more_rows_than_a_ranging_samples(spark):
     finally:
         spark.conf.unset(together)
     assert tuple(got) == (40_000, 40_000, 0, 8)
+
+
+def _vectors(spark, n, key="row_id", parts=3):
+    m = np.random.default_rng(5).normal(size=(n, 64)).astype(np.float32)
+    m[1::4] = m[::4][: len(m[1::4])]  # copies tie
+    return m, spark.createDataFrame([(i, [float(x) for x in v], i % 4 if i % 5 else None) for i, v in enumerate(m)], f"{key} long, embedding array<float>, group int").repartition(parts)
+
+
+def _hits(df):
+    return [(r.qid, r["rank"], r.row_id) for r in df.orderBy("qid", "rank").collect()]
+
+
+def test_blocks_of_groups_find_what_pairs_find(spark, monkeypatch):
+    monkeypatch.setattr(dense, "INDEX_BLOCK", 7)
+    monkeypatch.setattr(dense, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(dense, "CHUNK", 3)
+    _, v = _vectors(spark, 90)
+    index, q, groups = dense.build(v), v.withColumnRenamed("row_id", "qid"), v.select("row_id", "group")
+    pairs = q.select("qid", "group").join(groups, "group").select("qid", "row_id")
+    want = _hits(dense.search_per_query(index, q, 6, pairs))
+    assert len({x[0] for x in want}) == 72 and _hits(dense.search_in_groups(index, q, 6, groups)) == want
+
+
+def test_search_in_groups_lists_no_pairs(spark):
+    _, v = _vectors(spark, 30)
+    plan = dense.search_in_groups(dense.build(v), v.withColumnRenamed("row_id", "qid"), 3, v.select("row_id", "group"))._jdf.queryExecution().toString()
+    assert "CartesianProduct" in plan and "SortMergeJoin" not in plan  # blocks meet, not rows
+
+
+def test_an_index_in_shares_and_whole_is_searched_alike(spark, monkeypatch):
+    monkeypatch.setattr(dense, "INDEX_BLOCK", 9)
+    monkeypatch.setattr(dense, "QUERY_BLOCK", 8)
+    monkeypatch.setattr(dense, "CHUNK", 3)
+    m, v = _vectors(spark, 120)
+    index, q = dense.build(v), v.withColumnRenamed("row_id", "qid").filter("qid < 40")
+    found = []
+    for tasks in (1, 8):
+        monkeypatch.setattr(dense, "TASKS", tasks)
+        found.append([_hits(dense.search(index, q, 5)), _hits(dense.search(index, q, 5, SearchOptions.sign_two_stage(TwoStage(fixed=30)))), _hits(dense.float_search(v, q, 5))])
+    assert found[0] == found[1]
+    unit = m.astype(float) / np.linalg.norm(m.astype(float), axis=1)[:, None]
+    s = np.round(unit[:40] @ unit.T, 9)
+    assert found[0][2] == [(i, n + 1, int(r)) for i in range(40) for n, r in enumerate(np.lexsort((np.arange(120), -s[i]))[:5])]
+    assert _hits(dense.float_search(v.withColumn("embedding", F.transform("embedding", lambda x: (x * 1e20).cast("float"))), q, 5, cosine=False))[0][0] == 0
