@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ranklake.config import Mode, SearchOptions
 from ranklake.functions import encode as E
 from ranklake.operators import dense, ids, metrics
-from ranklake.shared import shared_dir
+from ranklake.shared import shared_dir, written
 from ranklake.stores import bundle
 from ranklake.streaming import ingest
 
@@ -164,7 +164,7 @@ def overlap(spark, sf_dir):
     """How much of the exact result two stages keep, and rank codes of the float result."""
     v = vectors(spark, sf_dir)
     q, index = queries_of(v), dense.build(v)
-    exact = dense.search(index, q, K)
+    exact = written(dense.search(index, q, K))  # both are held against it
     parts = {"two_stage": dense.search(index, q, K, SearchOptions.sign_two_stage()), "float": dense.float_search(v, q, K)}
     out = None
     for name, run in parts.items():
@@ -176,7 +176,7 @@ def overlap(spark, sf_dir):
 def self_recall(spark, sf_dir):
     """How many vectors find themselves first, and among the first ten."""
     v = vectors(spark, sf_dir)
-    run = dense.search(dense.build(v), queries_of(v), K)
+    run = written(dense.search(dense.build(v), queries_of(v), K))
     truth = v.select(F.col("row_id").alias("qid"), "row_id")
     at = [metrics.self_recall(run, truth, n).select(F.lit(n).alias("at"), "queries", F.round("recall", 6).alias("recall")) for n in (1, 10)]
     return at[0].unionByName(at[1])
