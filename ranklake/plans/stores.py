@@ -15,7 +15,7 @@ from ranklake.indexes import IdIndex, SlotIndex
 from ranklake.operators import dense, filters, fusion, ltr, sparse
 from ranklake.plans.dense import codes_sql, queries_of, shown, table, vectors
 from ranklake.plans.text import MODEL, docs_of
-from ranklake.shared import scratch
+from ranklake.shared import scratch, written
 from ranklake.sources import readers
 from ranklake.stores import bundle, frameworks, generations, ltr_cache
 from ranklake.stores.files import Files
@@ -309,7 +309,7 @@ def slot_changes(spark, sf_dir):
 def checks(spark, sf_dir):
     """What ranked lists, fusion, features, models and caches refuse."""
     v = vectors(spark, sf_dir)
-    hits = dense.search(dense.build(v), queries_of(v), 5)
+    hits = written(dense.search(dense.build(v), queries_of(v), 5))
     few = hits.filter("qid > 0")
     rows = hits.select("qid", "row_id", F.lit(1.0).alias("label"), F.array(F.col("score").cast("float"), F.col("rank").cast("float")).alias("features"))
     q = queries_of(v)
