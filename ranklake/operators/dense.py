@@ -307,9 +307,16 @@ class _Agreement(_Scores):
         return np.einsum("ij,ij->i", q, d)
 
 
-def float_scorer(dim: int) -> _Scores:
-    """Dot products of float vectors."""
-    v = lambda b: E.matrix(b.column("v"), dim, np.float64)
+def float_scorer(dim: int, cosine: bool = False) -> _Scores:
+    """Dot products of float vectors; for cosine of vectors at length 1, where zeros stay as they are."""
+
+    def v(b: pa.RecordBatch) -> np.ndarray:
+        m = E.matrix(b.column("v"), dim, np.float64)
+        if not cosine:
+            return m
+        length = np.sqrt(np.einsum("ij,ij->i", m, m))[:, None]
+        return m / np.where(length > 0, length, 1.0)
+
     return _Scores(v, v)
 
 
@@ -522,9 +529,8 @@ def float_search(vectors: DataFrame, queries: DataFrame, k: int, cosine: bool =
     dim = dim_of(vectors, vector_col)
     if dim is None or k == 0:
         return empty_hits(queries.sparkSession)
-    unit = E.normalized if cosine else (lambda c: F.transform(F.col(c), lambda x: x.cast("double")))
-    rows = vectors.select(F.col(id_col).cast("long").alias("row_id"), unit(vector_col).alias("v"))
-    return ranked(_scan(rows, queries.select(F.col(qid_col).cast("long").alias("qid"), unit(vector_col).alias("v")), k, float_scorer(dim)), k)
+    rows = vectors.select(F.col(id_col).cast("long").alias("row_id"), F.col(vector_col).alias("v"))
+    return ranked(_scan(rows, queries.select(F.col(qid_col).cast("long").alias("qid"), F.col(vector_col).alias("v")), k, float_scorer(dim, cosine)), k)
 
 
 @dataclass
