@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ranklake.errors import StoreError
 from ranklake.operators import ltr
+from ranklake.shared import written
 from ranklake.stores.bundle import Auxiliary
 from ranklake.stores.files import Files, relative
 
@@ -43,9 +44,10 @@ def auxiliaries(rows: DataFrame, queries: DataFrame, folder: str = "ltr") -> dic
 
 def write(rows: DataFrame, queries: DataFrame, names: list[str], path: str, provenance: dict[str, Any] | None = None, label_kind: str = "qrels") -> dict[str, Any]:
     """Write rows (qid, row_id, label, features) and queries (qid, ...) to path, the manifest last; returns the manifest."""
-    check(rows, names, queries)
     spark = rows.sparkSession
     files = Files(spark, path)
+    rows = written(rows)  # what makes them runs once, not for each check
+    check(rows, names, queries)
     if files.exists(MANIFEST):
         raise StoreError(f"{path} has features already")
     rows.write.mode("overwrite").parquet(files.full("rows"))
