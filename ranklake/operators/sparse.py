@@ -6,7 +6,7 @@ Scores add up as doubles; they are rounded to nine decimals before ranking, so t
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,8 @@ K1, B = 1.2, 0.75
 MOST_TF = 65_535
 #: Terms of queries that are sent to all tasks, at most.
 MOST_WANTED = 1_000_000
+#: Terms of documents that a task counts at once, but for a longer document.
+SLICE = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -58,9 +60,68 @@ def from_terms(docs: DataFrame, tokenizer: str = tokenize.SIMPLE) -> TextIndex:
     """The index of rows (row_id, terms) whose terms are normalized already."""
     tokens = written(docs.select("row_id", F.size("terms").alias("doc_len"), "terms"))
     lengths = tokens.select("row_id", "doc_len")
+    twice = not lengths.groupBy("row_id").count().filter("count > 1").isEmpty()
+    if not twice:  # a row is a document, so that its terms are counted in place
+        return TextIndex(_postings(tokens), lengths, _frequencies(tokens), _corpus(lengths), tokenizer, tokens)
     postings = _counted(tokens.select("row_id", F.explode("terms").alias("term"))).select("term", "row_id", "tf")
-    corpus = lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("doc_len"), F.lit(0.0)).alias("avg_doc_len"))
-    return TextIndex(postings, lengths, postings.groupBy("term").agg(F.count("*").alias("df")), corpus, tokenizer, tokens)
+    return TextIndex(postings, lengths, postings.groupBy("term").agg(F.count("*").alias("df")), _corpus(lengths), tokenizer, tokens)
+
+
+def _corpus(lengths: DataFrame) -> DataFrame:
+    return lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("doc_len"), F.lit(0.0)).alias("avg_doc_len"))
+
+
+def _slices(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches (terms, ...) in pieces of about SLICE terms: what counting takes grows with those."""
+    for b in it:
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(b.column("terms")), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, "right")))
+            yield b.slice(at, to - at)
+            at = to
+
+
+def _distinct(b: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The terms of a batch, each once, and by place in those: term, document and how often."""
+    names = b.column("terms").flatten().dictionary_encode()
+    found = _tallied(b, names.indices.to_numpy(zero_copy_only=False).astype(np.int64), _documents(b))
+    return names.dictionary, *found
+
+
+def _documents(b: pa.RecordBatch) -> np.ndarray:
+    """The place of each term's document."""
+    return np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column("terms")).to_numpy(zero_copy_only=False))
+
+
+def _tallied(b: pa.RecordBatch, term: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = max(1, b.num_rows)
+    pairs, tf = np.unique(term * n + doc, return_counts=True)
+    if len(tf) and tf.max() > MOST_TF:
+        raise ValueError("a term is too frequent in a document")
+    return pairs // n, pairs % n, tf
+
+
+def _postings(tokens: DataFrame) -> DataFrame:
+    """(term, row_id, tf) of rows (row_id, terms), one for each row_id: counted in place, neither grouped nor shuffled."""
+
+    def f(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _slices(it):
+            names, term, doc, tf = _distinct(b)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(term)), b.column("row_id").take(pa.array(doc)), pa.array(tf.astype(np.int32))], ["term", "row_id", "tf"])
+
+    return tokens.select("row_id", "terms").mapInArrow(f, "term string, row_id long, tf int")
+
+
+def _frequencies(tokens: DataFrame) -> DataFrame:
+    """(term, df) of such rows; what is shuffled is a count for each term of a task."""
+
+    def f(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _slices(it):
+            names, term, _, _ = _distinct(b)
+            yield pa.RecordBatch.from_arrays([names, pa.array(np.bincount(term, minlength=len(names)))], ["term", "df"])
+
+    return tokens.select("terms").mapInArrow(f, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
 def _counted(terms: DataFrame, *carried: str) -> DataFrame:
@@ -113,19 +174,14 @@ def _wanted(index: TextIndex, queries: DataFrame, qid_col: str, text_col: str) -
 
 def _pairs(b: pa.RecordBatch, names: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of names, places of documents in a batch (terms, ...), and how often the one is in the other; by name."""
-    lists = b.column("terms")
-    found = pc.index_in(lists.flatten(), value_set=names)
-    doc = np.repeat(np.arange(b.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    found = pc.index_in(b.column("terms").flatten(), value_set=names)
     there = found.is_valid().to_numpy(zero_copy_only=False)
-    term = found.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
-    pairs, tf = np.unique(term * b.num_rows + doc[there], return_counts=True)
-    if len(tf) and tf.max() > MOST_TF:
-        raise ValueError("a term is too frequent in a document")
-    return pairs // max(1, b.num_rows), pairs % max(1, b.num_rows), tf
+    return _tallied(b, found.drop_null().to_numpy(zero_copy_only=False).astype(np.int64), _documents(b)[there])
 
 
-def _scan(index: TextIndex, rows: DataFrame, wanted: list, k: int) -> DataFrame:
-    """Hits without final ranks: of every batch of rows (row_id, doc_len, terms), the best k for each query.
+def _scan(index: TextIndex, rows: DataFrame, wanted: list, k: int, group: dict[int, int] | None = None) -> DataFrame:
+    """Hits without final ranks: of every batch of rows (row_id, doc_len, terms), the best k for each query; where queries
+    have a group, of those rows that have it among theirs (groups).
 
     wanted are rows (qid, term): as many as a broadcast may hold. One pass over the terms counts documents, one scores
     them; terms are neither grouped nor shuffled.
@@ -140,7 +196,7 @@ def _scan(index: TextIndex, rows: DataFrame, wanted: list, k: int) -> DataFrame:
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(len(known.value), np.int64)
-        for b in it:
+        for b in _slices(it):
             sums += np.bincount(_pairs(b, known.value)[0], minlength=len(sums))
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["term", "df"])
@@ -149,11 +205,16 @@ def _scan(index: TextIndex, rows: DataFrame, wanted: list, k: int) -> DataFrame:
     for r in index.tokens.select("terms").mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():
         df[r.term] = r.df
     n, mean = index.corpus.first()
-    shared = sc.broadcast((np.log((n - df + 0.5) / (df + 0.5) + 1.0), {q: np.array(sorted(t)) for q, t in own.items()}))
+    shared = sc.broadcast((np.log((n - df + 0.5) / (df + 0.5) + 1.0), {q: np.array(sorted(t)) for q, t in own.items()}, group))
 
     def f(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, own = shared.value
-        for b in it:
+        idf, own, group = shared.value
+        for b in _slices(it):
+            if group is not None:
+                theirs = b.column("groups")
+                of = np.repeat(np.arange(b.num_rows), pc.list_value_length(theirs).to_numpy(zero_copy_only=False))
+                flat = theirs.flatten().to_numpy(zero_copy_only=False)
+                may: dict[int, np.ndarray] = {}
             term, doc, tf = _pairs(b, known.value)
             length = b.column("doc_len").to_numpy(zero_copy_only=False)[doc]
             part = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(mean, 1.0)))
@@ -162,7 +223,13 @@ def _scan(index: TextIndex, rows: DataFrame, wanted: list, k: int) -> DataFrame:
             qids, hits, scores = [], [], []
             for q, terms in own.items():
                 at = np.concatenate([np.arange(bounds[t], bounds[t + 1]) for t in terms])
-                which = np.flatnonzero(np.bincount(doc[at], minlength=b.num_rows))
+                some = np.bincount(doc[at], minlength=b.num_rows) > 0
+                if group is not None:
+                    g = group.get(q)
+                    if g not in may:
+                        may[g] = np.bincount(of[flat == g], minlength=b.num_rows) > 0
+                    some &= may[g]
+                which = np.flatnonzero(some)
                 if not len(which):
                     continue
                 score = np.round(np.bincount(doc[at], part[at], b.num_rows)[which], DECIMALS) + 0.0
@@ -176,7 +243,7 @@ def _scan(index: TextIndex, rows: DataFrame, wanted: list, k: int) -> DataFrame:
             if qids:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (qids, hits, scores)], ["qid", "row_id", "score"])
 
-    return rows.select("row_id", "doc_len", "terms").mapInArrow(f, "qid long, row_id long, score double")
+    return rows.select("row_id", "doc_len", "terms", *(["groups"] if group is not None else [])).mapInArrow(f, "qid long, row_id long, score double")
 
 
 def search(index: TextIndex, queries: DataFrame, k: int, allowed: DataFrame | None = None, check: bool = False, qid_col: str = "qid", text_col: str = "query") -> DataFrame:
@@ -190,7 +257,11 @@ def search(index: TextIndex, queries: DataFrame, k: int, allowed: DataFrame | No
         raise OptionError("k must not be negative")
     if check and allowed is not None:
         check_known(index, allowed)
-    if k and index.tokens is not None and (allowed is None or "qid" not in allowed.columns):
+    if k and index.tokens is not None and allowed is not None and "qid" in allowed.columns:
+        each = queries.select(F.col(qid_col).alias("qid"), F.col(text_col).alias("query"), F.col(qid_col).cast("long").alias("group"))
+        if (out := _in_groups(index, each, k, allowed.select("row_id", F.col("qid").alias("group")))) is not None:
+            return out
+    elif k and index.tokens is not None:
         wanted = _wanted(index, queries, qid_col, text_col).limit(MOST_WANTED + 1).collect()
         if len(wanted) <= MOST_WANTED:
             rows = index.tokens if allowed is None else index.tokens.join(allowed.select(F.col("row_id").cast("long").alias("row_id")), "row_id", "left_semi")
@@ -198,19 +269,51 @@ def search(index: TextIndex, queries: DataFrame, k: int, allowed: DataFrame | No
     return ranked(scored(index, queries, allowed, qid_col, text_col), k)
 
 
+def _in_groups(index: TextIndex, queries: DataFrame, k: int, groups: DataFrame) -> DataFrame | None:
+    """search_in_groups() in place, or None if the queries have too many terms for that."""
+    wanted = _wanted(index, queries, "qid", "query").limit(MOST_WANTED + 1).collect()
+    if index.tokens is None or len(wanted) > MOST_WANTED:
+        return None
+    of = {r.qid: r.group for r in queries.select(F.col("qid").cast("long").alias("qid"), F.col("group").cast("long").alias("group")).join(_wanted(index, queries, "qid", "query").select("qid").distinct(), "qid").filter("group is not null").collect()}
+    theirs = groups.select(F.col("row_id").cast("long").alias("row_id"), F.col("group").cast("long").alias("group")).groupBy("row_id").agg(F.collect_set("group").alias("groups"))
+    return ranked(_scan(index, index.tokens.join(theirs, "row_id"), [w for w in wanted if w.qid in of], k, of), k)
+
+
+def search_in_groups(index: TextIndex, queries: DataFrame, k: int, groups: DataFrame) -> DataFrame:
+    """The k best documents for each query (qid, query, group) among those of its group: groups has them as (row_id, group).
+
+    The same as search() with all pairs of a query and a row of its group, without listing them. Groups are whole numbers,
+    null is none; a row may be in several, a query in one.
+    """
+    if k < 0:
+        raise OptionError("k must not be negative")
+    if k and (out := _in_groups(index, queries, k, groups)) is not None:
+        return out
+    pairs = queries.select("qid", F.col("group").cast("long").alias("group")).join(groups.select("row_id", F.col("group").cast("long").alias("group")), "group")
+    return search(index, queries, k, pairs.select("qid", "row_id"))
+
+
 def check_known(index: TextIndex, allowed: DataFrame) -> None:
     if row := allowed.select(F.col("row_id").cast("long").alias("row_id")).join(index.docs, "row_id", "left_anti").orderBy("row_id").first():
         raise UnknownIdError(f"the text index has no row {row.row_id}")
 
 
+def _repeated(postings: DataFrame) -> DataFrame:
+    """Pairs (term, row_id) that come up more than once. All are told apart by hashes first, and only those of equal ones by themselves."""
+    key = F.xxhash64("term", "row_id")
+    suspect = postings.groupBy(key.alias("key")).count().filter("count > 1").select("key")
+    return postings.join(suspect, key == suspect["key"], "left_semi").groupBy("term", "row_id").count().filter("count > 1")
+
+
 def checks(index: TextIndex) -> DataFrame:
     """(check, failures): what must hold between the tables."""
     spark = index.docs.sparkSession
+    index = replace(index, postings=written(index.postings))  # five scans
     by_doc = index.postings.groupBy("row_id").agg(F.sum("tf").alias("len"))
     by_term = index.postings.groupBy("term").agg(F.count("*").alias("n"))
     parts = {
         "row_ids are unique": index.docs.groupBy("row_id").count().filter("count > 1"),
-        "postings are unique": index.postings.groupBy("term", "row_id").count().filter("count > 1"),
+        "postings are unique": _repeated(index.postings),
         "lengths are sums of frequencies": index.docs.join(by_doc, "row_id", "full_outer").filter("doc_len is null or doc_len <> coalesce(len, 0)"),
         "document frequencies are counts": index.terms.join(by_term, "term", "full_outer").filter("df is null or n is null or df <> n"),
         "frequencies are positive": index.postings.filter(f"tf is null or tf < 1 or tf > {MOST_TF}"),

@@ -79,9 +79,8 @@ def bm25_allowed(spark, sf_dir):
 def bm25_per_query(spark, sf_dir):
     """Top 10 for every query among the documents whose label's quality is the query's parity."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("row_id"), "quality").distinct()
-    q = queries_of(spark, sf_dir)
-    allowed = q.select("qid", (F.col("qid") % 2).alias("quality")).join(labels, "quality").select("qid", "row_id")
-    return shown(sparse.search(sparse.build(docs_of(spark, sf_dir)), q, K, allowed))
+    q = queries_of(spark, sf_dir).withColumn("group", F.col("qid") % 2)
+    return shown(sparse.search_in_groups(sparse.build(docs_of(spark, sf_dir)), q, K, labels.withColumnRenamed("quality", "group")))
 
 
 def sparse_checks(spark, sf_dir):

@@ -1,10 +1,13 @@
 """What small tables hide: steps whose faults show at some size only."""
 
+from dataclasses import replace
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from ranklake.config import SearchOptions, TwoStage
-from ranklake.operators import dense, ids
+from ranklake.operators import dense, ids, sparse
+from ranklake.stores import ltr_cache
 
 
 def test_slots_of_more_rows_than_a_ranging_samples(spark):
@@ -60,3 +63,53 @@ def test_an_index_in_shares_and_whole_is_searched_alike(spark, monkeypatch):
     s = np.round(unit[:40] @ unit.T, 9)
     assert found[0][2] == [(i, n + 1, int(r)) for i in range(40) for n, r in enumerate(np.lexsort((np.arange(120), -s[i]))[:5])]
     assert _hits(dense.float_search(v.withColumn("embedding", F.transform("embedding", lambda x: (x * 1e20).cast("float"))), q, 5, cosine=False))[0][0] == 0
+
+
+def _texts(spark, n=60):
+    return spark.createDataFrame([(i, " ".join(f"word{j % 9}" for j in range(i % 13)) if i % 7 else None) for i in range(n)], "row_id long, text string").repartition(3)
+
+
+def test_terms_are_counted_in_place(spark, monkeypatch):
+    monkeypatch.setattr(sparse, "SLICE", 20)
+    docs = _texts(spark)
+    index = sparse.build(docs)
+    assert "Exchange" not in index.postings._jdf.queryExecution().executedPlan().toString()
+    want = sparse._counted(index.tokens.select("row_id", F.explode("terms").alias("term"))).select("term", "row_id", "tf")
+    rows = sorted(map(tuple, want.collect()))
+    assert rows and sorted(map(tuple, index.postings.collect())) == rows
+    assert sorted(map(tuple, index.terms.collect())) == sorted(map(tuple, want.groupBy("term").count().collect()))
+    both = sparse.build(docs.unionByName(docs))  # a row that is there twice is still counted as one
+    assert sorted((t, r, n) for t, r, n in both.postings.collect()) == [(t, r, 2 * n) for t, r, n in rows]
+
+
+def test_text_search_in_groups_finds_what_pairs_find(spark, monkeypatch):
+    docs = _texts(spark)
+    index = sparse.build(docs)
+    q = spark.createDataFrame([(i, f"word{i} word{i + 1} word8", i % 3 if i < 7 else None) for i in range(8)], "qid long, query string, group int")
+    groups = docs.select("row_id", (F.col("row_id") % 3).alias("group")).unionByName(spark.createDataFrame([(1, 0), (1, 0), (5, None)], "row_id long, group long"))
+    pairs = q.join(groups, "group").select("qid", "row_id")
+    want = sorted(map(tuple, sparse.ranked(sparse.scored(index, q, pairs), 4).collect()))
+    assert want and sorted(map(tuple, sparse.search_in_groups(index, q, 4, groups).collect())) == want
+    assert sorted(map(tuple, sparse.search(index, q, 4, pairs).collect())) == want
+    monkeypatch.setattr(sparse, "MOST_WANTED", 2)
+    assert sorted(map(tuple, sparse.search_in_groups(index, q, 4, groups).collect())) == want
+
+
+def test_repeated_postings_are_found(spark):
+    index = sparse.build(_texts(spark))
+    twice = replace(index, postings=index.postings.unionByName(index.postings.filter("row_id = 9")))
+    got = {r.check: r.failures for r in sparse.checks(twice).collect()}
+    assert got["postings are unique"] == index.postings.filter("row_id = 9").count() > 0 and got["lengths are sums of frequencies"] == 1
+
+
+def test_features_are_made_once_for_a_cache(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def f(it):
+        for b in it:
+            made.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([(1, 2, 1.0, [0.5]), (1, 3, 0.0, [0.25])], "qid long, row_id long, label float, features array<float>").coalesce(1)
+    ltr_cache.write(rows.mapInArrow(f, rows.schema), spark.createDataFrame([(1,)], "qid long"), ["a"], str(tmp_path / "cache"))
+    assert made.value == 2
