@@ -300,8 +300,8 @@ def check_known(index: TextIndex, allowed: DataFrame) -> None:
 
 def _repeated(postings: DataFrame) -> DataFrame:
     """Pairs (term, row_id) that come up more than once. All are told apart by hashes first, and only those of equal ones by themselves."""
-    key = F.xxhash64("term", "row_id")
-    suspect = postings.groupBy(key.alias("key")).count().filter("count > 1").select("key")
+    key = F.xxhash64("term", "row_id")  # nearly all differ: summing up before the shuffle would only spill
+    suspect = postings.select(key.alias("key")).repartition("key").groupBy("key").count().filter("count > 1").select("key")
     return postings.join(suspect, key == suspect["key"], "left_semi").groupBy("term", "row_id").count().filter("count > 1")
 
 
